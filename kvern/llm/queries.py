@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from kvern.llm import cutoff, digest, leaks, mixing, overlaps, spans, splits
+from kvern.llm import cutoff, digest, leaks, mixing, overlaps, pii, spans, splits
 from kvern.sources.tables import table as t
 
 QUERIES = {
+    "p1_found": lambda s, d: pii.occurrences(t(s, d, "manifest"), t(s, d, "verdicts"), t(s, d, "navneliste")).select("felt", "rad_id", "art", "start_pos"),
+    "p1_masked": lambda s, d: pii.masked(t(s, d, "manifest"), t(s, d, "verdicts"), t(s, d, "navneliste")),
     "p2_found": lambda s, d: splits.related_documents(t(s, d, "labels"), t(s, d, "metadata")),
     "p2_splits": lambda s, d: splits.grouped_splits(t(s, d, "labels"), t(s, d, "metadata")),
     "p2_report": lambda s, d: splits.split_report(splits.grouped_splits(t(s, d, "labels"), t(s, d, "metadata"))),
