@@ -88,25 +88,37 @@ def find_numbers(c: Column, mod11: bool = True) -> Column:
     (and right check digits); a hit is consumed, a miss slides by one digit.
     """
     folded = as_digits(c)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substr(folded, i, F.lit(1)).rlike("^[0-9]$"))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substr(folded, i, F.lit(1)).between("0", "9"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,digits:string>>)")
 
+    def windows(pos: Column) -> Column:
+        """struct(i, start, end, digits) of each run of eleven positions whose gaps are allowed."""
+        last = lambda i: F.element_at(pos, i + 10)
+
+        def gap(i: Column, j: Column) -> Column:
+            a, b = F.element_at(pos, i + j), F.element_at(pos, i + j + 1)
+            return F.substr(c, a + 1, b - a - 1)
+
+        # the span bounds what eleven digits and three gaps of two can take, before any text is cut
+        spans = F.filter(F.sequence(F.lit(1), F.size(pos) - 10), lambda i: last(i) - F.element_at(pos, i) <= 16)
+        gaps = lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: gap(i, j)), lambda g: g != "")
+        near = lambda i: F.exists(F.array(gaps(i)), lambda gs: (F.size(gs) <= 3) & F.forall(gs, lambda g: (F.length(g) <= 2) & (F.translate(g, GAP, "") == "")))
+        digits = lambda i: F.array_join(F.transform(F.slice(pos, i, 11), lambda p: F.substr(folded, p, F.lit(1))), "")
+        return F.transform(F.filter(spans, near), lambda i: F.struct(i.alias("i"), (F.element_at(pos, i) - 1).alias("start"), last(i).alias("end"), digits(i).alias("digits")))
+
     def scan(pos: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            window = F.slice(pos, i, 11)
-            digits = F.concat_ws("", F.transform(window, lambda p: F.substr(folded, p, F.lit(1))))
-            gaps = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda j: F.substr(c, F.element_at(window, j) + 1, F.element_at(window, j + 1) - F.element_at(window, j) - 1))
-            near = F.forall(gaps, lambda g: g.rlike(r"^[ .\-,_]{0,2}$")) & (F.size(F.filter(gaps, lambda g: F.length(g) > 0)) <= 3)
-            good = near & identity_form(digits) & (valid_mod11(digits) if mod11 else F.lit(True))
-            hit = (i >= state["next"]) & good
-            found = F.struct((F.element_at(window, 1) - 1).alias("start"), F.element_at(window, 11).alias("end"), digits.alias("digits"))
-            return F.struct(F.when(hit, i + 11).otherwise(state["next"]).alias("next"), F.when(hit, F.concat(state["hits"], F.array(found))).otherwise(state["hits"]).alias("hits"))
-
-        start = F.struct(F.lit(1).alias("next"), empty.alias("hits"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(pos) - 10), start, step, lambda s: s["hits"])
-
-    # the pattern keeps the fold from the many texts that can't hold a hit
-    return F.when(c.rlike(ELEVEN) & (F.size(places) >= 11), scan(places)).otherwise(empty)
+        good = F.filter(windows(pos), lambda w: identity_form(w["digits"]) & (valid_mod11(w["digits"]) if mod11 else F.lit(True)))
+
+        def step(state: Column, w: Column) -> Column:
+            hit = w["i"] >= state["next"]
+            found = F.struct(w["start"].alias("start"), w["end"].alias("end"), w["digits"].alias("digits"))
+            return F.struct(F.when(hit, w["i"] + 11).otherwise(state["next"]).alias("next"), F.when(hit, F.concat(state["hits"], F.array(found))).otherwise(state["hits"]).alias("hits"))
+
+        return F.aggregate(good, F.struct(F.lit(1).alias("next"), empty.alias("hits")), step, lambda s: s["hits"])
+
+    # the pattern keeps the fold from the many texts that can't hold a hit; the one-element array names the positions once
+    folded_once = F.element_at(F.transform(F.array(places), lambda pos: F.when(F.size(pos) >= 11, scan(pos)).otherwise(empty)), 1)
+    return F.when(c.rlike(ELEVEN), folded_once).otherwise(empty)
 
 
 def has_candidate(c: Column) -> Column:

@@ -47,7 +47,7 @@ def reclassified(manifest: DataFrame, retracted: DataFrame, added: DataFrame) ->
 
     manifest: rows of manifest_rows; ids are joined by ';'. Added rows that are retracted don't count.
     """
-    ids = F.filter(F.transform(F.split(F.coalesce("label_id", F.lit("")), ";"), F.trim), lambda i: i != "")
+    ids = F.filter(F.transform(F.split(F.coalesce("label_id", F.lit("")), ";"), lambda i: F.trim(i)), lambda i: i != "")
     gone = retracted.select(F.col("label_id").alias("id")).where("id is not null").distinct()
     parts = manifest.where("klasse <> 'BOM'").select("nr", F.explode(ids).alias("id"))
     void = parts.join(gone.withColumn("g", F.lit(1)), "id", "left").groupBy("nr").agg(F.bool_and(F.col("g").isNotNull()).alias("void")).where("void")

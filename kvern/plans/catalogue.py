@@ -586,9 +586,10 @@ def fnr_guard(b):
 
 @query
 def secret_scan(b):
-    """doc_id, n, kinds of strictly written identity numbers in the whole texts."""
-    found = numbers.strict_numbers(F.col("text"))
-    return b.table("documents").where("text is not null").select("doc_id", found.alias("f")).where(F.size("f") > 0).select("doc_id", F.size("f").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform("f", numbers.number_kind))), ",").alias("kinds"))
+    """place, rad_id, n, kinds of strictly written identity numbers in the whole texts."""
+    texts = b.table("documents").select(F.lit("text").alias("place"), F.col("doc_id").alias("rad_id"), F.col("text").alias("x")).union(b.table("manifest").select(F.lit("ocr_tekst"), "nr", "ocr_tekst").distinct())
+    found = texts.where("x is not null").select("place", "rad_id", numbers.strict_numbers(F.col("x")).alias("f")).where(F.size("f") > 0)
+    return found.select("place", "rad_id", F.size("f").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform("f", lambda d: numbers.number_kind(d)))), ",").alias("kinds"))
 
 
 @query
@@ -630,7 +631,8 @@ def box_features(b):
 def throughput_window(b):
     e = b.table("events").select((F.col("user_id") % 4).alias("worker"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("bigint").alias("at"))
     per = e.groupBy("worker", "at").agg(F.count(F.lit(1)).alias("k"))
-    return queue.throughput(per.withColumn("docs", F.sum("k").over(Window.partitionBy("worker").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).select("worker", "at", "docs"), 3600)
+    total = F.sum("k").over(Window.partitionBy("worker").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return queue.throughput(per.withColumn("docs", total).select("worker", "at", "docs"), 3600).withColumnRenamed("at", "sec")
 
 
 @query
@@ -641,12 +643,12 @@ def breaker_replay(b):
 
 @query
 def events_tumbling(b):
-    return queue.tumbling(b.table("events"))
+    return queue.tumbling(b.table("events")).withColumn("window_start", F.unix_micros("window_start"))
 
 
 @query
 def events_session(b):
-    return queue.sessions(b.table("events"))
+    return queue.sessions(b.table("events")).withColumns({c: F.unix_micros(c) for c in ("session_start", "session_end")})
 
 
 @query

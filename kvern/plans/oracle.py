@@ -375,12 +375,13 @@ regexp_matches(ocr_tekst, '\b(AS|ASA|ANS|BA|DA|KS|SA)\b|(?i:borettslag|boligbygg
     "fnr_guard": rf"""with {MANIFEST}, c as (select nr, unnest([coalesce(ocr_tekst, ''), coalesce(ocr_linje, '')]) as x from man)
 select nr, bool_or(regexp_matches(x, '(?i)(f\s*[øo]dsels\s*n|pers\s*[.\s]*n|p\s*\.\s*nr|f\s*\.\s*nr|fnr|personnummer)') and regexp_matches(x, '(^|[^0-9])[0-9]{{5}}([^0-9]|$)')) as protected from c group by nr""",
     "content_keys": "select doc_id, substring(sha256(text), 1, 24) as key from documents where text is not null",
-    "throughput_window": """with per as (select user_id % 4 as worker, epoch_us(ts) // 1000000 as at, count(*) as k from events group by all), p as (select worker, at, sum(k) over (partition by worker order by at) as docs from per),
-b as (select worker, at, docs, coalesce(max(at) over old, min(at) over (partition by worker order by at)) as t0, coalesce(max(docs) over old, min(docs) over (partition by worker order by at)) as d0 from p window old as (partition by worker order by at range between unbounded preceding and 3600 preceding))
-select worker, at, cast(docs as bigint) as docs, round(case when at > t0 then (docs - d0) / (at - t0) end, 6) as per_second from b""",
-    "events_tumbling": "select time_bucket(interval '1 hour', ts) at time zone 'UTC' as window_start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all",
+    "throughput_window": """with per as (select user_id % 4 as worker, epoch_us(ts) // 1000000 as sec, count(*) as k from events group by all), p as (select worker, sec, sum(k) over (partition by worker order by sec) as docs from per),
+b as (select worker, sec, docs, coalesce(max(sec) over old, min(sec) over sofar) as t0, coalesce(max(docs) over old, min(docs) over sofar) as d0 from p
+      window old as (partition by worker order by sec range between unbounded preceding and 3600 preceding), sofar as (partition by worker order by sec))
+select worker, sec, cast(docs as bigint) as docs, round(case when sec > t0 then (docs - d0) / (sec - t0) end, 6) as per_second from b""",
+    "events_tumbling": "select epoch_us(time_bucket(interval '1 hour', ts)) as window_start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all",
     "events_session": """with g as (select *, case when ts > lag(ts) over (partition by user_id order by ts) + interval '30 minutes' then 1 else 0 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts) as k from g)
-select min(ts) at time zone 'UTC' as session_start, (max(ts) + interval '30 minutes') at time zone 'UTC' as session_end, user_id, count(*) as n from s group by user_id, k""",
+select epoch_us(min(ts)) as session_start, epoch_us(max(ts) + interval '30 minutes') as session_end, user_id, count(*) as n from s group by user_id, k""",
     "events_first_seen": "select distinct event_id, event_type from events",
     "resume_documents": f"with {PRED}, {LABELS} select distinct doc_no from pred where doc_no not in (select doc_no from lab)",
     "confidence_sweep": f"""with {MATCH},
