@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 
 def doc_number(c: Column) -> Column:
     """Leading digits of the base name, without leading zeros; null where there are none."""
-    base = F.element_at(F.split(F.trim(c), r"[/\\]"), -1)
-    return F.nullif(F.regexp_extract(F.trim(base), r"^0*([0-9]+)", 1), F.lit("")).try_cast("bigint")
+    return F.regexp_extract(c, r"^(?s:.*[/\\])?\s*0*([0-9]+)(?s:[^/\\]*)$", 1).try_cast("bigint")
 
 
 def number(c: Column) -> Column:
     """A finite number from text with blanks, exponents or a decimal comma; else null."""
-    n = F.regexp_replace(F.trim(c.cast("string")), ",", ".").try_cast("double")
-    return F.when(F.isnan(n) | (F.abs(n) == float("inf")), None).otherwise(n)
+    n = F.translate(F.trim(c.cast("string")), ",", ".").try_cast("double")
+    return F.when(F.abs(n) < float("inf"), n)  # NaN is above every number
 
 
 def whole_number(c: Column) -> Column:
     """A whole number from text such as ' 2' or '2.0'; null for anything else."""
-    n = number(c)
-    return F.when((n == F.floor(n)) & (F.abs(n) < 2**31), n.cast("bigint")).cast("int")
+    return F.regexp_extract(c.cast("string"), r"^\s*(-?[0-9]+)(?:[.,]0*)?\s*$", 1).try_cast("int")
 
 
 def tag(c: Column) -> Column:

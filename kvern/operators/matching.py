@@ -16,7 +16,7 @@ STRIPS = 24
 
 
 def truth_boxes(labels: DataFrame, preds: DataFrame, excluded=("REJECTED",)) -> DataFrame:
-    """Truth in scope: rows of label_rows on documents with predictions, less the excluded statuses, with n* relative to the page and `horizontal`.
+    """Truth in scope: rows of label_rows on documents with predictions (of predictions or prediction_pages), less the excluded statuses, with n* relative to the page and `horizontal`.
 
     A page without predictions takes the size of A4.
     """

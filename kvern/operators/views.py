@@ -24,6 +24,12 @@ def known(c):
     return F.when(~F.isnan(c), c)
 
 
+def prediction_pages(resultat: DataFrame) -> DataFrame:
+    """pred_id, doc_no, side, bilde_bredde, bilde_hoyde of every usable row, repeats included: enough to know documents and page sizes without removing repeats."""
+    read = resultat.select("pred_id", doc_number(F.col("navn")).alias("doc_no"), "side", "bilde_bredde", "bilde_hoyde", "x0", "y0", "x1", "y1")
+    return read.where("pred_id is not null and doc_no is not null and side is not null and abs(x1 - x0) > 0 and abs(y1 - y0) > 0 and bilde_bredde > 0 and bilde_hoyde > 0").drop("x0", "y0", "x1", "y1")
+
+
 def predictions(resultat: DataFrame) -> DataFrame:
     """One row per pred_id: keys, pixels, n* (relative to the page), sizes in points, kilde, conf, rec, the features.
 

@@ -56,8 +56,8 @@ class Base:
 
     def matched(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(predictions in scope, truth in scope, overlapping pairs)."""
-        preds, labels = self.preds, self.labels
-        inside, truth = matching.scoped_predictions(preds, labels), matching.truth_boxes(labels, preds)
+        labels = self.labels
+        inside, truth = matching.scoped_predictions(self.preds, labels), matching.truth_boxes(labels, views.prediction_pages(self.table("resultat")))
         return inside, truth, matching.overlapping_pairs(inside, truth)
 
     def classified(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -79,7 +79,7 @@ class Base:
 
     @property
     def pages(self) -> DataFrame:
-        p = self.preds.groupBy("doc_no", "side").agg(F.min_by(F.struct("bilde_bredde", "bilde_hoyde"), "pred_id").alias("s"))
+        p = views.prediction_pages(self.table("resultat")).groupBy("doc_no", "side").agg(F.min_by(F.struct("bilde_bredde", "bilde_hoyde"), "pred_id").alias("s"))
         return p.select("doc_no", "side", (F.col("s.bilde_bredde") / g.PX_PER_PT).alias("pw"), (F.col("s.bilde_hoyde") / g.PX_PER_PT).alias("ph"))
 
 
