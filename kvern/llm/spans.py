@@ -9,6 +9,11 @@ signatures collide are compared character by character along the offsets at whic
 they collide, and the runs found are exact. Texts held more than once are compared
 once; clusters come from connected components.
 
+A signature that stands in more than `crowd` different texts (a common phrase, or a
+passage held very often) isn't paired: the windows around its occurrences are hashed
+whole, and only texts with an equal window are linked, so a phrase shorter than the
+span costs what its occurrences cost and no pairs.
+
 Defined results: a null or empty text, or one shorter than `span`, shares nothing; a
 document without id is left out; repeated rows of one id and text count as one
 document. Compared as stored: code points, no normalisation.
@@ -22,15 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvern.llm.components import components
-from kvern.llm.shingles import window_minima
+from kvern.llm.shingles import joined, rolling, window_minima
 from kvern.session import materialize
 
 SPAN = 300
 GRAM = 60
+#: Signatures in more texts than this are resolved by whole windows.
+CROWD = 32
 #: Characters that one call of the NumPy code handles at once.
 CHUNK = 1 << 18
 
@@ -74,32 +81,56 @@ def _runs(a: np.ndarray, b: np.ndarray, offset: int, span: int) -> list[tuple[in
     return [(int(edges[i]) + 1 + x, int(edges[i]) + 1 + y, int(lengths[i])) for i in np.flatnonzero(lengths >= span)]
 
 
-def shared_runs(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(runs, members).
+def _crowded_windows(hits: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFrame:
+    """cls, st, win of every window of `span` characters around the given occurrences (sig, cls, pos) that another text has too."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for cls, text, places in zip(f.cls, f.text, f.places):
+                h = rolling(joined([text])[0], span).view(np.int64)
+                p = np.asarray(places, np.int64)
+                starts = np.unique((p[:, None] - np.arange(span - gram + 1)[None]).ravel())
+                starts = starts[(starts >= 0) & (starts < len(h))]
+                out.append(pd.DataFrame({"cls": [cls] * len(starts), "st": starts.astype(np.int32), "win": h[starts]}))
+            yield pd.concat(out) if out else pd.DataFrame({"cls": [], "st": [], "win": []})
+
+    places = hits.groupBy("cls").agg(F.collect_set("pos").alias("places"))
+    windows = texts.join(places, "cls").select("cls", "text", "places").mapInPandas(run, "cls binary, st int, win bigint")
+    windows = materialize(windows)
+    shared = windows.groupBy("win").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("win")
+    return materialize(windows.join(shared, "win", "left_semi").select("cls", "st", "win"))
+
+
+def shared_runs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, windows, members).
 
     runs: cls_a, cls_b, start_a, start_b, length for each pair of different texts and
-    each maximal identical run. members: doc_id, cls of every text of at least span
-    characters.
+    each maximal identical run at a signature of at most `crowd` texts. windows: cls, st,
+    win of the shared windows at all other signatures. members: doc_id, cls of every text
+    of at least span characters.
     """
     sigs = materialize(signatures(documents, span, gram))
     members = sigs.select("doc_id", "cls").distinct()
     once = sigs.select("sig", "cls", "pos").distinct()
-    # signatures that stand in two different texts: the aggregate combines before its shuffle, however hot a signature is
+    # signatures that stand in two different texts: the aggregates combine before their shuffles, however hot a signature is
     common = sigs.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("sig")
     hits = materialize(once.join(common, "sig", "left_semi"))
+    size = hits.select("sig", "cls").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    few = materialize(hits.join(size.where(F.col("n") <= crowd).select("sig"), "sig", "left_semi"))
+    many = hits.join(size.where(F.col("n") > crowd).select("sig"), "sig", "left_semi")
     pairs = materialize(
-        hits.select("sig", F.col("cls").alias("cls_a"), F.col("pos").alias("pos_a"))
-        .join(hits.select("sig", F.col("cls").alias("cls_b"), F.col("pos").alias("pos_b")), "sig")
+        few.select("sig", F.col("cls").alias("cls_a"), F.col("pos").alias("pos_a"))
+        .join(few.select("sig", F.col("cls").alias("cls_b"), F.col("pos").alias("pos_b")), "sig")
         .where("cls_a < cls_b")
         .groupBy("cls_a", "cls_b")
         .agg(F.collect_set(F.col("pos_a") - F.col("pos_b")).alias("offsets"))
     )
-    needed = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select(F.col("cls_b").alias("cls"))).distinct()
+    needed = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select(F.col("cls_b").alias("cls"))).union(many.select("cls")).distinct()
     holders = members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     stored = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= span)
-    texts = materialize(stored.join(holders, "doc_id"))
-    # an id may stand on rows with different texts; only the one that was hashed counts
-    texts = texts.where(F.length("text") >= span)
+    texts = materialize(stored.join(holders, "doc_id").dropDuplicates(["doc_id", "cls"]))
+    windows = _crowded_windows(many, texts, span, gram)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,17 +146,19 @@ def shared_runs(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> tup
         .select("cls_a", "cls_b", "offsets", "text_a", "text_b")
         .mapInPandas(verify, "cls_a binary, cls_b binary, start_a int, start_b int, length int")
     )
-    return runs, members
+    return runs, windows, members
 
 
-def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_a < doc_b of each pair of documents with an identical run of at least span characters.
 
     The pairs are the wanted result here, so copies of a text are expanded at the very
     end, after all comparing was done once per text.
     """
-    runs, members = shared_runs(documents, span, gram)
-    links = runs.select("cls_a", "cls_b").distinct()
+    runs, windows, members = shared_runs(documents, span, gram, crowd)
+    ends = windows.select("win", "cls").distinct()
+    crowded = ends.select("win", F.col("cls").alias("cls_a")).join(ends.select("win", F.col("cls").alias("cls_b")), "win").where("cls_a < cls_b")
+    links = runs.select("cls_a", "cls_b").union(crowded.select("cls_a", "cls_b")).distinct()
     between = links.join(members.select(F.col("cls").alias("cls_a"), F.col("doc_id").alias("x")), "cls_a").join(members.select(F.col("cls").alias("cls_b"), F.col("doc_id").alias("y")), "cls_b").select("x", "y")
     held_twice = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
     copies = members.join(held_twice, "cls", "left_semi")
@@ -134,14 +167,15 @@ def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> Da
     return every.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
-def shared_portion(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def shared_portion(documents: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """One row per document that shares a span: doc_id, n_chars, shared_chars, shared_part, n_links, gruppe, keep.
 
     n_links counts the different texts it shares a span with, and one more if its own
-    text is held more than once; gruppe is the smallest document of its cluster, whose
-    keep is true.
+    text is held more than once. For a text in a crowd it is a lower bound: the larger of
+    its links outside crowds and the others of the window that most texts share, as no
+    crowd is paired. gruppe is the smallest document of its cluster, whose keep is true.
     """
-    runs, members = shared_runs(documents, span, gram)
+    runs, windows, members = shared_runs(documents, span, gram, crowd)
     runs = materialize(runs)
     held = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n_held"), F.min("doc_id").alias("first"))
     length = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").alias("n_chars")).where(F.col("n_chars") >= span).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
@@ -149,19 +183,22 @@ def shared_portion(documents: DataFrame, span: int = SPAN, gram: int = GRAM) ->
         runs.select(F.col("cls_b").alias("cls"), F.col("start_b").alias("st"), F.col("length"), F.col("cls_a").alias("other"))
     )
     # sweep the runs of a text by start; what reaches beyond all earlier ends is new coverage
-    spans = sides.groupBy("cls", "st").agg(F.max("length").alias("length"))
-    from pyspark.sql import Window
-
+    spans = sides.select("cls", "st", "length").union(windows.select("cls", "st", F.lit(span))).groupBy("cls", "st").agg(F.max("length").alias("length"))
     earlier = Window.partitionBy("cls").orderBy("st").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
         spans.withColumn("seen", F.coalesce(F.max(F.col("st") + F.col("length")).over(earlier), F.lit(0)))
         .groupBy("cls")
         .agg(F.sum(F.greatest(F.lit(0), F.col("st") + F.col("length") - F.greatest("seen", "st"))).alias("covered"))
     )
-    links = sides.groupBy("cls").agg(F.count_distinct("other").alias("n_other"))
+    crowds = windows.select("win", "cls").distinct().groupBy("win").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("lo"))
+    most = windows.select("win", "cls").distinct().join(crowds, "win").groupBy("cls").agg(F.max(F.col("k") - 1).alias("n_crowd"))
+    few = sides.groupBy("cls").agg(F.count_distinct("other").alias("n_few"))
+    links = few.join(most, "cls", "full").select("cls", F.greatest(F.coalesce("n_few", F.lit(0)), F.coalesce("n_crowd", F.lit(0))).alias("n_other"))
+    # a crowd is linked as a star
+    stars = windows.select("win", "cls").distinct().join(crowds, "win").where("cls <> lo").select(F.col("lo").alias("cls_a"), F.col("cls").alias("cls_b"))
     firsts = held.select("cls", "first")
     edges = (
-        runs.select("cls_a", "cls_b").distinct()
+        runs.select("cls_a", "cls_b").union(stars).distinct()
         .join(firsts.select(F.col("cls").alias("cls_a"), F.col("first").alias("a")), "cls_a")
         .join(firsts.select(F.col("cls").alias("cls_b"), F.col("first").alias("b")), "cls_b")
         .select("a", "b")

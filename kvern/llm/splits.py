@@ -60,8 +60,9 @@ def related_documents(labels: DataFrame, metadata: DataFrame) -> DataFrame:
 def stratify(units: dict, proportions: dict[str, float]) -> dict:
     """Iterative stratification. units: key -> {label: size}. Returns key -> split.
 
-    Ties: the split with the greater overall need, then the one named first; units of
-    equal size in order of their keys.
+    A unit goes to the split that needs its label most among those with room for all of
+    it; where none has, to the one with most room. Ties: the split with the greater
+    overall need, then the one named first; units of equal size in order of their keys.
     """
     totals: dict = {}
     for vector in units.values():
@@ -87,13 +88,15 @@ def stratify(units: dict, proportions: dict[str, float]) -> dict:
             continue
         waiting = sorted((k for k in holders[label] if k not in placed), key=lambda k: (-units[k][label], str(k)))
         for key in waiting:
-            split = max(proportions, key=lambda s: (need[s][label], room[s]))
+            size = sum(units[key].values())
+            fit = [s for s in proportions if room[s] >= size] or [max(proportions, key=lambda s: room[s])]
+            split = max(fit, key=lambda s: (need[s][label], room[s]))
             placed[key] = split
-            for other, size in units[key].items():
-                need[split][other] -= size
+            for other, n_other in units[key].items():
+                need[split][other] -= n_other
                 if other in left:
-                    left[other] -= size
-            room[split] -= sum(units[key].values())
+                    left[other] -= n_other
+            room[split] -= size
         del left[label]
     return placed
 

@@ -35,6 +35,8 @@ def test_pairs_and_portions_match_brute_force(spark):
     data = spark.createDataFrame(rows, SCHEMA)
     pairs, covered = brute(docs, 300)
     assert {(r[0], r[1]) for r in spans.shared_pairs(data).collect()} == pairs
+    assert {(r[0], r[1]) for r in spans.shared_pairs(data, crowd=1).collect()} == pairs
+    assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_portion(data, crowd=1).collect()} == {k: n for k, n in covered.items() if n}
     out = {r["doc_id"]: r for r in spans.shared_portion(data).collect()}
     assert {k: r["shared_chars"] for k, r in out.items()} == {k: n for k, n in covered.items() if n}
     assert out[6]["gruppe"] == out[9]["gruppe"] == 6 and out[6]["keep"] and not out[7]["keep"]
@@ -44,3 +46,13 @@ def test_pairs_and_portions_match_brute_force(spark):
 def test_empty(spark):
     assert spans.shared_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     assert spans.shared_portion(spark.createDataFrame([(1, None, "", "")], SCHEMA)).count() == 0
+
+
+def test_a_crowd_is_linked_without_pairs(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, phrase = text(320), text(150)
+    rows = [(i, text(200) + passage + text(100), "", "") for i in range(50)] + [(100 + i, text(200) + phrase + text(100), "", "") for i in range(50)]
+    out = spans.shared_portion(spark.createDataFrame(rows, SCHEMA), crowd=8).collect()
+    assert {r["doc_id"] for r in out} == set(range(50)) and {r["gruppe"] for r in out} == {0} and {r["n_links"] for r in out} == {49}
+    assert all(320 <= r["shared_chars"] <= 330 for r in out)
