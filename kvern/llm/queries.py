@@ -52,7 +52,50 @@ cut as (
 )
 """
 
+def _doc(c: str) -> str:
+    return f"try_cast(nullif(regexp_extract(trim(string_split(trim({c}), '/')[-1]), '^0*([0-9]+)', 1), '') as bigint)"
+
+
+def _num(c: str) -> str:
+    n = f"try_cast(replace(trim({c}), ',', '.') as double)"
+    return f"(case when isnan({n}) or isinf({n}) then null else {n} end)"
+
+
+_WORDS = r"regexp_extract_all(lower(regexp_replace(text, '-\r?\n', '', 'g')), '[\p{L}\p{N}]+')"
+
 ORACLE = {
+    "p3_found": f"""
+with b0 as (select {_doc('fil_revisjon_id')} as doc, cast({_num('sidetall')} as int) as page, {_num('x')} as x, {_num('y')} as y, {_num('width')} as w, {_num('height')} as h from labels),
+box as (
+    select distinct doc, page, round(case when w < 0 then x + w else x end, 4) as x, round(case when h < 0 then y + h else y end, 4) as y, round(abs(w), 4) as w, round(abs(h), 4) as h
+    from b0 where doc is not null and page is not null and x is not null and y is not null and round(abs(w), 4) > 0 and round(abs(h), 4) > 0
+),
+n as (select doc, count(*) as n from box group by 1 having count(*) >= 5),
+member as (
+    select distinct {_doc('fil')} as doc, lower(trim(splitt)) as splitt from splittliste where lower(trim(splitt)) in ('train', 'val', 'test') and {_doc('fil')} is not null
+    union select distinct {_doc('fil')}, 'pilot' from manifest where {_doc('fil')} is not null
+),
+e as (select distinct doc from member where splitt <> 'train'), t as (select doc from member where splitt = 'train'),
+hit as (
+    select a.doc as de, b.doc as dt, struct_pack(p := a.page, x := a.x, y := a.y, w := a.w, h := a.h) as be, struct_pack(p := b.page, x := b.x, y := b.y, w := b.w, h := b.h) as bt
+    from (select * from box where doc in (select doc from e) and doc in (select doc from n)) a join (select * from box where doc in (select doc from t) and doc in (select doc from n)) b
+    on a.page = b.page and a.doc <> b.doc and abs(a.x - b.x) <= 2.000001 and abs(a.y - b.y) <= 2.000001 and abs(a.w - b.w) <= 2.000001 and abs(a.h - b.h) <= 2.000001
+),
+near as (select de, dt from (select de, dt, count(distinct be) as ke, count(distinct bt) as kt from hit group by all) join n ne on ne.doc = de join n nt on nt.doc = dt where ke >= 0.6 * ne.n - 1e-9 and kt >= 0.6 * nt.n - 1e-9)
+select distinct least(de, dt) as dok_a, greatest(de, dt) as dok_b, splitt from near join member on member.doc = de and splitt <> 'train'
+union select doc, doc, splitt from member where splitt <> 'train' and doc in (select doc from t)
+""",
+    "p6_found": f"""
+with d as (select doc_id, {_WORDS} as a from documents where doc_id is not null and text is not null), i as (select item_id, {_WORDS} as a from eval_items where item_id is not null and text is not null),
+dg as (select doc_id, array_to_string(a[k:k + 15], ' ') as g from (select *, unnest(generate_series(1, len(a) - 15)) as k from d where len(a) >= 16)),
+ig as (select item_id, array_to_string(a[k:k + 15], ' ') as g from (select *, unnest(generate_series(1, len(a) - 15)) as k from i where len(a) >= 16))
+select distinct doc_id, item_id from dg join ig using (g)
+""",
+    "p8_found": """
+with g as (select distinct doc_id, substring(text, k, 300) as s from (select doc_id, text, unnest(generate_series(1, length(text) - 299)) as k from documents where length(text) >= 300 and doc_id is not null)),
+h as (select doc_id, md5_number(s) as m from g)
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from h a join h b on a.m = b.m and a.doc_id < b.doc_id
+""",
     "p2_found": r"""
 with recursive
 m as (
