@@ -7,20 +7,23 @@ what fits on a sheet, which bounds the group. Ties in every order are broken by
 from __future__ import annotations
 
 import math
+import re
 from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvern.functions.numbers import MISREAD, READ
-from kvern.functions.scalar import find_numbers
+from kvern.functions.numbers import MISREAD, ORG_WORDS, READ
+from kvern.functions.scalar import find_numbers, valid_orgnr
 
 # Digits to cover, paddings, height cap, overlap of duplicates, detector confidence floors, and lenient limits.
 COVERED_DIGITS, PAD_X, PAD_Y, HEIGHT_CAP = 5, 0.35, 0.35, 3.0
 DUPLICATE, CONF_VERTICAL, CONF_NO_TEXT, VERTICAL, MIN_DIGITS, MAX_LETTERS = 0.5, 0.02, 0.02, 1.3, 1, 1
 FREE_GAPS = (2, 4, 6)
 _FOLD = str.maketrans(MISREAD, READ)
+_ORG = re.compile(ORG_WORDS)
+_RUN = re.compile(r"[0-9](?:[ .,_-]{0,2}[0-9])*")
 
 PAGE = ["doc", "page"]
 
@@ -161,6 +164,60 @@ def merge_boxes(tokens: DataFrame, detected: DataFrame) -> DataFrame:
     return tokens.groupBy(*PAGE).cogroup(detected.groupBy(*PAGE)).applyInPandas(run, _BOX)
 
 
+def _spans(boxes: list, start: int, end: int, box: tuple) -> bool:
+    """Whether the digits of text[start:end] reach over the box horizontally."""
+    held = [b for b in boxes[start:end] if b is not None]
+    return bool(held) and max(b[1] for b in held) > box[0] and min(b[0] for b in held) < box[2]
+
+
+def line_features(tokens: list[dict], box: tuple) -> dict:
+    """The text features of a detector box: what is in it, and what stands on its line where the digits reach over it."""
+    inner = [t for t in tokens if _size(s := (t["x0"], t["y0"], t["x1"], t["y1"])) and _inside(s, box) / _size(s) > 0.3]
+    numeric = "".join(t["text"] for t in inner if any(c.isdigit() for c in t["text"]))
+    scores = lambda ts: [t["rec_score"] for t in ts if t["rec_score"] is not None and not math.isnan(t["rec_score"])]
+    least = lambda v: round(min(v), 5) if v else None
+    out = {
+        "har_tokens": int(bool(inner)), "n_siffer": sum(c.isdigit() for c in numeric), "n_bokstaver": sum(c.isalpha() for c in numeric), "rec_min": least(scores(inner)),
+        "rec_median": round(median(scores(inner)), 5) if scores(inner) else None, "rec_min_linje": None, "n_siffer_linje": 0, "siffer_run": 0, "har_fnr_kandidat": 0, "har_desimal_naer": 0,
+        "har_00_run": 0, "har_orgnr": 0, "har_org_ord": 0, "lang_run": 0,
+    }
+    lines = group_lines(tokens)
+    reach = 1.5 * (box[3] - box[1])
+    for line in lines:
+        middle = (min(t["y0"] for t in line) + max(t["y1"] for t in line)) / 2
+        if box[1] - reach <= middle <= box[3] + reach and _ORG.search(line_text(line)[0]):
+            out["har_org_ord"] = 1
+    shares = [sum(_inside((t["x0"], t["y0"], t["x1"], t["y1"]), box) for t in line) for line in lines]
+    if not shares or max(shares) <= 0:
+        return out
+    own = lines[shares.index(max(shares))]
+    text, boxes = line_text(own)
+    over = lambda m: _spans(boxes, m.start(), m.end(), box)
+    runs = [re.sub("[^0-9]", "", m.group()) for m in _RUN.finditer(text) if over(m)]
+    org = [r if len(r) == 9 else r[2:] for r in runs if len(r) == 9 or len(r) == 11 and r.startswith("00")]
+    return out | {
+        "rec_min_linje": least(scores(own)), "n_siffer_linje": sum("0" <= c <= "9" for c in text), "siffer_run": max((len(m.group()) for m in re.finditer("[0-9]+", text) if over(m)), default=0),
+        "har_fnr_kandidat": int(any(_spans(boxes, s, e, box) for s, e, _ in find_numbers(text, mod11=False))), "har_desimal_naer": int(any(over(m) for m in re.finditer("[0-9][.,][0-9]", text))),
+        "har_00_run": int(any(10 <= len(r) <= 12 and r.startswith("00") for r in runs)), "har_orgnr": int(any(r[0] in "89" and valid_orgnr(r) for r in org)), "lang_run": max(map(len, runs), default=0),
+    }
+
+
+_WHOLE = ("har_tokens", "n_siffer", "n_bokstaver", "n_siffer_linje", "siffer_run", "har_fnr_kandidat", "har_desimal_naer", "har_00_run", "har_orgnr", "har_org_ord", "lang_run")
+
+
+def box_features(tokens: DataFrame, detected: DataFrame) -> DataFrame:
+    """doc, page, ord and the fourteen text features of every detector box."""
+    names = [*_WHOLE, "rec_min", "rec_median", "rec_min_linje"]
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        page = left.to_dict("records")
+        rows = [(*key, d["ord"], *(f[n] for n in names)) for d in right.to_dict("records") for f in [line_features(page, (d["x0"], d["y0"], d["x1"], d["y1"]))]]
+        return pd.DataFrame(rows, columns=["doc", "page", "ord", *names]).astype({n: "float64" for n in names[-3:]})
+
+    schema = "doc bigint, page int, ord int, " + ", ".join(f"{n} int" for n in _WHOLE) + ", rec_min double, rec_median double, rec_min_linje double"
+    return tokens.groupBy(*PAGE).cogroup(detected.groupBy(*PAGE)).applyInPandas(run, schema)
+
+
 def box_text_features(tokens: DataFrame, detected: DataFrame) -> DataFrame:
     """doc, page, ord, har_tokens, n_siffer, n_bokstaver, rec_min of each detector box from the tokens that lie in it by more than 0.3, all in Columns."""
     from kvern.functions.geometry import Box, covered_share

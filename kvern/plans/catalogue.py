@@ -9,7 +9,7 @@ from kvern.functions import geometry as g
 from kvern.functions import numbers, scalar, text
 from kvern.functions.keys import doc_number
 from kvern.operators import labels as lab
-from kvern.operators import layout, matching, measure, rules, sampling, stats, views
+from kvern.operators import layout, matching, measure, review, rules, sampling, stats, views
 from kvern.plans.oracle import ORACLE
 from kvern.session import materialize
 from kvern.sources.files import label_lines
@@ -622,6 +622,12 @@ def merge_boxes(b):
 
 @query
 def box_features(b):
+    return layout.box_features(_tokens(b), _detected(b))
+
+
+@query
+def box_counts(b):
+    """The counting features of detector boxes without leaving the JVM."""
     return layout.box_text_features(_tokens(b), _detected(b))
 
 
@@ -660,3 +666,89 @@ def events_first_seen(b):
 def resume_documents(b):
     """Documents with predictions that the label table doesn't hold yet."""
     return queue.resumable(b.preds.select("doc_no").distinct(), b.labels)
+
+
+# ----- review and smaller reports
+
+@query
+def profile_rules(b):
+    """kilde, n, gone: what production discards, with the rule profiles of the documents."""
+    d = review.discarded(b.preds, b.meta)
+    return d.groupBy("kilde").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("gone").cast("bigint")).alias("gone"))
+
+
+AXES = {"min_elongation": (1.2, 1.5, 2.0, 3.0), "max_height": (40, 60, 80), "max_width": (80, 120), "min_short_side": (5, 6, 7), "max_area": (400, 900), "min_digits": (3, 5, 8), "rec_veto": (0.9, 0.98), "max_gap": (2, 4, 6), "min_area_px": (700, 965, 1300), "without_text_conf": (0.1, 0.4)}
+
+
+def axis_configs():
+    return [(f"{name}={v:g}", None, {name: v}) for name, values in AXES.items() for v in values]
+
+
+@query
+def one_parameter_sweeps(b):
+    return measure.measure(*b.stored(), axis_configs()).select("config_id", "lost", "ov_rm", "n_rm", "net")
+
+
+@query
+def lost_truth(b):
+    c, e, _ = b.stored()
+    gone = F.lit(False)
+    for kilde, config in rules.ANY_CONFIDENCE.items():
+        gone = gone | ((F.col("kilde") == kilde) & rules.removed(rules.literal(config), F.col))
+    return review.lost_truth(c, e, gone)
+
+
+@query
+def coverage_review(b):
+    return review.coverage_review(b.best()[0])
+
+
+@query
+def error_documents(b):
+    return review.error_documents(b.labels)
+
+
+@query
+def manual_slice(b):
+    return review.manual_slice(b.labels, b.meta)
+
+
+@query
+def thin_pages(b):
+    return review.thin_pages(b.pages, b.labels, 3)
+
+
+@query
+def page_orientation(b):
+    return review.page_orientation(b.pages)
+
+
+@query
+def numbered_boxes(b):
+    return review.numbered(b.preds)
+
+
+@query
+def chosen_documents(b):
+    return review.chosen_documents(b.meta, 1960, 1990, "^(HJ|PA)_")
+
+
+@query
+def rounded_join(b):
+    return review.rounded_join(b.manifest, b.preds)
+
+
+@query
+def time_shares(b):
+    return review.time_shares(b.table("verdicts"))
+
+
+@query
+def event_last_step(b):
+    return review.last_step(b.table("events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")).distinct(), "user_id", "t")
+
+
+@query
+def listed_pages(b):
+    """doc, page, n of the split lists' file names."""
+    return b.table("splittliste").select(review.name_parts(F.col("fil")).alias("k")).groupBy("k.doc", "k.page").agg(F.count(F.lit(1)).alias("n"))

@@ -402,3 +402,30 @@ rest as (select * from (with {hits('rcls')}, {measured('rcls', 'redge', 'rtruth'
 heldm as (select * from (with {hits('hcls')}, {measured('hcls', 'hedge', 'htruth')} select config_id, net, lost, ov_rm from m)),
 front as (select config_id, net as net_rest from rest qualify ov_rm > coalesce(max(ov_rm) over (order by lost, ov_rm desc, config_id rows between unbounded preceding and 1 preceding), -1))
 select config_id, net_rest, net, lost, ov_rm from front join heldm using (config_id) order by net desc, net_rest desc, config_id limit 1"""
+
+_PROFILED = [(n, k, c) for n, (k, c) in rules.PRODUCTION.items()] + [("any " + k, k, c) for k, c in rules.ANY_CONFIDENCE.items()] + [("gated", None, rules.BEHIND_GATE)]
+_AXES = {"min_elongation": (1.2, 1.5, 2.0, 3.0), "max_height": (40, 60, 80), "max_width": (80, 120), "min_short_side": (5, 6, 7), "max_area": (400, 900), "min_digits": (3, 5, 8), "rec_veto": (0.9, 0.98), "max_gap": (2, 4, 6), "min_area_px": (700, 965, 1300), "without_text_conf": (0.1, 0.4)}
+_AXIS_ROWS = config_rows([(f"{n}={v:g}", None, {n: v}) for n, values in _AXES.items() for v in values])
+_COORDINATES = "['SR_JOU', 'AH_JOU', 'KA_MOB', 'KA_GRE', 'TR_MAS', 'SR_SKN', 'JS_JSA', 'FR_REG', 'SR_UTS']"
+
+ORACLE |= {
+    "profile_rules": f"""with {PRED}, {META}, {config_rows(_PROFILED)},
+pp as (select p.*, coalesce(list_has_any(codes, {_COORDINATES}), false) as co, coalesce(list_contains(codes, 'SE_SEK'), false) as se from pred p left join meta m on p.doc_no = m.doc_no),
+gone as (select distinct p.pred_id from pp p join cfg c on (c.kilde is null or c.kilde = p.kilde) and (c.config_id <> 'coordinates' or p.co) and (c.config_id not like 'sectioning%' or p.se) where {removed('c', 'p')})
+select kilde, count(*) as n, count(*) filter (pred_id in (select pred_id from gone)) as gone from pp group by kilde""",
+    "one_parameter_sweeps": f"with {MATCH}, {_AXIS_ROWS}, {hits()}, {measured()} select config_id, lost, ov_rm, n_rm, net from m",
+    "lost_truth": f"""with {MATCH}, {config_rows([(k, k, c) for k, c in rules.ANY_CONFIDENCE.items()])}, gone as (select distinct p.pred_id from cls p join cfg c on c.kilde = p.kilde where {removed('c', 'p')}),
+lost as (select label_id from edge group by 1 having bool_and(pred_id in (select pred_id from gone))) select label_id, pred_id from edge where label_id in (select label_id from lost)""",
+    "coverage_review": f"with {MATCH} select label_id, doc_no, side, case when cov <= 0 then 'uncovered' when cov < 0.32 then 'poorly covered' else 'ok' end as state from best",
+    "error_documents": f"with {LABELS}, s as (select doc_no, string_agg(distinct case when status = '' then '(empty)' else status end, ',' order by case when status = '' then '(empty)' else status end) as states from lab group by 1) select * from s where states <> 'ACCEPTED'",
+    "manual_slice": f"with {LABELS}, {META} select coalesce(cast(decade as varchar), 'ukjent') as decade, count(*) as n, count(*) filter (status in ('MANUAL', 'MOVED') or not ml) as manual from lab left join meta using (doc_no) group by 1",
+    "thin_pages": f"with {PRED}, {LABELS}, n as (select doc_no, side, count(*) as n from lab group by all) select p.doc_no, p.side, coalesce(n, 0) as n from (select distinct doc_no, side from pred) p left join n on p.doc_no = n.doc_no and p.side = n.side where coalesce(n, 0) < 3",
+    "page_orientation": f"with {PRED}, s as (select arg_min(bilde_bredde, pred_id) > arg_min(bilde_hoyde, pred_id) as lying from pred group by doc_no, side) select lying, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from s group by lying",
+    "numbered_boxes": f"with {PRED} select pred_id, row_number() over (order by navn, side, y0, x0, kilde, pred_id) as nr from pred",
+    "chosen_documents": f"with {META} select doc_no from meta where year between 1960 and 1990 and len(list_filter(codes, lambda c: regexp_matches(c, '^(HJ|PA)_'))) > 0",
+    "rounded_join": f"with {PRED}, {MANIFEST} select nr, pred_id from man m join pred p on m.doc_no = p.doc_no and m.side = p.side and {' and '.join(f'round(m.{c} * 10, 0) = round(p.{c} * 10, 0)' for c in ('x0', 'y0', 'x1', 'y1'))} where m.klasse = 'BOM'",
+    "time_shares": """with s as (select coalesce(nullif(lower(trim(kilde)), ''), 'unknown') as kilde, round(sum(sekunder), 2) as seconds from (select distinct on (verdict_id) * from verdicts) where sekunder is not null and not isnan(sekunder) group by 1)
+select kilde, seconds, round(seconds / sum(seconds) over (), 4) as share from s""",
+    "event_last_step": "with t as (select distinct user_id, epoch_us(ts) / 1e6 as t from events), l as (select user_id, t, lag(t) over (partition by user_id order by t) as prev from t) select user_id, round(coalesce(arg_max(t, t) - arg_max_null(prev, t), max(t)), 3) as seconds from l group by 1",
+    "listed_pages": f"select {doc('fil')} as doc, try_cast(regexp_extract(fil, '_(?:side|p)([0-9]+)\\.[A-Za-z]+$', 1) as int) as page, count(*) as n from splittliste group by all",
+}
