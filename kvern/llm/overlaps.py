@@ -73,7 +73,6 @@ def near_same(box_sets: DataFrame, evaluated: DataFrame, trained: DataFrame, tol
     roles = evaluated.select("doc", F.lit(True).alias("e")).union(trained.select("doc", F.lit(False).alias("e")))
     roles = roles.groupBy("doc").agg(F.max("e").alias("in_e"), F.max(~F.col("e")).alias("in_t"))
     used = counted.join(roles, "doc")
-    sets = Window.partitionBy("n", "k1", "k2")
     first = used.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.max("in_e").alias("set_e"), F.max("in_t").alias("set_t"))
     members = materialize(used.join(first, ["n", "k1", "k2"]).select("doc", "rep", "n", "in_e", "in_t", "set_e", "set_t"))
     reps = members.where("doc = rep").select("doc", "n", "set_e", "set_t")

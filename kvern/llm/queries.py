@@ -63,8 +63,7 @@ def _num(c: str) -> str:
 
 _WORDS = r"regexp_extract_all(lower(regexp_replace(text, '-\r?\n', '', 'g')), '[\p{L}\p{N}]+')"
 
-ORACLE = {
-    "p3_found": f"""
+_OVERLAPS = f"""
 with b0 as (select {_doc('fil_revisjon_id')} as doc, cast({_num('sidetall')} as int) as page, {_num('x')} as x, {_num('y')} as y, {_num('width')} as w, {_num('height')} as h from labels),
 box as (
     select distinct doc, page, round(case when w < 0 then x + w else x end, 4) as x, round(case when h < 0 then y + h else y end, 4) as y, round(abs(w), 4) as w, round(abs(h), 4) as h
@@ -81,9 +80,16 @@ hit as (
     from (select * from box where doc in (select doc from e) and doc in (select doc from n)) a join (select * from box where doc in (select doc from t) and doc in (select doc from n)) b
     on a.page = b.page and a.doc <> b.doc and abs(a.x - b.x) <= 2.000001 and abs(a.y - b.y) <= 2.000001 and abs(a.w - b.w) <= 2.000001 and abs(a.h - b.h) <= 2.000001
 ),
-near as (select de, dt from (select de, dt, count(distinct be) as ke, count(distinct bt) as kt from hit group by all) join n ne on ne.doc = de join n nt on nt.doc = dt where ke >= 0.6 * ne.n - 1e-9 and kt >= 0.6 * nt.n - 1e-9)
+near as (select de, dt from (select de, dt, count(distinct be) as ke, count(distinct bt) as kt from hit group by all) join n ne on ne.doc = de join n nt on nt.doc = dt where ke >= 0.6 * ne.n - 1e-9 and kt >= 0.6 * nt.n - 1e-9)"""
+
+ORACLE = {
+    "p3_found": f"""{_OVERLAPS}
 select distinct least(de, dt) as dok_a, greatest(de, dt) as dok_b, splitt from near join member on member.doc = de and splitt <> 'train'
 union select doc, doc, splitt from member where splitt <> 'train' and doc in (select doc from t)
+""",
+    "p3_report": f"""{_OVERLAPS},
+place as (select distinct {_doc('fil')} as doc, lower(trim(splitt)) as splitt, trim(uttrekk) as uttrekk from splittliste where lower(trim(splitt)) in ('val', 'test') union select doc, 'pilot', null from member where splitt = 'pilot')
+select splitt, uttrekk, count(distinct doc) as n_documents, count(distinct case when doc in (select doc from t) then doc end) as n_same, count(distinct case when doc in (select de from near) then doc end) as n_near from place where doc is not null group by all
 """,
     "p6_found": f"""
 with d as (select doc_id, {_WORDS} as a from documents where doc_id is not null and text is not null), i as (select item_id, {_WORDS} as a from eval_items where item_id is not null and text is not null),
