@@ -54,10 +54,15 @@ class Base:
     def judged(self) -> DataFrame:
         return views.judged(self.table("manifest"), self.table("verdicts"))
 
-    def matched(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(predictions in scope, truth in scope, overlapping pairs)."""
-        labels = self.labels
-        inside, truth = matching.scoped_predictions(self.preds, labels), matching.truth_boxes(labels, views.prediction_pages(self.table("resultat")))
+    def matched(self, stored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(predictions in scope, truth in scope, overlapping pairs).
+
+        The truth is written once: it sets the scope (a document in scope has truth) and is matched. With `stored` so are
+        the predictions, for plans that read them several times.
+        """
+        truth = materialize(matching.truth_boxes(self.labels, views.prediction_pages(self.table("resultat"))))
+        inside = self.preds.join(truth.select("doc_no").distinct(), "doc_no", "left_semi")
+        inside = materialize(inside) if stored else inside
         return inside, truth, matching.overlapping_pairs(inside, truth)
 
     def classified(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,11 +72,10 @@ class Base:
         return matching.classify(inside, edges), edges, truth
 
     def stored(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """classified() written once, for plans that read it several times."""
-        c, e, t = self.classified()
-        e = materialize(e)
-        inside = matching.scoped_predictions(self.preds, self.labels)
-        return materialize(matching.classify(inside, e)), e, t.select("label_id", "doc_no", "side", "type", "norm_area")
+        """classified() from tables written once, for plans that read it several times."""
+        inside, truth, pairs = self.matched(stored=True)
+        edges = materialize(matching.covers(pairs))
+        return matching.classify(inside, edges), edges, truth
 
     def best(self) -> tuple[DataFrame, DataFrame]:
         inside, truth, pairs = self.matched()
@@ -251,13 +255,13 @@ def index_percentiles(b):
 
 @query
 def confidence_sweep(b):
-    return matching.confidence_points(*b.classified())
+    return matching.confidence_points(*b.stored())
 
 
 @query
 def rank_models(b):
     """The confidence cut of least cost (then fewest misses, then the lowest), and the standard cut."""
-    p = materialize(matching.confidence_points(*b.classified()))
+    p = materialize(matching.confidence_points(*b.stored()))
     best = p.orderBy("total", "miss", "conf").limit(1).withColumn("cut", F.lit("best"))
     return best.union(p.where("conf = 0.5").withColumn("cut", F.lit("standard")))
 
