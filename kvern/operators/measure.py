@@ -114,21 +114,145 @@ TEXT_AXES = {
     "exempt": {"reject_decimal": [None, 1], "rec_veto": [None, 0.90, 0.95, 0.98], "ocr_conf_exempt": [None, 0.40, 0.45, 0.50, 0.60, 0.70]},
 }
 WINDOW_AXES = {"reject_decimal_gap": [None, 1], "max_gap": [None, 1.5, 2, 3, 4, 6, 8]}
-NOISE_AXES = {"without_text_conf": [None, 0.05, 0.10, 0.20, 0.40], "min_area_px": [None, 700, 965, 1300, 2000], "min_short_side": [None, 5, 6, 7], "max_long_side": [None, 120, 160]}
+NOISE_AXES = {"min_short_side": [None, 4, 5, 6, 7], "min_long_side": [None, 15, 20, 25, 30], "max_elongation": [None, 6, 8, 10, 12, 15], "conf_threshold": [None, 0.5]}
+#: The grids that are swept per source as well, and how many of each source's configs are combined across the sources.
+SOURCE_AXES = {"geometry": GEOMETRY_AXES, "noise": NOISE_AXES}
+CANDIDATES = 8
+SWEPT = ("config_id", "lost", "ov_rm", "n_rm", "red_rm", "critical_rm", "net", "recall_after", "prec_after")
 
 
-def default_sweep() -> list[tuple[str, str | None, dict]]:
-    """All configs of the default sweep, each parameter set once."""
+def sources(classified: DataFrame) -> dict[str, bool]:
+    """kilde -> whether any of its boxes has a confidence, by name."""
+    return {r["kilde"]: r["n"] > 0 for r in sorted(classified.groupBy("kilde").agg(F.count("conf").alias("n")).collect())}
+
+
+def source_grid(family: str, kilde: str, has_conf: bool) -> list[tuple[str, str | None, dict]]:
+    """The grid of a family for one source; without confidences that axis is off."""
+    axes = SOURCE_AXES[family]
+    return grid(f"{family} [{kilde}]", axes if has_conf else axes | {"conf_threshold": [None]}, kilde)
+
+
+def _key(kilde: str | None, config: dict) -> tuple:
+    return kilde, tuple(sorted(config.items()))
+
+
+def default_sweep(found: dict[str, bool] | None = None) -> list[tuple[str, str | None, dict]]:
+    """All configs of the default sweep, each parameter set once: the shared grids, and those of each source in `found`."""
     rows = grid("geometry", GEOMETRY_AXES)
     for name, axes in TEXT_AXES.items():
         rows += grid(name, axes)
     rows += grid("window", WINDOW_AXES, "paddle") + grid("noise", NOISE_AXES)
+    for family in SOURCE_AXES:
+        for kilde, has_conf in (found or {}).items():
+            rows += source_grid(family, kilde, has_conf)
     once: dict = {}
     for name, kilde, config in rows:
-        once.setdefault((kilde, tuple(sorted(config.items()))), (name, kilde, config))
+        once.setdefault(_key(kilde, config), (name, kilde, config))
     return list(once.values())
 
 
+Picks = dict[str, dict[str, list[tuple[str, str, dict]]]]
+
+
+def full_sweep(classified: DataFrame, edges: DataFrame, truth: DataFrame, chosen: tuple[dict[str, bool], Picks] | None = None, cost: float = COST) -> tuple[DataFrame, tuple[dict[str, bool], Picks]]:
+    """(SWEPT of every config of the sweep, what the data chose): the shared grids, the grids of each source, and per
+    family every combination of the best CANDIDATES configs of each source (by net, then loss, then order of the grid).
+
+    What was chosen on some documents can be given for others, so that the same configs are measured there.
+    """
+    found = chosen[0] if chosen else sources(classified)
+    configs = default_sweep(found)
+    single = materialize(measure(classified, edges, truth, configs, cost))
+    out = single.select(*SWEPT)
+    if len(found) < 2:
+        return out, (found, {})
+    ids = {_key(k, c): n for n, k, c in configs}
+    measured = {r["config_id"]: r for r in single.select("config_id", "lost", "ov_rm", "n_rm", "net").collect()}
+    picks = chosen[1] if chosen else {}
+    if not chosen:
+        for family in SOURCE_AXES:
+            ranked = {k: sorted(source_grid(family, k, has), key=lambda r: (-measured[m := ids[_key(r[1], r[2])]]["net"], measured[m]["lost"])) for k, has in found.items()}
+            picks[family] = {k: [(ids[_key(k, c)], n.removeprefix(f"{family} [{k}]").strip() or "off", c) for n, _, c in rows[:CANDIDATES]] for k, rows in ranked.items()}
+    totals = (
+        classified.agg(F.count(F.lit(1)).alias("n_pred"), F.count_if(F.col("klasse") == "BOM").alias("n_bom"))
+        .join(edges.agg(F.count_distinct("label_id").alias("covered_before"))).join(truth.agg(F.count(F.lit(1)).alias("n_truth"))).first()
+    )
+    for family, of_source in picks.items():
+        out = out.union(_cross_sources(classified, edges, family, of_source, measured, totals, cost))
+    return out, (found, picks)
+
+
+def _cross_sources(classified: DataFrame, edges: DataFrame, family: str, picks: dict[str, list[tuple[str, str, dict]]], measured: dict, totals, cost: float) -> DataFrame:
+    """SWEPT of every combination of one config per source.
+
+    A box has one source, so what is removed adds up over the sources. A truth box is lost where, for every source that
+    covers it, the chosen config removes all coverers of that source: a row per truth has the bitwise and of their masks
+    in the slot of each source (all ones where the source doesn't cover it). Equal rows are counted before the
+    combinations are formed, so no truth is multiplied by their number.
+    """
+    spark = classified.sparkSession
+    widths = [len(p) for p in picks.values()]
+    firsts = np.concatenate([[0], np.cumsum(widths)]).tolist()
+    configs = [(k, c) for k, p in picks.items() for _, _, c in p]
+    words = [f"m{j}" for j in range(-(-len(configs) // WORD))]
+    slot = {k: set(range(firsts[s], firsts[s + 1])) for s, k in enumerate(picks)}
+
+    def foreign(j: int):
+        bits = range(j * WORD, min(len(configs), (j + 1) * WORD))
+        column = F
+        for k, own in slot.items():
+            column = column.when(F.col("kilde") == k, F.lit(sum(1 << (i - j * WORD) for i in bits if i not in own)).cast("bigint"))
+        return column.otherwise(F.lit(0).cast("bigint"))
+
+    covering = classified.join(edges.select("pred_id").distinct(), "pred_id", "left_semi")
+    slots = with_masks(covering, configs, ["pred_id", "kilde"]).select("pred_id", *[F.col(w).bitwiseOR(foreign(j)).alias(w) for j, w in enumerate(words)])
+    links = edges.select("pred_id", "label_id")
+    lost = materialize(links.join(slots, "pred_id").groupBy("label_id").agg(F.array(*[F.bit_and(w) for w in words]).alias("mask")))
+    per_truth = lost.groupBy(F.array("mask").alias("masks")).agg(F.count(F.lit(1)).alias("n")).select("masks", "n", F.lit(True).alias("is_truth"))
+    # a removed box is critical where any truth it covers is lost, and a truth is lost only with all that cover it
+    per_pred = links.join(lost, "label_id").groupBy("pred_id").agg(F.sort_array(F.collect_set("mask")).alias("masks")).groupBy("masks").agg(F.count(F.lit(1)).alias("n")).select("masks", "n", F.lit(False).alias("is_truth"))
+    n = int(np.prod(widths))
+
+    def every(mask) -> np.ndarray | None:
+        bits = np.concatenate([(np.int64(w) >> np.arange(WORD)) & 1 for w in mask]).astype(bool)
+        out = np.ones(1, bool)
+        for a, b in zip(firsts, firsts[1:]):
+            if not bits[a:b].any():
+                return None
+            out = np.logical_and.outer(out, bits[a:b]).ravel()
+        return out
+
+    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, n), np.int64)
+        for f in frames:
+            for masks, count, is_truth in zip(f["masks"], f["n"], f["is_truth"]):
+                some = [v for v in map(every, masks) if v is not None]
+                if some:
+                    total[0 if is_truth else 1] += np.logical_or.reduce(some) * np.int64(count)
+        at = np.flatnonzero(total.any(axis=0))
+        yield pd.DataFrame({"id": at, "lost": total[0, at], "critical_rm": total[1, at]})
+
+    losses = per_truth.union(per_pred).mapInPandas(combine, "id bigint, lost bigint, critical_rm bigint").groupBy("id").agg(F.sum("lost").alias("lost"), F.sum("critical_rm").alias("critical_rm"))
+    names = [np.array([f"{k} {label}" for _, label, _ in p], object) for k, p in picks.items()]
+    sums = {c: [np.array([measured[i][c] for i, _, _ in p], np.int64) for p in picks.values()] for c in ("ov_rm", "n_rm")}
+
+    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            at = np.unravel_index(f["id"].to_numpy(), widths)
+            ids = [f"cross {family} " + "; ".join(parts) for parts in zip(*[a[i] for a, i in zip(names, at)])]
+            yield pd.DataFrame({"id": f["id"], "config_id": ids, **{c: sum(a[i] for a, i in zip(arrays, at)) for c, arrays in sums.items()}})
+
+    rows = spark.range(n).mapInPandas(label, "id bigint, config_id string, ov_rm bigint, n_rm bigint").join(losses, "id", "left")
+    c = F.col
+    rows = rows.select("config_id", "ov_rm", "n_rm", *[F.coalesce(x, F.lit(0)).cast("bigint").alias(x) for x in ("lost", "critical_rm")], (c("n_rm") - c("ov_rm")).alias("covering_rm"))
+    percent = lambda a, b: F.round(F.when(b > 0, a * 100.0 / b).otherwise(F.lit(0.0)), 4)
+    kept, right = F.lit(totals["n_pred"]) - c("n_rm"), F.lit(totals["n_pred"] - totals["n_bom"]) - c("covering_rm")
+    return rows.select(
+        "config_id", "lost", "ov_rm", "n_rm", (c("covering_rm") - c("critical_rm")).alias("red_rm"), "critical_rm", (c("ov_rm") - cost * c("lost")).alias("net"),
+        percent(F.lit(totals["covered_before"]) - c("lost"), F.lit(totals["n_truth"])).alias("recall_after"), percent(right, kept).alias("prec_after"),
+    )
+
+
 def pareto(measured: DataFrame) -> DataFrame:
     """The rows where more is removed than at any smaller loss; measured has one row per config, so one task sorts thousands."""
     before = Window.orderBy("lost", F.desc("ov_rm"), "config_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -213,11 +213,11 @@ def with_masks(preds: DataFrame, configs: list[tuple[str | None, dict]], keep: l
             v = {name: f[name].to_numpy(np.float64, na_value=np.nan) for name in INPUTS}
             source = f["kilde"].to_numpy()
             masks = np.zeros((words, len(f)), np.int64)
+            # a config of one source judges the rows of that source only
+            at = {kilde: slice(None) if kilde is None else np.flatnonzero(source == kilde) for kilde in {k for k, _ in ready}}
+            parts = {kilde: {name: a[rows] for name, a in v.items()} for kilde, rows in at.items()}
             for i, (kilde, c) in enumerate(ready):
-                hit = removed_rows(v, c)
-                if kilde is not None:
-                    hit &= source == kilde
-                masks[i // WORD] |= hit.astype(np.int64) << np.int64(i % WORD)
+                masks[i // WORD][at[kilde]] |= removed_rows(parts[kilde], c).astype(np.int64) << np.int64(i % WORD)
             yield pd.concat([f[keep].reset_index(drop=True), pd.DataFrame({f"m{j}": masks[j] for j in range(words)})], axis=1)
 
     return preds.select(*dict.fromkeys([*keep, "kilde", *INPUTS])).mapInPandas(run, schema)

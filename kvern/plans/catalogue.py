@@ -200,12 +200,12 @@ def measure_configs(b):
 
 @query
 def sweep_grid(b):
-    return measure.measure(*b.stored(), measure.default_sweep()).select("config_id", "lost", "ov_rm", "n_rm", "red_rm", "critical_rm", "net", "recall_after", "prec_after")
+    return measure.full_sweep(*b.stored())[0]
 
 
 @query
 def sweep_pareto(b):
-    return measure.pareto(measure.measure(*b.stored(), measure.default_sweep())).select("config_id", "lost", "ov_rm", "net")
+    return measure.pareto(measure.full_sweep(*b.stored())[0]).select("config_id", "lost", "ov_rm", "net")
 
 
 @query
@@ -232,9 +232,9 @@ def best_recommendation(b):
     c, e, t = b.stored()
     docs = materialize(measure.holdout_documents(c.select("doc_no").distinct(), 0.3))
     rest = c.select("doc_no").distinct().join(docs, "doc_no", "left_anti")
-    sweep = measure.default_sweep()
-    front = measure.pareto(measure.measure(*measure.restricted(c, e, t, rest), sweep)).select("config_id", F.col("net").alias("net_rest"))
-    held = measure.measure(*measure.restricted(c, e, t, docs), sweep).select("config_id", "net", "lost", "ov_rm")
+    swept, chosen = measure.full_sweep(*measure.restricted(c, e, t, rest))
+    front = measure.pareto(swept).select("config_id", F.col("net").alias("net_rest"))
+    held = measure.full_sweep(*measure.restricted(c, e, t, docs), chosen)[0].select("config_id", "net", "lost", "ov_rm")
     return front.join(held, "config_id").orderBy(F.desc("net"), F.desc("net_rest"), "config_id").limit(1)
 
 
