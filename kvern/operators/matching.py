@@ -117,13 +117,18 @@ def criterion_states(preds: DataFrame, truth: DataFrame, pairs: DataFrame, first
     return on_truth, on_class
 
 
+def cut_confidence():
+    return F.coalesce("conf", F.lit(1.0))
+
+
 def confidence_points(classified: DataFrame, edges: DataFrame, truth: DataFrame, cost: float = 5.0, most_points: int = 400, standard: float = 0.5) -> DataFrame:
     """conf, miss, over, total for the confidence cuts that occur: truths without a coverer at or above it, and BOM boxes at or above it.
 
-    Values are rounded to four decimals, so there are at most 10 001 of them at any data size; beyond `most_points` every
-    k-th is kept, as the report wants, and the standard cut always.
+    A box without a confidence (other sources than the detector) survives every cut. Values are rounded to four decimals,
+    so there are at most 10 001 of them at any data size; beyond `most_points` those at int(i * step) are kept, as the
+    report wants, and the standard cut always.
     """
-    conf = F.coalesce("conf", F.lit(0.0))
+    conf = cut_confidence()
     top = edges.join(classified.select("pred_id", conf.alias("c")), "pred_id").groupBy("label_id").agg(F.max("c").alias("v"))
     kinds = top.select("v", F.lit(1).alias("is_truth")).union(classified.where("klasse = 'BOM'").select(conf.alias("v"), F.lit(0).alias("is_truth")))
     # a value is below the cut it rounds to, or at it; with at most 10 001 cuts there are twice as many groups
@@ -136,8 +141,29 @@ def confidence_points(classified: DataFrame, edges: DataFrame, truth: DataFrame,
     n_truth = truth.agg(F.count(F.lit(1)).alias("n_truth"))
     swept = events.select("at", "order", F.coalesce(F.sum("t").over(below), F.lit(0)).alias("t_below"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("b_below")).where("order = 0")
     ranked = swept.withColumn("r", F.row_number().over(Window.orderBy("at")) - 1).withColumn("n_points", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    kept = ranked.where((F.col("n_points") <= most_points) | (F.col("at") == standard) | (F.floor((F.col("r") + 1) * most_points / F.col("n_points")) > F.floor(F.col("r") * most_points / F.col("n_points"))))
+    step = F.col("n_points") / float(most_points)
+    picked = F.exists(F.sequence(F.lit(0), F.lit(most_points - 1)), lambda i: F.floor(i * step) == F.col("r"))
+    kept = ranked.where((F.col("n_points") <= most_points) | (F.col("at") == standard) | picked)
     rows = kept.join(sums).join(n_truth)
     miss = F.col("n_truth") - F.col("all_t") + F.col("t_below")
     over = F.col("all_b") - F.col("b_below")
     return rows.select(F.col("at").alias("conf"), miss.alias("miss"), over.alias("over"), (cost * miss + over).alias("total"))
+
+
+def cut_slices(classified: DataFrame, edges: DataFrame, truth: DataFrame, meta: DataFrame, cuts: DataFrame) -> DataFrame:
+    """cut, conf, part, value, n_truth, miss, worst: misses at each row of cuts (cut, conf) on manual and moved truth, per decade and per code.
+
+    A document with several codes counts under each; without a decade or a code it is "unknown". worst marks the decade,
+    and the known code, of most misses (the first by name on ties); nothing is worst where nothing is missed.
+    """
+    top = edges.join(classified.select("pred_id", cut_confidence().alias("c")), "pred_id").groupBy("label_id").agg(F.max("c").alias("v"))
+    docs = meta.select("doc_no", F.col("decade").cast("string").alias("decade"), "codes")
+    codes = F.when(F.size("codes") > 0, F.col("codes")).otherwise(F.array(F.lit("unknown")))
+    part = lambda name, values: F.transform(values, lambda x: F.struct(F.lit(name).alias("part"), x.alias("value")))
+    manual = F.when(~F.col("ml") | F.col("status").isin("MANUAL", "MOVED"), F.array(F.lit("manual"))).otherwise(F.expr("cast(array() as array<string>)"))
+    parts = F.concat(part("manual", manual), part("decade", F.array(F.coalesce("decade", F.lit("unknown")))), part("code", codes))
+    rows = truth.join(top, "label_id", "left").join(docs, "doc_no", "left").select("v", F.explode(parts).alias("p")).select("v", "p.*")
+    counts = rows.join(F.broadcast(cuts.select("cut", "conf"))).groupBy("cut", "conf", "part", "value").agg(F.count(F.lit(1)).alias("n_truth"), F.count_if(F.col("v").isNull() | (F.col("v") < F.col("conf"))).alias("miss"))
+    ranks = (F.col("part") != "manual") & (F.col("miss") > 0) & ~((F.col("part") == "code") & (F.col("value") == "unknown"))
+    first = F.row_number().over(Window.partitionBy("cut", "part").orderBy(F.when(ranks, F.col("miss")).desc_nulls_last(), "value")) == 1
+    return counts.withColumn("worst", ranks & first)

@@ -258,12 +258,23 @@ def confidence_sweep(b):
     return matching.confidence_points(*b.stored())
 
 
+def _ranked(c, e, t) -> DataFrame:
+    p = materialize(matching.confidence_points(c, e, t))
+    best = p.orderBy("total", "miss", "conf").limit(1).withColumn("cut", F.lit("best"))
+    return best.union(p.where("conf = 0.5").withColumn("cut", F.lit("standard")))
+
+
 @query
 def rank_models(b):
     """The confidence cut of least cost (then fewest misses, then the lowest), and the standard cut."""
-    p = materialize(matching.confidence_points(*b.stored()))
-    best = p.orderBy("total", "miss", "conf").limit(1).withColumn("cut", F.lit("best"))
-    return best.union(p.where("conf = 0.5").withColumn("cut", F.lit("standard")))
+    return _ranked(*b.stored())
+
+
+@query
+def rank_slices(b):
+    """Misses at the cuts of rank_models on manual and moved truth, per decade and per code, and the worst of them."""
+    c, e, t = b.stored()
+    return matching.cut_slices(c, e, t, b.meta, materialize(_ranked(c, e, t)))
 
 
 @query
