@@ -19,7 +19,7 @@ from kvern.streaming import queue
 __all__ = ["ORACLE", "QUERIES"]
 
 #: Criteria and thresholds of the curve, the two criteria that are compared, the band that is reviewed.
-THRESHOLDS = (0.1, 0.2, 0.32, 0.5, 0.7, 0.9)
+THRESHOLDS = (0.15, 0.25, 0.32, 0.4, 0.5, 0.7, 0.9)
 COMPARED = (("area", 0.32), ("iou", 0.2))
 BAND = (0.25, 0.4)
 PROFILE = ("SR_JOU", "AH_JOU", "KA_MOB", "KA_GRE", "TR_MAS", "SR_SKN", "JS_JSA", "FR_REG", "SR_UTS", "SE_SEK")
@@ -692,11 +692,40 @@ def profile_rules(b):
     return d.groupBy("kilde").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("gone").cast("bigint")).alias("gone"))
 
 
-AXES = {"min_elongation": (1.2, 1.5, 2.0, 3.0), "max_height": (40, 60, 80), "max_width": (80, 120), "min_short_side": (5, 6, 7), "max_area": (400, 900), "min_digits": (3, 5, 8), "rec_veto": (0.9, 0.98), "max_gap": (2, 4, 6), "min_area_px": (700, 965, 1300), "without_text_conf": (0.1, 0.4)}
+_REC = (None, 0.80, 0.90, 0.95, 0.98)
+#: The one-parameter sweeps: name, varied parameter, values (None: off), and the parameters beside it.
+AXES = (
+    ("min_elongation", "min_elongation", (1.1, 1.5, 1.7, 2.0, 2.5, 3.0, 3.5, 4.0), {}),
+    ("max_height", "max_height", (25, 30, 35, 40, 45, 50, 60, 80, 100), {}),
+    ("max_width", "max_width", (60, 80, 100, 120, 150, 200, 250), {}),
+    ("conf_threshold", "conf_threshold", (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), {"min_elongation": 1.5, "max_height": 50, "max_width": 120}),
+    ("min_area_px", "min_area_px", (500, 700, 965, 1200, 1600, 2200, 3000), {}),
+    ("min_short_side", "min_short_side", (3, 4, 5, 6, 7, 8, 10), {}),
+    ("min_long_side", "min_long_side", (10, 15, 20, 25, 30, 40, 50), {}),
+    ("max_elongation", "max_elongation", (6, 8, 10, 12, 15, 20, 30, 50), {}),
+    ("min_digits", "min_digits", (2, 3, 4, 5, 6, 8, 11), {}),
+    ("max_letters", "max_letters", (0, 1, 2, 3), {}),
+    ("min_digits_run", "min_digits_run", (6, 7, 8, 9, 10, 11), {}),
+    ("min_digits + rec_veto", "rec_veto", _REC, {"min_digits": 2}),
+    ("require_fnr_candidate + rec_veto", "rec_veto", _REC, {"require_fnr_candidate": 1}),
+    ("reject_decimal + rec_veto", "rec_veto", _REC, {"reject_decimal": 1}),
+    ("reject_decimal + ocr_conf_exempt", "ocr_conf_exempt", (None, 0.40, 0.45, 0.50, 0.60, 0.70), {"reject_decimal": 1, "rec_veto": 0.98}),
+    ("reject_00_run + rec_veto", "rec_veto", _REC, {"reject_00_run": 1}),
+    ("reject_orgnr + rec_veto", "rec_veto", _REC, {"reject_orgnr": 1}),
+    ("reject_org_ord 1 + rec_veto", "rec_veto", _REC, {"reject_org_ord": 1}),
+    ("reject_org_ord 2 + rec_veto", "rec_veto", _REC, {"reject_org_ord": 2}),
+    ("require_fnr_candidate + line_veto", "line_veto", (None, 0.95, 0.98, 0.99, 0.995, 0.999, 0.9999), {"require_fnr_candidate": 1, "rec_veto": 0.98}),
+    ("reject_run_6_10", "reject_run_6_10", (None, 8, 9, 10), {"rec_veto": 0.98, "line_veto": 0.99}),
+    ("reject_run_6_10 9 + line_veto", "line_veto", (None, 0.98, 0.99, 0.995, 0.999, 0.9999), {"reject_run_6_10": 9, "rec_veto": 0.98}),
+    ("without_text_conf", "without_text_conf", (None, 0.45, 0.50, 0.60, 0.70, 0.80), {}),
+    ("max_gap", "max_gap", (1.5, 2, 3, 4, 6, 8, 12), {}),
+    ("reject_decimal_gap", "reject_decimal_gap", (1,), {}),
+    ("reject_decimal_gap + max_gap", "max_gap", (None, 1.5, 2, 3, 4, 6), {"reject_decimal_gap": 1}),
+)
 
 
 def axis_configs():
-    return [(f"{name}={v:g}", None, {name: v}) for name, values in AXES.items() for v in values]
+    return [(f"{name}={'off' if v is None else f'{v:g}'}", None, beside | ({} if v is None else {varied: v})) for name, varied, values, beside in AXES for v in values]
 
 
 @query
