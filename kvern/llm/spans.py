@@ -167,13 +167,41 @@ def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, crowd
     return every.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
+def _link_counts(windows: DataFrame, few: DataFrame) -> DataFrame:
+    """cls, n_other: how many other texts each text shares a window with or is linked to in few (cls, other, both ways).
+
+    Windows that the same texts hold are one set of texts; a set that lies within the set of the neighbouring window adds
+    nothing and goes. Texts in the same sets are one profile, and only profiles are paired.
+    """
+    ends = windows.select("win", "cls").distinct()
+    hashed = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    alike = ["k", "lo", "h0", "h1"]
+    prints = ends.groupBy("win").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("lo"), *hashed)
+    named = materialize(prints.join(prints.groupBy(*alike).agg(F.min("win").alias("id")), alike).select("win", "id", "k"))
+    placed = windows.join(named, "win").select("cls", "st", "id", "k")
+    by_start = Window.partitionBy("cls").orderBy("st")
+    beside = placed.select("cls", "st", "id", "k", *[f(F.struct("st", "id")).over(by_start).alias(n) for n, f in (("before", F.lag), ("after", F.lead))])
+    near = beside.select("cls", "st", "id", "k", F.explode(F.array("before", "after")).alias("b")).where((F.abs(F.col("b.st") - F.col("st")) == 1) & (F.col("b.id") != F.col("id")))
+    within = near.select("id", "k", F.col("b.id").alias("by"), "cls").distinct().groupBy("id", "k", "by").agg(F.count(F.lit(1)).alias("n")).where("n = k").select("id").distinct()
+    sets = ends.join(named, "win").select("id", "cls").distinct().join(within, "id", "left_anti")
+    of_text = materialize(sets.groupBy("cls").agg(F.sort_array(F.collect_set("id")).alias("ids")))
+    profiles = materialize(of_text.groupBy("ids").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("profile")))
+    of_text = of_text.join(profiles, "ids").select("cls", "profile")
+    held = profiles.select("profile", "n", F.explode("ids").alias("id"))
+    met = materialize(held.select("id", F.col("profile").alias("a")).join(held.select("id", F.col("profile").alias("b"), "n"), "id").select("a", "b", "n").distinct())
+    crowd = of_text.join(met.groupBy(F.col("a").alias("profile")).agg((F.sum("n") - 1).alias("n_crowd")), "profile").select("cls", "n_crowd")
+    # links outside crowds that no crowd has
+    sided = few.join(of_text.withColumnRenamed("profile", "a"), "cls", "left").join(of_text.select(F.col("cls").alias("other"), F.col("profile").alias("b")), "other", "left")
+    alone = sided.join(met.select("a", "b"), ["a", "b"], "left_anti").groupBy("cls").agg(F.count(F.lit(1)).alias("n_few"))
+    return alone.join(crowd, "cls", "full").select("cls", (F.coalesce("n_few", F.lit(0)) + F.coalesce("n_crowd", F.lit(0))).alias("n_other"))
+
+
 def shared_portion(documents: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """One row per document that shares a span: doc_id, n_chars, shared_chars, shared_part, n_links, gruppe, keep.
 
     n_links counts the different texts it shares a span with, and one more if its own
-    text is held more than once. For a text in a crowd it is a lower bound: the larger of
-    its links outside crowds and the others of the window that most texts share, as no
-    crowd is paired. gruppe is the smallest document of its cluster, whose keep is true.
+    text is held more than once. gruppe is the smallest document of its cluster, whose
+    keep is true.
     """
     runs, windows, members = shared_runs(documents, span, gram, crowd)
     runs = materialize(runs)
@@ -191,9 +219,7 @@ def shared_portion(documents: DataFrame, span: int = SPAN, gram: int = GRAM, cro
         .agg(F.sum(F.greatest(F.lit(0), F.col("st") + F.col("length") - F.greatest("seen", "st"))).alias("covered"))
     )
     crowds = windows.select("win", "cls").distinct().groupBy("win").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("lo"))
-    most = windows.select("win", "cls").distinct().join(crowds, "win").groupBy("cls").agg(F.max(F.col("k") - 1).alias("n_crowd"))
-    few = sides.groupBy("cls").agg(F.count_distinct("other").alias("n_few"))
-    links = few.join(most, "cls", "full").select("cls", F.greatest(F.coalesce("n_few", F.lit(0)), F.coalesce("n_crowd", F.lit(0))).alias("n_other"))
+    links = _link_counts(windows, sides.select("cls", "other").distinct())
     # a crowd is linked as a star
     stars = windows.select("win", "cls").distinct().join(crowds, "win").where("cls <> lo").select(F.col("lo").alias("cls_a"), F.col("cls").alias("cls_b"))
     firsts = held.select("cls", "first")
