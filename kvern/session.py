@@ -1,4 +1,4 @@
-"""Sessions, and intermediate tables that survive the loss of executors."""
+"""Sessions, intermediate tables that survive the loss of executors, and joins on hot keys."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", scratch: str | None = None) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("kvern")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,8 +23,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", scratch) if scratch else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,20 +44,53 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_open: list[list[tuple[SparkSession, str]]] = []
+_paths: dict[int, str] = {}
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes with its scratch scope, or when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/kvern-{os.getpid()}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append((spark, path))
+    else:
+        atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back.
 
     Cuts the lineage, makes nondeterministic columns stable, and gives the
-    planner real sizes. The table goes when the driver's Python ends.
+    planner real sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kvern-{os.getpid()}-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kvern_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that materialize() wrote and nothing reads any more."""
+    path = getattr(df, "_kvern_path", None)
+    if path:
+        _remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """All tables written inside are removed at the end; results must have been consumed by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -64,3 +100,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session may have ended first
         pass
+
+
+#: A key with at least this part of all rows is joined without a shuffle of its rows, so there are at most 1 / HOT of them.
+HOT = 1 / 500
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows inner-joined with keyed, which has one row per key and in `weight` the number of its rows.
+
+    The rows of hot keys (at most 1 / HOT keys by definition, whatever the data) meet a broadcast table and stay where they
+    are; all others are shuffled by key.
+    """
+    total = keyed.agg(F.sum(weight).alias("_total"))
+    hot = keyed.crossJoin(F.broadcast(total)).where(F.col(weight) >= F.col("_total") * HOT).drop("_total", weight)
+    marked = rows.join(F.broadcast(hot.select(key, F.struct(*[c for c in hot.columns if c != key]).alias("_hot"))), key, "left")
+    others = [c for c in hot.columns if c != key]
+    at_once = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in others])
+    rest = marked.where("_hot is null").drop("_hot").join(keyed.drop(weight), key).select(*rows.columns, *others)
+    return at_once.union(rest)
