@@ -2,7 +2,8 @@
 
 Every step is one aggregate with map-side combine and one join; nothing is
 collected but two counters per round. A hub with a third of all edges is one row
-of the aggregate and a skewed key of the join, which adaptive execution splits.
+of the aggregate, and a skewed key of the join's larger side, which adaptive
+execution splits (an edge is two numbers, so even then a task holds little).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvern.session import materialize
+from kvern.session import discard, materialize
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -35,7 +36,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = _nearest(large)
         moved = large.join(low, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small)
+        after = materialize(small)
+        discard(e)
+        e = after
         # one star per component: no node is both a leaf and a centre, no leaf has two centres
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

@@ -1,30 +1,34 @@
 """Problem 2: splits that keep related records together.
 
 Documents are joined into components by shared identity and by predecessor.
-Components carry a label vector (rows per type); grouped iterative stratification
-then places, for the rarest label still outstanding, the component with most of
-it into the split that needs it most. A component that holds at least
-`heavy` of some label is placed by itself; all others are placed in hash blocks of
-components that share their rarest label, so that the greedy part works on at
-most labels / heavy + labels x blocks vectors at any data size, while every
-component still goes as a whole to one split.
+Components carry a label vector (rows per type). Grouped iterative stratification then
+takes the label of which least is outstanding, and places the components that hold it,
+those with most of it first, each into the split that needs that label most among those
+with room. Within a label's turn a decision depends only on how much of the label and how
+many rows a component has, so equal components are placed together: the driver sees how
+many components there are of each (label rows, rows), decides how many of them each
+split gets, and the executors deal them out in hash order. The result is that of
+placing one component after the other, at any data size; there is no lump and no cap.
+The pairs (label rows, rows) are few: their rows sum to at most the table, so n rows have
+at most about n ** (2 / 3) of them, and in practice some thousands.
 
 Defined results: a row whose document can't be read is its own component by its
 id (rows without id as well: one component); a null or blank type is the
-label "(none)"; beyond `max_labels` different types, types share labels by hash.
-Repeated rows stay, all in one split. Empty tables give an empty result.
+label "(none)". Repeated rows stay, all in one split. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterable
+from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvern.functions.keys import doc_number, upper_tag
 from kvern.llm.components import components
-from kvern.session import materialize
+from kvern.session import join_hot, materialize
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -57,95 +61,131 @@ def related_documents(labels: DataFrame, metadata: DataFrame) -> DataFrame:
     return document_groups(metadata).join(seen, "node", "left_semi").select(F.col("node").alias("dok_nr"), F.col("root").alias("gruppe"))
 
 
-def stratify(units: dict, proportions: dict[str, float]) -> dict:
-    """Iterative stratification. units: key -> {label: size}. Returns key -> split.
+def _dealt(value: list[int], step: int, most: list[int], count: int) -> list[int]:
+    """How many of the `count` largest numbers of the sequences value[s], value[s] - step, ... (at most most[s] of each) lie clearly in sequence s.
 
-    A unit goes to the split that needs its label most among those with room for all of
-    it; where none has, to the one with most room. Ties: the split with the greater
-    overall need, then the one named first; units of equal size in order of their keys.
+    Numbers at the last level are left out where they would exceed count, so the sum may be short by less than the number of sequences.
     """
-    totals: dict = {}
-    for vector in units.values():
-        for label, size in vector.items():
-            totals[label] = totals.get(label, 0) + size
-    whole = sum(proportions.values())
-    need = {s: {label: n * p / whole for label, n in totals.items()} for s, p in proportions.items()}
-    room = {s: sum(totals.values()) * p / whole for s, p in proportions.items()}
-    holders: dict = {}
-    for key, vector in units.items():
-        for label in vector:
-            holders.setdefault(label, []).append(key)
-    left = dict(totals)
-    placed: dict = {}
-    heap = [(n, str(label), label) for label, n in left.items()]
-    heapq.heapify(heap)
-    while heap:
-        n, name, label = heapq.heappop(heap)
-        if label not in left:
-            continue
-        if n != left[label]:
-            heapq.heappush(heap, (left[label], name, label))
-            continue
-        waiting = sorted((k for k in holders[label] if k not in placed), key=lambda k: (-units[k][label], str(k)))
-        for key in waiting:
-            size = sum(units[key].values())
-            fit = [s for s in proportions if room[s] >= size] or [max(proportions, key=lambda s: room[s])]
-            split = max(fit, key=lambda s: (need[s][label], room[s]))
-            placed[key] = split
-            for other, n_other in units[key].items():
-                need[split][other] -= n_other
-                if other in left:
-                    left[other] -= n_other
-            room[split] -= size
-        del left[label]
-    return placed
-
-
-def grouped_splits(labels: DataFrame, metadata: DataFrame, proportions: dict[str, float] | None = None, heavy: float = 0.002, blocks: int = 512, max_labels: int = 64, seed: int = 7) -> DataFrame:
+    above = lambda level: [min(m, (v - level) // step + 1) if v >= level else 0 for v, m in zip(value, most)]
+    low, high = min(value) - step * count, max(value) + 1
+    while low < high:
+        middle = (low + high) // 2
+        if sum(above(middle)) <= count:
+            high = middle
+        else:
+            low = middle + 1
+    return above(high)
+
+
+class Plan:
+    """What each split still needs of each label, and its room, in whole units of 1 / scale rows."""
+
+    def __init__(self, totals: dict[str, int], proportions: dict[str, float]):
+        self.splits = list(proportions)
+        parts = [Fraction(repr(p)) for p in proportions.values()]
+        parts = [p / sum(parts) for p in parts]
+        self.scale = lcm(*(p.denominator for p in parts))
+        share = [int(p * self.scale) for p in parts]
+        self.need = {label: [n * s for s in share] for label, n in totals.items()}
+        self.room = [sum(totals.values()) * s for s in share]
+        self.left = dict(totals)
+
+    def next_label(self) -> str | None:
+        """The label of which least is outstanding, the first by name on ties."""
+        waiting = [(n, label) for label, n in self.left.items() if n > 0]
+        return min(waiting)[1] if waiting else None
+
+    def place(self, label: str, classes: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+        """(part, size, units per split) for classes (part, size, number of units), taken in order; need and room of the label move along."""
+        need, room, k = self.need[label], self.room, len(self.splits)
+        out = []
+        for part, size, count in classes:
+            given = [0] * k
+            while count:
+                large, small = size * self.scale, part * self.scale
+                fits = [s for s in range(k) if room[s] >= large]
+                if fits:
+                    taken = _dealt([need[s] for s in fits], small, [room[s] // large for s in fits], count)
+                    one = max(fits, key=lambda s: (need[s], room[s]))
+                else:
+                    fits = list(range(k))
+                    taken = _dealt(room, large, [count] * k, count)
+                    one = max(fits, key=lambda s: room[s])
+                for s, n in zip(fits, taken) if any(taken) else [(one, 1)]:
+                    given[s] += n
+                    need[s] -= n * small
+                    room[s] -= n * large
+                    count -= n
+            out.append((part, size, given))
+        return out
+
+    def placed(self, label: str, sums: Iterable[tuple[str, str, int]]) -> None:
+        """Book the other labels of the units placed in a label's turn: (split, label, rows)."""
+        for split, other, n in sums:
+            self.left[other] -= n
+            if other != label:
+                self.need[other][self.splits.index(split)] -= n * self.scale
+        self.left[label] = 0
+
+
+def _deal(candidates: DataFrame, given: list[tuple[int, int, list[int]]], splits: list[str]) -> DataFrame:
+    """candidates (gruppe, vector, part, size, h) with splitt: in each class, in hash order, the first units to the first split, and so on.
+
+    Ranks run within 256 hash ranges of a class and get their offsets from the ranges' counts, so no task ranks a class as a whole.
+    """
+    spark = candidates.sparkSession
+    keyed = candidates.withColumn("head", F.pmod("h", F.lit(256)))
+    counts = keyed.groupBy("part", "size", "head").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("part", "size").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("before", before).drop("k")
+    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("part", "size", "head").orderBy("h", "gruppe"))).join(offsets, ["part", "size", "head"])
+    upto = spark.createDataFrame([(p, z, [sum(g[: i + 1]) for i in range(len(g))]) for p, z, g in given], "part bigint, size bigint, upto array<bigint>")
+    place = F.element_at(F.array(*map(F.lit, splits)), (F.size(F.filter("upto", lambda u: u < F.col("before") + F.col("r"))) + 1).cast("int"))
+    return ranked.join(upto, ["part", "size"]).select("gruppe", "vector", place.alias("splitt"))
+
+
+def stratified(groups: DataFrame, proportions: dict[str, float], seed: int = 7) -> DataFrame:
+    """gruppe, splitt; groups: gruppe, vector (map of label to rows), size (all its rows)."""
+    totals = {r["label"]: r["n"] for r in groups.select(F.explode("vector").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    plan = Plan(totals, proportions)
+    done: list[str] = []
+    out = groups.select("gruppe", F.lit(None).cast("string").alias("splitt")).limit(0)
+    while (label := plan.next_label()) is not None:
+        turn = groups.where(F.map_contains_key("vector", F.lit(label)))
+        if done:
+            turn = turn.where(~F.exists(F.map_keys("vector"), lambda k: k.isin(done)))
+        turn = turn.select("gruppe", "vector", F.element_at("vector", F.lit(label)).alias("part"), "size", F.xxhash64("gruppe", F.lit(seed)).alias("h"))
+        classes = turn.groupBy("part", "size").agg(F.count(F.lit(1)).alias("k")).collect()
+        given = plan.place(label, sorted(((r["part"], r["size"], r["k"]) for r in classes), key=lambda c: (-c[0], -c[1])))
+        dealt = materialize(_deal(turn, given, plan.splits))
+        sums = dealt.select("splitt", F.explode("vector").alias("label", "n")).groupBy("splitt", "label").agg(F.sum("n").alias("n")).collect()
+        plan.placed(label, [(r["splitt"], r["label"], r["n"]) for r in sums])
+        out = out.union(dealt.select("gruppe", "splitt"))
+        done.append(label)
+    return out
+
+
+def grouped_splits(labels: DataFrame, metadata: DataFrame, proportions: dict[str, float] | None = None, seed: int = 7) -> DataFrame:
     """Every labels row with its split: id, fil_revisjon_id, sidetall, versjon, lastet, dok_nr, gruppe, splitt.
 
     gruppe is the smallest document number of the group, or id:<id> for a row without
     a readable document.
     """
-    spark = labels.sparkSession
-    proportions = proportions or PROPORTIONS
-    roots = document_groups(metadata).withColumnRenamed("node", "dok_nr")
+    roots = document_groups(metadata).select(F.col("node").cast("string").alias("key"), F.col("root").cast("string").alias("root"))
     rows = labels.select(
         "id", "fil_revisjon_id", "sidetall", "versjon", "lastet",
         doc_number(F.col("fil_revisjon_id")).alias("dok_nr"),
         F.coalesce(upper_tag(F.col("type")), F.lit("(none)")).alias("label"),
-    )
+    ).withColumn("key", F.coalesce(F.col("dok_nr").cast("string"), F.concat(F.lit("id:"), F.coalesce("id", F.lit("")))))
     # per document and label first: a hot document is a handful of rows from here on
-    per_doc = rows.groupBy("dok_nr", F.when(F.col("dok_nr").isNull(), F.coalesce("id", F.lit(""))).alias("row_id"), "label").agg(F.count(F.lit(1)).alias("n"))
-    name = F.coalesce(F.coalesce("root", "dok_nr").cast("string"), F.concat(F.lit("id:"), F.col("row_id")))
-    vectors = materialize(per_doc.join(roots, "dok_nr", "left").withColumn("gruppe", name).groupBy("gruppe", "label").agg(F.sum("n").alias("n")))
-
-    many = vectors.select("label").distinct().limit(max_labels + 1).count() > max_labels
-    if many:
-        vectors = vectors.withColumn("label", F.concat(F.lit("#"), F.pmod(F.xxhash64("label"), F.lit(max_labels)))).groupBy("gruppe", "label").agg(F.sum("n").alias("n"))
-    totals = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return rows.drop("label").withColumn("gruppe", F.lit(None).cast("string")).withColumn("splitt", F.lit(None).cast("string"))
-    sizes = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(sorted(totals.items(), key=lambda x: (x[1], x[0])))], "label string, total bigint, rarity int")
-    groups = vectors.join(sizes, "label").groupBy("gruppe").agg(
-        F.min("rarity").alias("rarity"), F.max(F.col("n") / F.col("total")).alias("part"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector")
-    )
-    unit = F.when(F.col("part") >= heavy, F.col("gruppe")).otherwise(F.concat_ws(":", F.lit("#"), F.col("rarity"), F.pmod(F.xxhash64("gruppe", F.lit(seed)), F.lit(blocks))))
-    groups = materialize(groups.select("gruppe", unit.alias("unit"), "vector"))
-    vectors_of: dict = {}
-    for r in groups.select("unit", F.explode("vector").alias("label", "n")).groupBy("unit", "label").agg(F.sum("n").alias("n")).collect():
-        vectors_of.setdefault(r["unit"], {})[r["label"]] = r["n"]
-    placed = spark.createDataFrame(list(stratify(vectors_of, proportions).items()), "unit string, splitt string")
-    split_of = groups.join(placed, "unit").select("gruppe", "unit", "splitt")
-
-    keyed = rows.drop("label").join(roots, "dok_nr", "left").withColumn("gruppe", F.coalesce(F.coalesce("root", "dok_nr").cast("string"), F.concat(F.lit("id:"), F.coalesce("id", F.lit(""))))).drop("root")
-    # groups placed by themselves hold the hot keys and are bounded in number (labels / heavy): they need no shuffle of their rows
-    alone = split_of.where("unit = gruppe").select("gruppe", F.col("splitt").alias("splitt_alone"))
-    marked = keyed.join(F.broadcast(alone), "gruppe", "left")
-    hot = marked.where("splitt_alone is not null").withColumnRenamed("splitt_alone", "splitt")
-    rest = marked.where("splitt_alone is null").drop("splitt_alone").join(split_of.where("unit <> gruppe").select("gruppe", "splitt"), "gruppe")
-    columns = ["id", "fil_revisjon_id", "sidetall", "versjon", "lastet", "dok_nr", "gruppe", "splitt"]
-    return hot.select(columns).union(rest.select(columns))
+    per_doc = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    vectors = materialize(per_doc.join(roots, "key", "left").withColumn("gruppe", F.coalesce("root", "key")).drop("root"))
+    sums = vectors.groupBy("gruppe", "label").agg(F.sum("n").alias("n"))
+    groups = materialize(sums.groupBy("gruppe").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector"), F.sum("n").alias("size")))
+    split_of = stratified(groups, proportions or PROPORTIONS, seed)
+    per_key = vectors.groupBy("key", "gruppe").agg(F.sum("n").alias("n")).join(split_of, "gruppe")
+    placed = join_hot(rows.drop("label"), materialize(per_key), "key", "n")
+    return placed.select("id", "fil_revisjon_id", "sidetall", "versjon", "lastet", "dok_nr", "gruppe", "splitt")
 
 
 def split_report(splits: DataFrame) -> DataFrame:

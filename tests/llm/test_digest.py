@@ -7,19 +7,53 @@ from kvern.llm import digest
 SCHEMA = "type string, width string, height string, lastet timestamp, dag string, value string"
 
 
+def one(v, w, delta):
+    return digest.clustered(np.zeros(len(v), np.int64), v, w, delta)[1:]
+
+
 def test_cluster_keeps_mass_and_bounds_size():
     rng = np.random.default_rng(1)
     v = rng.lognormal(3, 1, 50_000)
-    m, w = digest.cluster(v, np.ones(len(v)), 200)
+    m, w = one(v, np.ones(len(v)), 200)
     assert w.sum() == len(v) and len(m) <= 220 and np.all(np.diff(m) >= 0)
     for q in (0.001, 0.1, 0.5, 0.9, 0.999):
         got = digest.quantile(m, w, v.min(), v.max(), q)
         assert abs((v < got).mean() - q) < 0.005
-    parts = [digest.cluster(p, np.ones(len(p)), 200) for p in np.array_split(v, 7)]
-    m, w = digest.cluster(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), 200)
+    parts = [one(p, np.ones(len(p)), 200) for p in np.array_split(v, 7)]
+    m, w = one(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]), 200)
     assert abs((v < digest.quantile(m, w, v.min(), v.max(), 0.5)).mean() - 0.5) < 0.01
 
 
+def test_groups_are_clustered_apart():
+    rng = np.random.default_rng(2)
+    group, v = rng.integers(0, 5, 3000), rng.normal(size=3000)
+    g, m, w = digest.clustered(group, v, np.ones(3000), 100)
+    for i in range(5):
+        a, b = one(v[group == i], np.ones((group == i).sum()), 100)
+        assert np.allclose(m[g == i], a) and np.allclose(w[g == i], b)
+
+
+def test_small_groups_give_their_own_values():
+    m, w = one(np.array([3.0, 1.0, 2.0]), np.ones(3), 400)
+    assert [digest.quantile(m, w, 1.0, 3.0, q) for q in (0.01, 0.5, 0.99)] == [1.0, 2.0, 3.0]
+
+
+def test_a_small_buffer_gives_the_same_counts(spark, monkeypatch):
+    rows = [(f"T{i % 50}", f"{i % 977}.5", "1", None, "", "") for i in range(20_000)]
+    values = digest.sizes(spark.createDataFrame(rows, SCHEMA))
+    big = {(r["type"], r["felt"]): (r["n"], r["low"], r["high"]) for r in digest.day_digests(values, ["type", "felt", "dag"]).collect()}
+    monkeypatch.setattr(digest._Pool.__init__, "__defaults__", (500,))
+    small = {(r["type"], r["felt"]): (r["n"], r["low"], r["high"]) for r in digest.day_digests(values, ["type", "felt", "dag"]).collect()}
+    assert big == small and len(big) == 100 and sum(n for n, _, _ in big.values()) == 40_000
+
+
+def test_a_coarse_digest_is_refined_until_certified(spark):
+    rng = random.Random(8)
+    rows = [("FNR", f"{rng.lognormvariate(3, 2):.4f}", "1", None, "", "") for _ in range(5000)]
+    out = digest.percentiles(spark.createDataFrame(rows, SCHEMA), delta=6).collect()
+    assert len(out) == 14 and all(r["within"] for r in out)
+
+
 def test_percentiles_are_certified(spark):
     from datetime import datetime
 

@@ -49,7 +49,7 @@ def test_related_documents(spark):
 
 def test_splits_keep_groups_and_rows(spark):
     labels, meta, rows = tables(spark)
-    out = splits.grouped_splits(labels, meta, heavy=0.2, blocks=4).collect()
+    out = splits.grouped_splits(labels, meta).collect()
     assert len(out) == len(rows)
     by_group = {}
     for r in out:
@@ -61,18 +61,60 @@ def test_splits_keep_groups_and_rows(spark):
     assert splits.grouped_splits(labels, meta.limit(0)).count() == len(rows)
 
 
-def test_many_labels_share_buckets(spark):
-    rows = [(str(i), str(i % 50), "1", f"T{i}", None, None, None, None) for i in range(200)]
-    out = splits.grouped_splits(spark.createDataFrame(rows, LABELS), spark.createDataFrame([], META), max_labels=8)
-    assert out.count() == 200
+def greedy(units, proportions):
+    """One unit after the other: the rarest outstanding label, its units by part, size and key, the split in most need with room."""
+    plan = splits.Plan({x: sum(v.get(x, 0) for v in units.values()) for v in units.values() for x in v}, proportions)
+    names, placed = list(proportions), {}
+    while (label := plan.next_label()) is not None:
+        for key in sorted((k for k in units if label in units[k] and k not in placed), key=lambda k: (-units[k][label], -sum(units[k].values()), k)):
+            size = sum(units[key].values()) * plan.scale
+            fits = [s for s in range(len(names)) if plan.room[s] >= size]
+            s = max(fits, key=lambda s: (plan.need[label][s], plan.room[s])) if fits else max(range(len(names)), key=lambda s: plan.room[s])
+            placed[key] = names[s]
+            plan.room[s] -= size
+            for x, n in units[key].items():
+                plan.need[x][s] -= n * plan.scale
+                plan.left[x] -= n
+        plan.left[label] = 0
+    return placed
+
+
+def shares(units, placed):
+    out = {}
+    for k, v in units.items():
+        for x, n in v.items():
+            out[placed[k], x] = out.get((placed[k], x), 0) + n
+    return out
+
+
+def test_dealing_alike_units_together_is_the_greedy_order():
+    rng = random.Random(4)
+    for _ in range(60):
+        proportions = dict(zip("abc", rng.choice([(0.8, 0.1, 0.1), (0.5, 0.3, 0.2), (1, 1, 1)])))
+        # with one label equal units are alike in all, so the counts must agree exactly
+        units = {i: {"x": rng.choice([1, 1, 1, 2, 3, 50])} for i in range(rng.randrange(1, 80))}
+        placed = greedy(units, proportions)
+        plan = splits.Plan({"x": sum(v["x"] for v in units.values())}, proportions)
+        sizes = sorted({v["x"] for v in units.values()}, reverse=True)
+        given = plan.place("x", [(n, n, sum(v["x"] == n for v in units.values())) for n in sizes])
+        for part, _, counts in given:
+            assert counts == [sum(placed[i] == s for i in units if units[i]["x"] == part) for s in proportions]
+
+
+def test_splits_on_executors_meet_the_proportions_of_the_greedy_order(spark):
+    rng = random.Random(6)
+    units = {f"{i:04d}": {x: n for x, n in (("A", rng.randrange(0, 9)), ("B", rng.randrange(0, 3)), ("rare", int(rng.random() < 0.1)), ("hot", 900 if i == 5 else 1)) if n} for i in range(500)}
+    groups = spark.createDataFrame([(k, v, sum(v.values())) for k, v in units.items()], "gruppe string, vector map<string,bigint>, size bigint")
+    got = {r["gruppe"]: r["splitt"] for r in splits.stratified(groups, splits.PROPORTIONS).collect()}
+    assert set(got) == set(units)
+    one, other = shares(units, got), shares(units, greedy(units, splits.PROPORTIONS))
+    for label in ("A", "B", "rare", "hot"):
+        total = sum(v.get(label, 0) for v in units.values())
+        for split in splits.PROPORTIONS:
+            assert abs(one.get((split, label), 0) - other.get((split, label), 0)) <= max(6, 0.03 * total)
 
 
-def test_stratify_meets_proportions():
-    rng = random.Random(2)
-    units = {i: {rng.choice("abc"): rng.randrange(1, 9), "rare": int(i % 10 == 0)} for i in range(400)}
-    units = {k: {x: n for x, n in v.items() if n} for k, v in units.items()}
-    placed = splits.stratify(units, {"train": 0.8, "validation": 0.1, "test": 0.1})
-    for label in ("a", "b", "c", "rare"):
-        total = sum(v.get(label, 0) for v in units.values())
-        part = sum(v.get(label, 0) for k, v in units.items() if placed[k] == "train") / total
-        assert abs(part - 0.8) < 0.03
+def test_very_many_labels(spark):
+    rows = [(str(i), str(i % 25), "1", f"T{i % 30}", None, None, None, None) for i in range(300)]
+    out = splits.grouped_splits(spark.createDataFrame(rows, LABELS), spark.createDataFrame([], META)).collect()
+    assert len(out) == 300 and len({(r["dok_nr"], r["splitt"]) for r in out}) == 25
