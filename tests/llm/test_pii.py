@@ -6,6 +6,7 @@ from kvern.llm import pii
 from kvern.llm.crf import SkipChainCRF
 
 NAMES = ["Kari", "Ola", "Dag", "Stein", "Per-Olav"]
+LEXICON = pii.Lexicon(NAMES, {"runar", "ottilie"}, {"angmo", "gvoll", "kvern"})
 
 
 def number(rng):
@@ -45,7 +46,7 @@ def sentences(rng, n):
 
 def test_held_out_accuracy():
     train, held = sentences(random.Random(1), 1500), sentences(random.Random(2), 500)
-    finder = pii.fit([t for t, _ in train], NAMES)
+    finder = pii.fit([t for t, _ in train], LEXICON)
     found = finder.find([t for t, _ in held])
     right = sum(len({(k, s) for k, s, _ in f} & c) for f, (_, c) in zip(found, held))
     assert right / sum(len(f) for f in found) > 0.98 and right / sum(len(c) for _, c in held) > 0.98
@@ -67,9 +68,9 @@ def test_loopy_beliefs_equal_enumeration_on_one_edge():
     """With one skip edge between the ends of a two-token chain's neighbour the graph has one loop; with no loop the beliefs are exact."""
     rng = np.random.default_rng(2)
     m = SkipChainCRF(["a", "b", "c"], [0, 1, 1], rounds=8)
-    m.step, m.first, m.same = rng.normal(size=(3, 3)), rng.normal(size=3), 0.0
+    m.step, m.first, m.same = rng.normal(size=(3, 3)), rng.normal(size=3), np.zeros(2)
     node = rng.normal(size=(1, 3, 3))
-    belief = m.beliefs(node, np.ones((1, 3), bool), np.array([[0, 0, 2]]))[0]
+    belief = m.beliefs(node, np.ones((1, 3), bool), np.array([[0, 0, 2, 1]]))[0]
     total = np.zeros((3, 3))
     for x in range(3):
         for y in range(3):
@@ -79,8 +80,8 @@ def test_loopy_beliefs_equal_enumeration_on_one_edge():
                 total[1, y] += p
                 total[2, z] += p
     assert np.allclose(belief[0], total / total.sum(axis=1, keepdims=True))
-    m.same = 2.0
-    tied = m.beliefs(node, np.ones((1, 3), bool), np.array([[0, 0, 2]]))[0]
+    m.same = np.full(2, 2.0)
+    tied = m.beliefs(node, np.ones((1, 3), bool), np.array([[0, 0, 2, 1]]))[0]
     agree = lambda b: (b[0] @ m.onehot * (b[2] @ m.onehot)).sum()
     assert agree(tied[0]) > agree(belief[0])
 
@@ -96,3 +97,41 @@ def test_masking_keeps_the_rest(spark):
     cases = {tuple(r)[:4] for r in pii.occurrences(manifest, verdicts, names).collect()}
     assert ("raatekst", 7, "epost", 20) in cases and ("ocr_tekst", 1, "telefon", 31) in cases and all(c[1] is not None for c in cases)
     assert pii.occurrences(manifest.limit(0), verdicts.limit(0), names.limit(0)).count() == 0
+
+
+def test_edges_find_what_the_chain_alone_misses():
+    """A name told clearly once is found where it is repeated, also in capitals or misread; without the edges these are lost."""
+    finder = pii.fit([t for t, _ in sentences(random.Random(1), 1500)], LEXICON)
+    texts = ["Selger Kari Bygdemyren nr 12 x. så kom Kari Bygdemyren", "Selger Kari Bygdemyren nr 12 x. x Kari Bygtemyren y", "Selger Ottilie Haugsand nr 12 x. Merk OTTILIE HAUGSAND"]
+    names = lambda: [sorted(x[s:e] for k, s, e in f if k == "navn") for x, f in zip(texts, finder.find(texts))]
+    assert names() == [["Kari Bygdemyren"] * 2, ["Kari Bygdemyren", "Kari Bygtemyren"], ["OTTILIE HAUGSAND", "Ottilie Haugsand"]]
+    finder.linked = False
+    assert all(without != with_ for without, with_ in zip(names(), [["Kari Bygdemyren"] * 2, ["Kari Bygdemyren", "Kari Bygtemyren"], ["OTTILIE HAUGSAND", "Ottilie Haugsand"]]))
+
+
+def test_similar_tokens_are_joined():
+    edges = lambda *words: pii.skip_edges([("word", w) for w in words])
+    assert edges("Bygdemyren", "og", "BYGDEMYREN") == [(0, 2, 0)]
+    assert edges("Bygdemyren", "Bygtemyren") == [(0, 1, 1)] and edges("Bygdemyren", "Bygdmyren") == [(0, 1, 1)]
+    assert edges("Nordby-Haugsand", "Haugsand") == [(0, 1, 1)] and edges("Bygdemyren", "Haugsand") == []
+
+
+def test_batches_hold_few_cells():
+    lengths = np.array([5] * 400 + [90_000] + [0] + [300] * 300)
+    seen = [(len(b), int(lengths[b].max())) for b in SkipChainCRF.batches(lengths)]
+    assert sum(n for n, _ in seen) == 701 and all(n == 1 or n * longest <= 1 << 15 for n, longest in seen)
+
+
+def test_a_long_text_is_read_as_its_parts():
+    finder = pii.fit([t for t, _ in sentences(random.Random(1), 600)], LEXICON)
+    parts = [t for t, _ in sentences(random.Random(9), 400)]
+    alone = sum(len(f) for f in finder.find(parts))
+    whole = finder.find([" \n. ".join(parts)])[0]
+    assert abs(len(whole) - alone) < 0.05 * alone
+
+
+def test_lexicon_counts_all_texts(spark):
+    rows = [(f"Selger Kari Nord{i % 7}vikbakkmo og {'Zoltan' if i % 4 else 'Imre'} Nordvikbakkmo kom",) for i in range(200)]
+    lexicon = pii.lexicon(spark.createDataFrame(rows + [(None,), ("",)], "tekst string").where("tekst <> ''"), spark.createDataFrame([("Kari",), (None,), (" ",)], "navn string"))
+    assert lexicon.given == {"kari"} and "akkmo" in lexicon.surname and {"zoltan", "imre"} <= lexicon.learned
+    assert pii.lexicon(spark.createDataFrame([], "tekst string"), spark.createDataFrame([], "navn string")).surname == set()
