@@ -57,6 +57,39 @@ def test_cleaned_text_has_no_leak(spark):
     assert all(r["text"] is None for r in leaks.without_leaks(d, i, most_part=0.0).collect())
 
 
+def longest(a, b):
+    return max((n for i in range(len(a)) for j in range(len(b)) for n in [next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))]), default=0)
+
+
+def test_lengths_are_those_of_the_item(spark):
+    docs, items = data()
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    texts, passages = {x: t for x, t, *_ in docs}, {x: t for x, t, *_ in items}
+    for r in leaks.leaked_items(d, i).limit(12).collect():
+        assert r["n_words"] == longest(leaks.words(texts[r["doc_id"]]), leaks.words(passages[r["item_id"]]))
+
+
+def test_blocks_and_pieces_change_nothing(spark, monkeypatch):
+    docs, items = data()
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    both = lambda **k: (sorted(map(tuple, leaks.leaked_items(d, i, **k).collect())), sorted(map(tuple, leaks.without_leaks(d, i, most_part=2.0, **k).collect())))
+    once = both()
+    assert both(block_words=60) == once and len({r[0] for r in once[1]}) == len(once[1])
+    automaton = next(leaks.automata(i, 16, 10**6))
+    texts = [leaks.words(t) for _, t, *_ in docs if t]
+    found = lambda: [[(a, x.tolist()) for a, _, x in f] for f in automaton.found(texts)]
+    whole = found()
+    monkeypatch.setattr(leaks, "PIECE", 3)
+    assert found() == whole
+
+
+def test_one_id_with_two_texts(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = [(1, f"før {item} etter, og mye mer tekst som står her og står her", ""), (1, f"noe helt annet før {item} slutt", ""), (1, f"noe helt annet før {item} slutt", "")]
+    cut = leaks.without_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(5, item, "x", "")], ITEMS), most_part=2.0).collect()
+    assert sorted(r["text"] for r in cut) == ["før  etter, og mye mer tekst som står her og står her", "noe helt annet før  slutt"]
+
+
 def test_words():
     assert leaks.words("Gård-\nen A_B 12,5 – É") == ["gården", "a", "b", "12", "5", "é"]
     assert [w for w, _, _ in leaks.placed_words("Gård-\nen A")] == ["gården", "a"]
