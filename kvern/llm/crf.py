@@ -112,7 +112,10 @@ class SkipChainCRF:
     def decode(self, node_of: list[np.ndarray], edges: list[list[tuple[int, int, int]]]) -> list[list[int]]:
         """The best label sequence of each text (its emissions) under the chain and the final skip messages."""
         out: list[list[int]] = [[] for _ in node_of]
-        for some in self.batches(np.array([len(n) for n in node_of], np.int64)):
+        lengths = np.array([len(n) for n in node_of], np.int64)
+        linked = np.array([bool(e) for e in edges], bool)
+        # a text without edges has no messages to wait for
+        for some in [*self.batches(np.where(linked, lengths, 0)), *self.batches(np.where(linked, 0, lengths))]:
             lengths = np.array([len(node_of[i]) for i in some])
             node, mask = self._padded(np.concatenate([node_of[i] for i in some]), lengths)
             links = self._links(edges, some)

@@ -84,10 +84,13 @@ def near_same(box_sets: DataFrame, evaluated: DataFrame, trained: DataFrame, tol
     # how many suffixes of the training side begin with each head; hot heads go last in every document
     hot = train.groupBy(heads).agg(F.count(F.lit(1)).alias("f"))
     box = ["doc", "n", "page", "x", "y", "w", "h"]
-    weight = probes.join(hot, heads, "left").groupBy(box).agg(F.sum(F.coalesce("f", F.lit(0))).alias("f"))
+    weight = materialize(probes.join(hot, heads, "left").groupBy(box).agg(F.sum(F.coalesce("f", F.lit(0))).alias("f")))
     need = F.ceil(F.col("n") * part - 1e-9)
-    order = Window.partitionBy("doc").orderBy("f", "page", "x", "y", "w", "h")
-    rare = weight.withColumn("r", F.row_number().over(order)).where((F.col("f") > 0) & (F.col("r") <= F.col("n") - need + 2)).select(box)
+    # the rarest n - need + 2 boxes and those as rare as the last of them: ranks come from counts per rarity, so no task sorts the boxes of a document
+    upto = F.sum("k").over(Window.partitionBy("doc").orderBy("f").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = weight.groupBy("doc", "n", "f").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", upto)
+    last = ranks.where(F.col("upto") >= F.col("n") - need + 2).groupBy("doc").agg(F.min("f").alias("last"))
+    rare = weight.where("f > 0").join(last, "doc", "left").where("f <= coalesce(last, f)").select(box)
     found = _cells(rare, 2 * tolerance, tolerance + _SLACK).alias("p").join(train.alias("t"), heads).where(_near("p", "t", tolerance) & (F.col("p.doc") != F.col("t.doc")))
     candidates = materialize(
         found.select(F.col("p.doc").alias("doc_e"), F.col("t.doc").alias("doc_t"), "p.page", "p.x", "p.y", "p.w", "p.h").distinct().groupBy("doc_e", "doc_t").count().where("count >= 2").select("doc_e", "doc_t")
@@ -111,13 +114,31 @@ def near_same(box_sets: DataFrame, evaluated: DataFrame, trained: DataFrame, tol
     )
 
 
+def suffix_array_pairs(box_sets: DataFrame, evaluated: DataFrame, trained: DataFrame, prefix: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_e, doc_t, covered: the plain suffix array over the documents' box texts, kept for its figures.
+
+    A text is the document's cells in reading order. The suffixes, cut to `prefix` tokens, are range-sorted; a run of
+    suffixes with equal cuts has common prefixes of that length, and those of an evaluated and a trained document in one run
+    share a span. covered counts the evaluated document's boxes in such spans, merged.
+    """
+    cells = _cells(box_sets, 2 * tolerance, 0.0).select("doc", "page", F.xxhash64("page", "px", "py", "pw").alias("token"), F.struct("page", "y", "x", "w", "h").alias("at"))
+    order = Window.partitionBy("doc").orderBy("at")
+    cut = F.array(*[F.lead("token", i).over(order) for i in range(prefix)])
+    suffixes = cells.select("doc", F.row_number().over(order).alias("i"), cut.alias("cut")).where(~F.exists("cut", lambda t: t.isNull()))
+    array = suffixes.repartitionByRange("cut").sortWithinPartitions("cut")
+    e = array.join(evaluated, "doc", "left_semi").select("cut", F.col("doc").alias("doc_e"), "i")
+    t = array.join(trained, "doc", "left_semi").select("cut", F.col("doc").alias("doc_t"))
+    spans = e.join(t, "cut").where("doc_e <> doc_t").select("doc_e", "doc_t", F.explode(F.sequence(F.col("i"), F.col("i") + prefix - 1)).alias("i"))
+    return spans.distinct().groupBy("doc_e", "doc_t").agg(F.count(F.lit(1)).alias("covered"))
+
+
 def overlaps(labels: DataFrame, splits: DataFrame, manifest: DataFrame) -> DataFrame:
     """doc_e, doc_t, splitt, part_e, part_t: each document of an evaluation split with each train document that is the same or near-same."""
     member = materialize(split_members(splits, manifest).select("doc", "splitt").distinct())
     trained = member.where("splitt = 'train'").select("doc")
     evaluated = member.where("splitt <> 'train'")
     same = evaluated.join(trained, "doc", "left_semi").select(F.col("doc").alias("doc_e"), F.col("doc").alias("doc_t"), "splitt", F.lit(1.0).alias("part_e"), F.lit(1.0).alias("part_t"))
-    near = near_same(boxes(labels), evaluated.select("doc").distinct(), trained).join(evaluated.withColumnRenamed("doc", "doc_e"), "doc_e")
+    near = near_same(materialize(boxes(labels)), evaluated.select("doc").distinct(), trained).join(evaluated.withColumnRenamed("doc", "doc_e"), "doc_e")
     return same.union(near.select("doc_e", "doc_t", "splitt", "part_e", "part_t"))
 
 

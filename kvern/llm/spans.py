@@ -22,16 +22,17 @@ document. Compared as stored: code points, no normalisation.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvern.llm.components import components
-from kvern.llm.shingles import joined, rolling, window_minima
+from kvern.llm.shingles import joined, mix, rolling, window_minima
 from kvern.session import materialize
 
 SPAN = 300
@@ -43,7 +44,12 @@ CHUNK = 1 << 18
 
 
 def _digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:16]
+
+
+def _class_of(text) -> Column:
+    """The same digest in the JVM."""
+    return F.expr(f"substring(unhex(sha2({text}, 256)), 1, 16)")
 
 
 def signatures(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -82,7 +88,24 @@ def _runs(a: np.ndarray, b: np.ndarray, offset: int, span: int) -> list[tuple[in
 
 
 def _crowded_windows(hits: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """cls, st, win of every window of `span` characters around the given occurrences (sig, cls, pos) that another text has too."""
+    """cls, st, win of every window of `span` characters around the given occurrences (sig, cls, pos) that another text has too.
+
+    A window around a gram holds at least half of the other characters on one side of it. So an occurrence is looked at
+    only where another text has the gram with that half before it, or with that half behind it: a phrase shorter than that
+    costs two rows an occurrence, not one for each window.
+    """
+    half = (span - gram) // 2
+
+    def beside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for cls, text, places in zip(f.cls, f.text, f.places):
+                h = rolling(joined([text])[0], gram + half).view(np.int64)
+                p = np.asarray(places, np.int64)
+                for side, starts in ((0, p - half), (1, p)):
+                    good = (starts >= 0) & (starts < len(h))
+                    out.append(pd.DataFrame({"cls": [cls] * int(good.sum()), "pos": p[good].astype(np.int32), "side": side, "h": h[starts[good]]}))
+            yield pd.concat(out) if out else pd.DataFrame({"cls": [], "pos": [], "side": [], "h": []})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -96,12 +119,21 @@ def _crowded_windows(hits: DataFrame, texts: DataFrame, span: int, gram: int) ->
             yield pd.concat(out) if out else pd.DataFrame({"cls": [], "st": [], "win": []})
 
     places = hits.groupBy("cls").agg(F.collect_set("pos").alias("places"))
-    windows = texts.join(places, "cls").select("cls", "text", "places").mapInPandas(run, "cls binary, st int, win bigint")
-    windows = materialize(windows)
+    sides = materialize(texts.join(places, "cls").select("cls", "text", "places").mapInPandas(beside, "cls binary, pos int, side int, h bigint"))
+    elsewhere = sides.groupBy("side", "h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("side", "h")
+    kept = sides.join(elsewhere, ["side", "h"], "left_semi").groupBy("cls").agg(F.collect_set("pos").alias("places"))
+    windows = materialize(texts.join(kept, "cls").select("cls", "text", "places").mapInPandas(run, "cls binary, st int, win bigint"))
     shared = windows.groupBy("win").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("win")
     return materialize(windows.join(shared, "win", "left_semi").select("cls", "st", "win"))
 
 
+def _couples(rows: DataFrame, key: str, member: str, salts: int = 16) -> DataFrame:
+    """x, y of any two members of a key; one side is salted, so that the couples of a hot key come from many tasks."""
+    x = rows.select(key, F.col(member).alias("x"), F.pmod(F.xxhash64(member), F.lit(salts)).cast("int").alias("salt"))
+    y = rows.select(key, F.col(member).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return x.join(y, [key, "salt"]).select("x", "y")
+
+
 def shared_runs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, windows, members).
 
@@ -128,8 +160,8 @@ def shared_runs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, crowd:
     )
     needed = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select(F.col("cls_b").alias("cls"))).union(many.select("cls")).distinct()
     holders = members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    stored = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= span)
-    texts = materialize(stored.join(holders, "doc_id").dropDuplicates(["doc_id", "cls"]))
+    stored = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= span).withColumn("cls", _class_of("text"))
+    texts = materialize(stored.join(holders, ["doc_id", "cls"]).dropDuplicates(["cls"]))
     windows = _crowded_windows(many, texts, span, gram)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,12 +189,12 @@ def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, crowd
     """
     runs, windows, members = shared_runs(documents, span, gram, crowd)
     ends = windows.select("win", "cls").distinct()
-    crowded = ends.select("win", F.col("cls").alias("cls_a")).join(ends.select("win", F.col("cls").alias("cls_b")), "win").where("cls_a < cls_b")
+    crowded = _couples(ends, "win", "cls").where("x < y").select(F.col("x").alias("cls_a"), F.col("y").alias("cls_b"))
     links = runs.select("cls_a", "cls_b").union(crowded.select("cls_a", "cls_b")).distinct()
     between = links.join(members.select(F.col("cls").alias("cls_a"), F.col("doc_id").alias("x")), "cls_a").join(members.select(F.col("cls").alias("cls_b"), F.col("doc_id").alias("y")), "cls_b").select("x", "y")
     held_twice = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
     copies = members.join(held_twice, "cls", "left_semi")
-    within = copies.select("cls", F.col("doc_id").alias("x")).join(copies.select("cls", F.col("doc_id").alias("y")), "cls").select("x", "y")
+    within = _couples(copies, "cls", "doc_id")
     every = between.union(within).where("x <> y")
     return every.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
@@ -243,3 +275,43 @@ def shared_portion(documents: DataFrame, span: int = SPAN, gram: int = GRAM, cro
             (F.coalesce("n_other", F.lit(0)) + (F.col("n_held") > 1).cast("int")).cast("bigint").alias("n_links"), "gruppe", (F.col("doc_id") == F.col("gruppe")).alias("keep"),
         )
     )
+
+
+# ----- the plain paragraph method, kept for its figures
+
+_PARAGRAPH = re.compile(r"(?<=[.:;])\s*\n\s*|\n\s*\n")
+
+
+def paragraph_pairs(documents: DataFrame, bands: int = 20, rows: int = 5, words: int = 5, least: float = 0.8, shortest: int = SPAN) -> DataFrame:
+    """doc_a < doc_b of documents with paragraphs of at least `least` word-shingle similarity, by MinHash banding.
+
+    A paragraph ends at a line break after a sentence, or at a blank line. Bands are joined, colliding paragraphs are
+    verified by exact Jaccard. Paragraphs shorter than the span asked for can't hold one and are left out.
+    """
+    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
+
+    def shingles(text: str) -> np.ndarray:
+        ws = re.findall(r"\w+", text.lower())
+        grams = [" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))]
+        return np.unique(np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little") for g in grams], np.uint64))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for doc, text in zip(f["doc_id"], f["text"]):
+                for i, p in enumerate(x for x in _PARAGRAPH.split(text) if len(x) >= shortest):
+                    s = shingles(p)
+                    signature = mix(s[:, None] ^ seeds[None]).min(axis=0).reshape(bands, rows)
+                    keys = [int(hash(tuple(b.tolist()))) for b in signature]
+                    out.append((doc, i, s.view(np.int64), keys))
+            yield pd.DataFrame(out, columns=["doc_id", "i", "shingles", "bands"])
+
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    paragraphs = materialize(texts.mapInPandas(run, "doc_id bigint, i int, shingles array<bigint>, bands array<bigint>"))
+    banded = paragraphs.select("doc_id", "i", F.posexplode("bands").alias("band", "key"))
+    a, b = (banded.select(F.col("doc_id").alias(f"doc_{x}"), F.col("i").alias(f"i_{x}"), "band", "key") for x in "ab")
+    near = a.join(b, ["band", "key"]).where("doc_a < doc_b").select("doc_a", "i_a", "doc_b", "i_b").distinct()
+    sa, sb = (paragraphs.select(F.col("doc_id").alias(f"doc_{x}"), F.col("i").alias(f"i_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    both = near.join(sa, ["doc_a", "i_a"]).join(sb, ["doc_b", "i_b"]).where(shared / (F.size("s_a") + F.size("s_b") - shared) >= least)
+    return both.select("doc_a", "doc_b").distinct()

@@ -68,3 +68,10 @@ def test_empty(spark):
     empty = spark.createDataFrame([], LABELS), spark.createDataFrame([], SPLITS), spark.createDataFrame([], MANIFEST)
     assert overlaps.found_pairs(*empty).count() == 0
     assert overlaps.found_pairs(spark.createDataFrame(rows, LABELS), empty[1], empty[2]).count() == 0
+
+
+def test_the_plain_suffix_array_finds_runs_of_boxes(spark):
+    rows = [(d, 1, 10.0 * k + (0.1 if d == 2 else 0.0) + (1 if d == 3 else 0) * 500, 40.0, 20.0, 8.0) for d in (1, 2, 3) for k in range(6)]
+    boxes = spark.createDataFrame(rows, "doc bigint, page int, x double, y double, w double, h double")
+    one, two = spark.createDataFrame([(1,)], "doc bigint"), spark.createDataFrame([(2,), (3,)], "doc bigint")
+    assert {tuple(r) for r in overlaps.suffix_array_pairs(boxes, one, two, 2).collect()} == {(1, 2, 6)}

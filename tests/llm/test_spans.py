@@ -56,3 +56,30 @@ def test_a_crowd_is_linked_without_pairs(spark):
     out = spans.shared_portion(spark.createDataFrame(rows, SCHEMA), crowd=8).collect()
     assert {r["doc_id"] for r in out} == set(range(50)) and {r["gruppe"] for r in out} == {0} and {r["n_links"] for r in out} == {49}
     assert all(320 <= r["shared_chars"] <= 330 for r in out)
+
+
+def test_a_crowded_phrase_below_half_a_window_makes_no_windows(spark):
+    import random
+
+    rng = random.Random(12)
+    phrase = "".join(rng.choice("abcdefghij ") for _ in range(70))
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = [(i, noise(400) + phrase + noise(400)) for i in range(60)]
+    rows.append((60, rows[3][1][200:700]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, windows, _ = spans.shared_runs(docs, crowd=8)
+    assert {bytes(r["cls"]) for r in windows.collect()} <= {spans._digest(rows[3][1]), spans._digest(rows[60][1])}
+    assert {tuple(r) for r in spans.shared_pairs(docs, crowd=8).collect()} == {(3, 60)}
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    one, two = "a1 b2 c3 d4 " * 40, "".join(chr(97 + (i * i) % 26) for i in range(450))
+    docs = spark.createDataFrame([(1, one), (1, two), (2, "x" + one), (3, "y" + two)], "doc_id bigint, text string")
+    assert {tuple(r) for r in spans.shared_pairs(docs).collect()} == {(1, 2), (1, 3)}
+
+
+def test_the_paragraph_method_finds_like_paragraphs_only(spark):
+    p = " ".join(f"ord{i}" for i in range(80)) + ".\n"
+    q = " ".join(f"noe{i}" for i in range(80)) + ".\n"
+    docs = spark.createDataFrame([(1, p + q), (2, p), (3, "annet " + q[:300]), (4, None), (5, "")], "doc_id bigint, text string")
+    assert {tuple(r) for r in spans.paragraph_pairs(docs).collect()} == {(1, 2)}
