@@ -162,18 +162,33 @@ def centre_format(a: Box, page_width: Column, page_height: Column) -> Column:
     return F.format_string("0 %.6f %.6f %.6f %.6f", (x0 + x1) / 2, (y0 + y1) / 2, x1 - x0, y1 - y0)
 
 
-def crop_with_marker(a: Box, width: Column, height: Column, left: float, top: float, right: float, bottom: float, longest: float = 768.0, pad: float = 4.0) -> Column:
-    """struct(reason, crop, marker, factor): the crop around a box by four margins (in pixels; negative: to the page's edge).
+#: Least stroke of a marker, crop width for each further pixel of it, and what the marker is wider than its stroke.
+STROKE, STROKE_PER, STROKE_PAD = 3, 400, 2
 
-    reason is 'outside' where the box misses the page, 'empty' where nothing is left, else null; the marker is the
-    padded box inside the crop, both shrunk by factor so that no side is over `longest`.
+
+def crop_with_marker(a: Box, width: Column, height: Column, left: float, top: float, right: float, bottom: float, widest: int | None = None) -> Column:
+    """struct(reason, crop, marker, factor): the crop around a box by four margins (in pixels; negative: to the page's edge), in whole pixels.
+
+    A crop wider than `widest` is shrunk to it, and the marker, the box with a pad that grows with the crop's width, is
+    placed in the shrunk crop. reason is outside where the box misses the page, empty where nothing is left, marker where
+    the marker has no area, else null; without a crop the other fields are null.
     """
-    reach = lambda margin, near, edge: edge if margin < 0 else near
-    x0 = F.greatest(F.lit(0.0), reach(left, a.x0 - left, F.lit(0.0)))
-    y0 = F.greatest(F.lit(0.0), reach(top, a.y0 - top, F.lit(0.0)))
-    x1 = F.least(width, reach(right, a.x1 + right, width))
-    y1 = F.least(height, reach(bottom, a.y1 + bottom, height))
-    factor = F.least(F.lit(1.0), F.lit(longest) / F.greatest(x1 - x0, y1 - y0))
-    reason = F.when((a.x1 <= 0) | (a.y1 <= 0) | (a.x0 >= width) | (a.y0 >= height), "outside").when((x1 <= x0) | (y1 <= y0), "empty")
-    marker = Box((F.greatest(x0, a.x0 - pad) - x0) * factor, (F.greatest(y0, a.y0 - pad) - y0) * factor, (F.least(x1, a.x1 + pad) - x0) * factor, (F.least(y1, a.y1 + pad) - y0) * factor)
-    return F.struct(reason.alias("reason"), Box(x0, y0, x1, y1).struct().alias("crop"), marker.struct().alias("marker"), factor.alias("factor"))
+    whole = lambda c: c.cast("int").cast("double")
+    reach = lambda margin, near, edge: edge.cast("double") if margin < 0 else near
+    x0 = reach(left, F.greatest(F.lit(0.0), whole(a.x0 - left)), F.lit(0.0))
+    y0 = reach(top, F.greatest(F.lit(0.0), whole(a.y0 - top)), F.lit(0.0))
+    x1 = reach(right, F.least(width, whole(a.x1 + right)), width)
+    y1 = reach(bottom, F.least(height, whole(a.y1 + bottom)), height)
+    shrinks = F.lit(False) if widest is None else (x1 - x0) > widest
+    factor = F.when(shrinks, F.lit(float(widest or 0)) / (x1 - x0)).otherwise(F.lit(1.0))
+    w = F.when(shrinks, F.lit(float(widest or 0))).otherwise(x1 - x0)
+    h = F.when(shrinks, F.greatest(F.lit(1.0), whole((y1 - y0) * factor))).otherwise(y1 - y0)
+    pad = F.greatest(F.lit(STROKE), F.bround(w / STROKE_PER)) + STROKE_PAD
+    marker = Box(
+        F.greatest(F.lit(0.0), (a.x0 - x0) * factor - pad), F.greatest(F.lit(0.0), (a.y0 - y0) * factor - pad),
+        F.least(w - 1, (a.x1 - x0) * factor + pad), F.least(h - 1, (a.y1 - y0) * factor + pad),
+    )
+    outside = (a.x1 <= 0) | (a.y1 <= 0) | (a.x0 >= width) | (a.y0 >= height)
+    reason = F.when(outside, "outside").when((x1 <= x0) | (y1 <= y0), "empty").when((marker.x1 <= marker.x0) | (marker.y1 <= marker.y0), "marker")
+    drawn = lambda c: F.when(reason.isNull(), c)
+    return F.struct(reason.alias("reason"), drawn(Box(x0, y0, x1, y1).struct()).alias("crop"), drawn(marker.struct()).alias("marker"), drawn(factor).alias("factor"))

@@ -17,7 +17,7 @@ MISREAD, READ = "oOsSlIbB", "00551166"
 GAP = " .-,_"
 
 # Words of companies, and captions of an identity number.
-ORG_WORDS = r"\b(AS|ASA|ANS|BA|DA|KS|SA)\b|(?i:borettslag|boligbyggelag|sameie|stiftelse|forening|kommune|sparebank|bank|forsikring|org\.?\s*nr|organisasjonsn|foretak)"
+ORG_WORDS = r"\b(AS|ASA|ANS|KS|NUF|IKS|BBL|BRL)\b|(?i:borettslag|boligbyggelag|sameie|stiftelse|forening|kommune|sparebank|bank|forsikring|org\.?\s*nr|organisasjonsn|foretak)"
 CAPTION = r"(?i)(f\s*[øo]dsels\s*n|pers\s*[.\s]*n|p\s*\.\s*nr|f\s*\.\s*nr|fnr|personnummer)"
 FIVE_RUN = r"(^|[^0-9])[0-9]{5}([^0-9]|$)"
 ELEVEN = r"[0-9oOsSlIbB](?:[ .,_-]{0,2}[0-9oOsSlIbB]){10}"
@@ -136,35 +136,53 @@ def protects(*texts: Column, caption: bool = True) -> Column:
     return out
 
 
+# The strict writing of an identity number, and what exempts a line.
+STRICT = r"(?<![0-9])([0-9]{2}[ .-]?[0-9]{2}[ .-]?[0-9]{2}[ .-]?[0-9]{5})(?![0-9])"
+EXEMPT = "fnr-ok"
+
+
 def strict_numbers(c: Column) -> Column:
-    """Array of digit strings 'dd mm yy nnnnn' with at most one separator between the parts, bounded by non-digits, both check digits right."""
-    raw = F.regexp_extract_all(c, F.lit(r"(?<![0-9])([0-9]{2}[ .-]?[0-9]{2}[ .-]?[0-9]{2}[ .-]?[0-9]{5})(?![0-9])"))
-    return F.filter(F.transform(raw, lambda r: F.regexp_replace(r, "[^0-9]", "")), lambda d: valid_mod11(d) & birth_date(d).isNotNull())
+    """Array of struct(line, column, kind) over the lines of a text: 'dd mm yy nnnnn' with at most one separator between the parts, no digit beside it, both check digits right and a date that exists.
+
+    Lines and columns count from 1; a line that holds the exempting mark has none.
+    """
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"))), lambda l: l["t"].rlike(STRICT) & ~l["t"].contains(EXEMPT))
+
+    def of_line(l: Column) -> Column:
+        # the window before the column tells whether a digit stands there
+        at = F.filter(F.sequence(F.lit(1), F.length(l["t"])), lambda i: F.substr(l["t"], i, F.lit(15)).rlike(r"^[0-9]{2}[ .-]?[0-9]{2}[ .-]?[0-9]{2}[ .-]?[0-9]{5}(?![0-9])") & ((i == 1) | ~F.substr(l["t"], i - 1, F.lit(1)).rlike("[0-9]")))
+        digits = lambda i: F.substring(F.regexp_replace(F.substr(l["t"], i, F.lit(14)), "[^0-9]", ""), 1, 11)
+        found = F.transform(at, lambda i: F.struct(l["n"].alias("line"), i.cast("int").alias("column"), digits(i).alias("d")))
+        good = F.filter(found, lambda h: valid_mod11(h["d"]) & birth_date(h["d"]).isNotNull())
+        return F.transform(good, lambda h: F.struct(h["line"].alias("line"), h["column"].alias("column"), number_kind(h["d"]).alias("kind")))
+
+    return F.flatten(F.transform(lines, of_line))
 
 
 def birth_date(d: Column) -> Column:
-    """The date inside eleven digits, null where there is none: D-numbers have day + 40, synthetic ones month + 40 or + 80."""
+    """The date inside eleven digits, null where there is none: D-numbers have day + 40, h-numbers month + 40, synthetic ones month + 80."""
     day, month, year, series = (F.substring(d, s, n).try_cast("int") for s, n in ((1, 2), (3, 2), (5, 2), (7, 3)))
-    day, month = F.when(day > 40, day - 40).otherwise(day), F.when(month > 80, month - 80).when(month > 40, month - 40).otherwise(month)
-    century = F.when(series < 500, 1900).when((series < 750) & (year >= 54), 1800).when((series >= 900) & (year >= 40), 1900).when(year < 40, 2000)
+    day = F.when(day.between(41, 71), day - 40).otherwise(day)
+    month = F.when(month.between(81, 92), month - 80).when(month.between(41, 52), month - 40).otherwise(month)
+    century = F.when(series < 500, 1900).when((series < 750) & (year >= 54), 1800).when(year < 40, 2000).when(series >= 900, 1900)
     return F.try_to_date(F.format_string("%04d-%02d-%02d", century + year, month, day), "yyyy-MM-dd")
 
 
 def number_kind(d: Column) -> Column:
-    """identity, d or synthetic, from the day and month digits."""
+    """fnr, d-nummer, h-nummer or synthetic, from the day and month digits."""
     day, month = F.substring(d, 1, 2).try_cast("int"), F.substring(d, 3, 2).try_cast("int")
-    return F.when(month > 40, "synthetic").when(day > 40, "d").otherwise("identity")
+    return F.when(month.between(81, 92), "synthetic").when(month.between(41, 52), "h-nummer").when(day.between(41, 71), "d-nummer").otherwise("fnr")
 
 
 def register(spark: SparkSession) -> None:
     """SQL functions valid_mod11, valid_orgnr, identity_form, find_fnr and iou, as SQL expressions where SQL allows."""
-    from kvern.functions import scalar
+    from kvern.functions import scalar, text
 
     spark.udf.register("valid_mod11", scalar.valid_mod11_udf)
     spark.udf.register("valid_orgnr", scalar.valid_orgnr_udf)
     spark.udf.register("find_fnr", scalar.find_numbers_udf)
     spark.udf.register("poisson_upper", scalar.poisson_upper_udf)
-    spark.udf.register("parse_answer", scalar.parse_answer_udf)
+    spark.sql(f"create or replace temporary function parse_answer(raw string) returns {text.ANSWER} return {text.ANSWER_SQL}")
     spark.sql(
         """create or replace temporary function iou(ax0 double, ay0 double, ax1 double, ay1 double, bx0 double, by0 double, bx1 double, by1 double) returns double
         return case when least(ax1, bx1) > greatest(ax0, bx0) and least(ay1, by1) > greatest(ay0, by0)

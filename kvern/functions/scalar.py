@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 import re
 
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvern.functions.numbers import FIRST_WEIGHTS, GAP, HITS, MISREAD, ORG_WEIGHTS, READ, SECOND_WEIGHTS
+from kvern.functions.numbers import FIRST_WEIGHTS, HITS, MISREAD, ORG_WEIGHTS, READ, SECOND_WEIGHTS
 
 _FOLD = str.maketrans(MISREAD, READ)
 
@@ -32,22 +31,18 @@ def identity_form(s: str) -> bool:
     return (1 <= day <= 31 or 41 <= day <= 71) and 1 <= month <= 12
 
 
+#: Eleven digits that follow each other with at most two separators between neighbours, wherever they begin.
+_WINDOW = re.compile(r"(?=([0-9](?:[ .,_-]{0,2}[0-9]){10}))")
+
+
 def find_numbers(text: str | None, mod11: bool = True) -> list[tuple[int, int, str]]:
-    """The sliding scan of kvern.functions.numbers.find_numbers on one string: (start, end, digits)."""
-    text = text or ""
-    folded = text.translate(_FOLD)
-    places = [i for i, c in enumerate(folded) if "0" <= c <= "9"]
-    hits, at = [], 0
-    while at + 11 <= len(places):
-        window = places[at : at + 11]
-        gaps = [text[a + 1 : b] for a, b in zip(window, window[1:])]
-        digits = "".join(folded[i] for i in window)
-        wide = [g for g in gaps if g]
-        if len(wide) <= 3 and all(len(g) <= 2 and set(g) <= set(GAP) for g in wide) and identity_form(digits) and (not mod11 or valid_mod11(digits)):
-            hits.append((window[0], window[-1] + 1, digits))
-            at += 11
-        else:
-            at += 1
+    """(start, end, digits) of the numbers of a string, from left to right without overlap, at most three places with separators."""
+    hits = []
+    for m in _WINDOW.finditer((text or "").translate(_FOLD)):
+        said = m[1]
+        digits = re.sub("[^0-9]", "", said)
+        if (not hits or m.start() >= hits[-1][1]) and len(re.findall("[^0-9]+", said)) <= 3 and identity_form(digits) and (valid_mod11(digits) or not mod11):
+            hits.append((m.start(), m.start() + len(said), digits))
     return hits
 
 
@@ -68,37 +63,6 @@ def poisson_upper(k: int, level: float = 0.95) -> float:
     return high
 
 
-# The fields of an answer, and what stands for an unreadable one.
-ANSWER_FIELDS = ("linjen", "sifre_paa_linjen", "dato_gyldig", "holdepunkt")
-
-
-def parse_answer(text: str | None) -> dict:
-    """svar, tall, begrunnelse, feil and the checklist fields of a raw answer; whatever can't be read is 'ja' with a reason."""
-    out = {"svar": "ja", "tall": "", "begrunnelse": "", "feil": "", **dict.fromkeys(ANSWER_FIELDS, "")}
-    if not text or not text.strip():
-        return out | {"feil": "empty answer"}
-    clean = text.strip()
-    if clean.startswith("```"):
-        clean = re.sub(r"\s*```$", "", re.sub(r"^```[A-Za-z]*\s*", "", clean)).strip()
-    for tried in (clean, (re.search(r"(?s)\{.*?\}", clean) or [None])[0]):
-        try:
-            d = json.loads(tried) if tried else None
-        except ValueError:
-            continue
-        if isinstance(d, dict):
-            word = lambda k: "" if d.get(k) is None else str(d[k]).strip()
-            svar = word("svar").lower()
-            good = svar in ("ja", "nei")
-            error = "" if good else "the svar field is missing" if not svar else f"unknown answer {svar!r}"
-            return out | {"svar": svar if good else "ja", "tall": word("tall"), "begrunnelse": word("begrunnelse"), "feil": error} | {k: word(k).replace("\n", " ")[:300] for k in ANSWER_FIELDS}
-    if m := re.search(r"(?i)\b(ja|nei)\b", clean):
-        return out | {"svar": m[1].lower(), "begrunnelse": clean[:120], "feil": "not JSON, read by keyword"}
-    return out | {"begrunnelse": clean[:120], "feil": "unparsable answer"}
-
-
-ANSWER_TYPE = T.StructType([T.StructField(k, T.StringType()) for k in ("svar", "tall", "begrunnelse", "feil", *ANSWER_FIELDS)])
-
-
 @F.pandas_udf(T.BooleanType())
 def valid_mod11_udf(s: pd.Series) -> pd.Series:
     return s.map(valid_mod11)
@@ -114,16 +78,6 @@ def find_numbers_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: [{"start": a, "end": b, "digits": d} for a, b, d in find_numbers(x)])
 
 
-@F.pandas_udf(HITS)
-def find_candidates_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: [{"start": a, "end": b, "digits": d} for a, b, d in find_numbers(x, mod11=False)])
-
-
 @F.pandas_udf(T.DoubleType())
 def poisson_upper_udf(k: pd.Series) -> pd.Series:
     return k.map(lambda x: None if pd.isna(x) else poisson_upper(int(x)))
-
-
-@F.pandas_udf(ANSWER_TYPE)
-def parse_answer_udf(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_answer(x if isinstance(x, str) else None) for x in s], columns=["svar", "tall", "begrunnelse", "feil", *ANSWER_FIELDS])

@@ -59,18 +59,40 @@ def condition(df: DataFrame, said: str) -> Column:
     return F.coalesce(as_text, F.lit(False))
 
 
-def parsed_answer(c: Column) -> Column:
-    """struct(svar, feil) of a raw answer without leaving the JVM: code fence, JSON, first object, keyword, else ja."""
-    clean = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""))
-    clean = F.when(clean.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(clean, "^```[a-zA-Z]*\\s*", ""), "\\s*```$", ""))).otherwise(clean)
-    inner = F.regexp_extract(clean, r"(?s)(\{.*?\})", 1)
-    field = lambda j: F.get_json_object(j, "$.svar")
-    whole = F.when(clean.rlike(r"(?s)^\{.*\}$"), field(clean))
-    said = F.lower(F.trim(F.coalesce(whole, F.when(inner != "", field(inner)))))
-    word = F.lower(F.regexp_extract(clean, r"(?i)\b(ja|nei)\b", 1))
-    return (
-        F.when(clean == "", F.struct(F.lit("ja").alias("svar"), F.lit("empty answer").alias("feil")))
-        .when(said.isin("ja", "nei"), F.struct(said.alias("svar"), F.lit("").alias("feil")))
-        .when(word != "", F.struct(word.alias("svar"), F.lit("not JSON, read by keyword").alias("feil")))
-        .otherwise(F.struct(F.lit("ja").alias("svar"), F.lit("unparsable answer").alias("feil")))
-    )
+# The fields of an answer, and what is said of one that can't be read.
+ANSWER_FIELDS = ("linjen", "sifre_paa_linjen", "dato_gyldig", "holdepunkt")
+EMPTY, OMITTED, KEYWORD, UNPARSABLE = "empty answer", "the model omitted the «svar» field — the rest of the JSON came", "not JSON, read by keyword", "unparsable answer"
+ANSWER = "struct<" + ",".join(f"{f}:string" for f in ("svar", "tall", "begrunnelse", "feil", *ANSWER_FIELDS)) + ">"
+
+
+def _answer_sql() -> str:
+    """The parser as one SQL expression over `raw`: names are bound by lambdas over one-element arrays, so that nothing is read twice."""
+
+    def let(name: str, value: str, inner: str) -> str:
+        return f"element_at(transform(array({value}), {name} -> {inner}), 1)"
+
+    said = lambda name, none: f"case when schema_of_variant(variant_get(d, '$.{name}')) = 'VOID' then {none} else coalesce(trim(both from regexp_replace(try_variant_get(d, '$.{name}', 'string'), '^\\\\s+|\\\\s+$', '')), '') end"
+    listed = lambda name: f"substring(replace({said(name, repr(''))}, '\\n', ' '), 1, 300)"
+    error = f"case when a in ('ja', 'nei') then '' when a = '' then '{OMITTED}' else concat('unknown answer \\'', a, '\\'') end"
+    pair = lambda name, value: f"'{name}', {value}"
+    checks = ", ".join(pair(f, listed(f)) for f in ANSWER_FIELDS)
+    blank = ", ".join(pair(f, "''") for f in ANSWER_FIELDS)
+    of_object = let("a", f"lower({said('svar', repr('none'))})", f"named_struct('svar', case when a = 'nei' then 'nei' else 'ja' end, 'tall', {said('tall', repr('None'))}, 'begrunnelse', {said('begrunnelse', repr('None'))}, 'feil', {error}, {checks})")
+    other = let(
+        "w", r"lower(regexp_extract(c, '(?i)\\b(ja|nei)\\b', 1))",
+        f"case when w <> '' then named_struct('svar', w, 'tall', '', 'begrunnelse', substring(c, 1, 120), 'feil', '{KEYWORD}', {blank}) else named_struct('svar', 'ja', 'tall', '', 'begrunnelse', substring(c, 1, 120), 'feil', '{UNPARSABLE}', {blank}) end",
+    )
+    objects = r"filter(array(try_parse_json(c), try_parse_json(regexp_extract(c, '(?s)(\\{.*?\\})', 1))), v -> v is not null and schema_of_variant(v) like 'OBJECT%')"
+    clean = let("s", r"regexp_replace(coalesce(raw, ''), '^\\s+|\\s+$', '')", r"case when s like '```%' then regexp_replace(regexp_replace(s, '^```[a-zA-Z]*\\s*|\\s*```$', ''), '^\\s+|\\s+$', '') else s end")
+    read = let("o", objects, f"case when size(o) > 0 then {let('d', 'o[0]', of_object)} else {other} end")
+    return let("c", clean, f"case when c = '' and coalesce(raw, '') rlike '^\\\\s*$' then named_struct('svar', 'ja', 'tall', '', 'begrunnelse', '', 'feil', '{EMPTY}', {blank}) else {read} end")
+
+
+#: struct(svar, tall, begrunnelse, feil and the checklist fields) of a raw answer: code fence, JSON, first object, keyword; what can't be read is ja, never nei.
+ANSWER_SQL = _answer_sql()
+
+
+def with_answer(df: DataFrame, column: str, name: str = "answer") -> DataFrame:
+    """df with the parsed answer of a text column."""
+    kept = df.columns
+    return df.withColumn("raw", F.col(column)).withColumn("_answer", F.expr(ANSWER_SQL)).select(*kept, F.col("_answer").alias(name))

@@ -1,245 +1,339 @@
 """Page layout: tokens to lines, lines to redaction boxes, merging with detector boxes.
 
-These folds depend on order within a page, so each page is one group; a page holds
-what fits on a sheet, which bounds the group. Ties in every order are broken by `ord`.
+Only the grouping of tokens into lines runs in Python, one page a group: it depends on
+the order of the tokens, and a page holds what fits on a sheet. Everything after it is
+Columns over the digit positions of a line. Ties in every order are broken by `ord`.
+
+Tokens are doc, page, ord, text, x0, y0, x1, y1, rec_score; detector boxes doc, page, ord,
+x0, y0, x1, y1, conf.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from statistics import median
+from bisect import insort
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvern.functions.numbers import MISREAD, ORG_WORDS, READ
-from kvern.functions.scalar import find_numbers, valid_orgnr
+from kvern.functions import numbers
+from kvern.functions.geometry import Box, covered_share, intersection_area, smallest_share
 
 # Digits to cover, paddings, height cap, overlap of duplicates, detector confidence floors, and lenient limits.
 COVERED_DIGITS, PAD_X, PAD_Y, HEIGHT_CAP = 5, 0.35, 0.35, 3.0
 DUPLICATE, CONF_VERTICAL, CONF_NO_TEXT, VERTICAL, MIN_DIGITS, MAX_LETTERS = 0.5, 0.02, 0.02, 1.3, 1, 1
 FREE_GAPS = (2, 4, 6)
-_FOLD = str.maketrans(MISREAD, READ)
-_ORG = re.compile(ORG_WORDS)
-_RUN = re.compile(r"[0-9](?:[ .,_-]{0,2}[0-9])*")
+IN_BOX = 0.3
 
 PAGE = ["doc", "page"]
+BOX = ["x0", "y0", "x1", "y1"]
+_DIGIT = "struct<pos:int,left:double,right:double,top:double,bottom:double,rec:double>"
+
 
+# ----- lines
 
-def group_lines(tokens: list[dict]) -> list[list[dict]]:
-    """Tokens by centre height join the first line whose vertical reach holds their centre; a line's reach grows with its tokens."""
-    lines: list[dict] = []
-    for t in sorted(tokens, key=lambda t: ((t["y0"] + t["y1"]) / 2, t["x0"], t["ord"])):
-        middle = (t["y0"] + t["y1"]) / 2
-        home = next((l for l in lines if l["top"] <= middle <= l["bottom"]), None)
-        if home is None:
-            home = {"tokens": [], "top": t["y0"], "bottom": t["y1"]}
-            lines.append(home)
-        home["tokens"].append(t)
-        home["top"], home["bottom"] = min(home["top"], t["y0"]), max(home["bottom"], t["y1"])
-    return [l["tokens"] for l in lines]
-
-
-def line_text(tokens: list[dict]) -> tuple[str, list]:
-    """The tokens from left to right with one space between, and per character its digit box (left, right, top, bottom) or None."""
-    text, boxes = [], []
-    for i, t in enumerate(sorted(tokens, key=lambda t: (t["x0"], t["ord"]))):
-        if i:
-            text.append(" ")
-            boxes.append(None)
-        step = (t["x1"] - t["x0"]) / max(1, len(t["text"]))
-        for j, c in enumerate(t["text"]):
-            digit = "0" <= c.translate(_FOLD) <= "9"
-            text.append(c)
-            boxes.append((t["x0"] + step * j, t["x0"] + step * (j + 1), t["y0"], t["y1"], t["rec_score"]) if digit else None)
-    return "".join(text), boxes
-
-
-def cover_box(digits: list[tuple]) -> tuple[int, int, int, int] | None:
-    """The box over the last five of the digit boxes, from half-way to the digit before; None with five or fewer."""
-    if len(digits) <= COVERED_DIGITS:
-        return None
-    anchor, tail = digits[-COVERED_DIGITS - 1], digits[-COVERED_DIGITS:]
-    width = median(r - l for l, r, *_ in tail)
-    top, bottom = median(d[2] for d in digits), median(d[3] for d in digits)
-    pad = PAD_Y * (bottom - top)
-    top, bottom = top - pad, bottom + pad
-    if bottom - top > HEIGHT_CAP * width:
-        middle = (top + bottom) / 2
-        top, bottom = middle - HEIGHT_CAP * width / 2, middle + HEIGHT_CAP * width / 2
-    left = max((anchor[1] + tail[0][0]) / 2 - PAD_X * width, (anchor[0] + anchor[1]) / 2)
-    return math.floor(left), math.floor(top), math.ceil(max(d[1] for d in tail) + PAD_X * width), math.ceil(bottom)
-
-
-def window_gaps(window: str, digits: list[tuple]) -> tuple[float, int]:
-    """(widest gap outside the usual places in median digit widths, whether a decimal mark stands in such a gap)."""
-    seen = decimal = 0
-    for c in window:
-        if c.isdigit():
-            seen += 1
-        elif c in ".," and seen not in FREE_GAPS:
-            decimal = 1
-    widths = sorted(d[1] - d[0] for d in digits)
-    unit = widths[len(widths) // 2] or 1.0
-    gaps = [b[0] - a[1] for i, (a, b) in enumerate(zip(digits, digits[1:]), 1) if i not in FREE_GAPS]
-    return round(max([0.0, *gaps]) / unit, 2), decimal
-
-
-def redaction_boxes(tokens: list[dict], mod11: bool = False) -> list[dict]:
-    """One box per found number of a page, with its smallest read score and window features."""
-    out = []
-    for line in group_lines(tokens):
-        text, boxes = line_text(line)
-        for start, end, digits in find_numbers(text, mod11):
-            held = [b for b in boxes[start:end] if b is not None]
-            box = cover_box(held)
-            if box:
-                gap, decimal = window_gaps(text[start:end], held)
-                scores = [b[4] for b in held if b[4] is not None and not math.isnan(b[4])]
-                out.append({"x0": float(box[0]), "y0": float(box[1]), "x1": float(box[2]), "y1": float(box[3]), "kilde": "paddle", "conf": None, "rec": round(min(scores), 3) if scores else None, "maks_luke": gap, "har_desimal_luke": decimal})
-    return out
-
-
-def _inside(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    return w * h if w > 0 and h > 0 else 0.0
-
-
-def _size(a) -> float:
-    return max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1])
-
-
-def accepted_source(tokens: list[dict], box: tuple, conf: float) -> str | None:
-    """yolo_vertikal, yolo or None for a detector box: tall boxes and boxes without text need some confidence, text needs digits and few letters."""
-    if box[3] - box[1] > VERTICAL * (box[2] - box[0]):
-        return "yolo_vertikal" if conf >= CONF_VERTICAL else None
-    inner = [t["text"] for t in tokens if _size(s := (t["x0"], t["y0"], t["x1"], t["y1"])) and _inside(s, box) / _size(s) > 0.3]
-    if not inner:
-        return "yolo" if conf >= CONF_NO_TEXT else None
-    held = "".join(x for x in inner if any(c.isdigit() for c in x))
-    return "yolo" if sum(c.isdigit() for c in held) >= MIN_DIGITS and sum(c.isalpha() for c in held) <= MAX_LETTERS else None
-
-
-def merged_boxes(tokens: list[dict], detected: list[dict]) -> list[dict]:
-    """Redaction boxes of a page from its text and its detector boxes in order.
-
-    A detector box that overlaps a text box makes it 'begge' with the detector's confidence; one that overlaps only an
-    earlier detector box is a duplicate; any other must be accepted.
+def with_lines(tokens: DataFrame) -> DataFrame:
+    """tokens with line_no, from 0 in order of creation.
+
+    Tokens by centre height (then x0) join the earliest line whose vertical reach holds their centre; a line's reach grows
+    with its tokens. As centres come in rising order, a line that ends above the current centre can't be joined again.
+    """
+    kinds = dict(tokens.dtypes)
+    names = [*PAGE, "ord", "text", *BOX, "rec_score"]
+
+    def assign(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.assign(_c=(page["y0"] + page["y1"]) / 2).sort_values(["_c", "x0", "ord"], kind="stable")
+        top, bottom, open_, out = [], [], [], []
+        for c, y0, y1 in zip(page["_c"], page["y0"], page["y1"]):
+            open_ = [i for i in open_ if bottom[i] >= c]
+            at = next((i for i in open_ if top[i] <= c), None)
+            if at is None:
+                at = len(top)
+                top.append(y0)
+                bottom.append(y1)
+                insort(open_, at)
+            else:
+                top[at], bottom[at] = min(top[at], y0), max(bottom[at], y1)
+            out.append(at)
+        return page.assign(line_no=out)[[*names, "line_no"]]
+
+    return tokens.select(*names).groupBy(*PAGE).applyInPandas(assign, ", ".join(f"{n} {kinds[n]}" for n in names) + ", line_no int")
+
+
+def lines(tokens: DataFrame) -> DataFrame:
+    """doc, page, line_no, top, bottom, text, n_tokens, rec_min_linje, digits of each line.
+
+    text joins the tokens from left to right by one space. digits are the characters that read as digits: position (from
+    1), their part of the token's box and its score, in order.
     """
-    kept = redaction_boxes(tokens)
-    for d in sorted(detected, key=lambda d: d["ord"]):
-        box = (d["x0"], d["y0"], d["x1"], d["y1"])
-        near = [k for k in kept if (least := min(_size(box), _size(kb := (k["x0"], k["y0"], k["x1"], k["y1"])))) > 0 and _inside(box, kb) / least > DUPLICATE]
-        text = [k for k in near if k["kilde"] in ("paddle", "begge")]
-        for k in text:
-            k["kilde"], k["conf"] = "begge", round(d["conf"], 3)
-        if not near and (source := accepted_source(tokens, box, d["conf"])):
-            kept.append({"x0": box[0], "y0": box[1], "x1": box[2], "y1": box[3], "kilde": source, "conf": round(d["conf"], 3), "rec": None, "maks_luke": None, "har_desimal_luke": None})
-    return kept
+    return _line_rows(with_lines(tokens))
+
+
+def _line_rows(placed: DataFrame) -> DataFrame:
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy(*PAGE, "line_no").orderBy("x0", "ord").rowsBetween(Window.unboundedPreceding, -1))
+    at = placed.withColumn("start", F.coalesce(before, F.lit(0)).cast("int"))
+    step = (F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))
+    folded = numbers.as_digits(F.col("text"))
+
+    def digit(i: Column) -> Column:
+        return F.struct(
+            (F.col("start") + i).alias("pos"), (F.col("x0") + step * (i - 1)).alias("left"), (F.col("x0") + step * i).alias("right"),
+            F.col("y0").alias("top"), F.col("y1").alias("bottom"), F.col("rec_score").alias("rec"),
+        )
+
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substr(folded, i, F.lit(1)).between("0", "9"))
+    ready = at.select(*PAGE, "line_no", "x0", "ord", "text", "y0", "y1", "rec_score", F.transform(places, digit).alias("digits"))
+    ordered = F.array_sort(F.collect_list(F.struct("x0", "ord", "text", "digits")))
+    rows = ready.groupBy(*PAGE, "line_no").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.round(F.min(_score("rec_score")), 5).alias("rec_min_linje"), F.count(F.lit(1)).cast("int").alias("n_tokens"), ordered.alias("t"))
+    return rows.select(
+        *PAGE, "line_no", "top", "bottom", F.array_join(F.transform("t", lambda t: t["text"]), " ").alias("text"), "n_tokens", "rec_min_linje",
+        F.flatten(F.transform("t", lambda t: t["digits"])).alias("digits"),
+    )
+
+
+def _score(c: str) -> Column:
+    return F.when(~F.isnan(c), F.col(c))
 
 
 def lines_from_tokens(tokens: DataFrame) -> DataFrame:
-    """doc, page, line_no, text, n_tokens, n_digits of each line; tokens: doc, page, ord, text, x0, y0, x1, y1, rec_score."""
+    """doc, page, line_no, text, n_tokens, n_digits of each line."""
+    return lines(tokens).select(*PAGE, "line_no", "text", "n_tokens", F.size("digits").alias("n_digits"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lines = [line_text(l) + (len(l),) for l in group_lines(rows.to_dict("records"))]
-        return pd.DataFrame([(*key, i, text, n, sum(b is not None for b in boxes)) for i, (text, boxes, n) in enumerate(lines)], columns=["doc", "page", "line_no", "text", "n_tokens", "n_digits"])
 
-    return tokens.groupBy(*PAGE).applyInPandas(run, "doc bigint, page int, line_no int, text string, n_tokens int, n_digits int")
+def marked_lines(tokens: DataFrame) -> DataFrame:
+    """doc, page, line_no, text, marks: the lines with text, numbered from 1 in order of their tops, each with its number-shaped hits (digits, mod11)."""
+    rows = lines(tokens).withColumn("text", F.trim("text")).where("text <> ''")
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("top", "line_no"))
+    marks = F.transform(numbers.find_numbers(F.col("text")), lambda h: F.struct(h["digits"].alias("digits"), numbers.valid_mod11(h["digits"]).alias("mod11")))
+    return rows.select(*PAGE, number.alias("line_no"), "text", marks.alias("marks"))
 
 
-_BOX = "doc bigint, page int, x0 double, y0 double, x1 double, y1 double, kilde string, conf double, rec double, maks_luke double, har_desimal_luke double"
+# ----- redaction boxes
 
+def _middle(values: Column, n: int) -> Column:
+    """The median of an array of n values, n odd."""
+    return F.element_at(F.array_sort(values), n // 2 + 1)
 
-def merge_boxes(tokens: DataFrame, detected: DataFrame) -> DataFrame:
-    """Redaction boxes of every page that has tokens or detector boxes (doc, page, ord, x0..y1, conf)."""
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        boxes = merged_boxes(left.to_dict("records"), right.to_dict("records"))
-        names = [c.split()[0] for c in _BOX.split(", ")]
-        return pd.DataFrame([{"doc": key[0], "page": key[1], **b} for b in boxes], columns=names).astype({c: "float64" for c in names[2:6] + names[7:]})
-
-    return tokens.groupBy(*PAGE).cogroup(detected.groupBy(*PAGE)).applyInPandas(run, _BOX)
-
-
-def _spans(boxes: list, start: int, end: int, box: tuple) -> bool:
-    """Whether the digits of text[start:end] reach over the box horizontally."""
-    held = [b for b in boxes[start:end] if b is not None]
-    return bool(held) and max(b[1] for b in held) > box[0] and min(b[0] for b in held) < box[2]
-
-
-def line_features(tokens: list[dict], box: tuple) -> dict:
-    """The text features of a detector box: what is in it, and what stands on its line where the digits reach over it."""
-    inner = [t for t in tokens if _size(s := (t["x0"], t["y0"], t["x1"], t["y1"])) and _inside(s, box) / _size(s) > 0.3]
-    numeric = "".join(t["text"] for t in inner if any(c.isdigit() for c in t["text"]))
-    scores = lambda ts: [t["rec_score"] for t in ts if t["rec_score"] is not None and not math.isnan(t["rec_score"])]
-    least = lambda v: round(min(v), 5) if v else None
-    out = {
-        "har_tokens": int(bool(inner)), "n_siffer": sum(c.isdigit() for c in numeric), "n_bokstaver": sum(c.isalpha() for c in numeric), "rec_min": least(scores(inner)),
-        "rec_median": round(median(scores(inner)), 5) if scores(inner) else None, "rec_min_linje": None, "n_siffer_linje": 0, "siffer_run": 0, "har_fnr_kandidat": 0, "har_desimal_naer": 0,
-        "har_00_run": 0, "har_orgnr": 0, "har_org_ord": 0, "lang_run": 0,
-    }
-    lines = group_lines(tokens)
-    reach = 1.5 * (box[3] - box[1])
-    for line in lines:
-        middle = (min(t["y0"] for t in line) + max(t["y1"] for t in line)) / 2
-        if box[1] - reach <= middle <= box[3] + reach and _ORG.search(line_text(line)[0]):
-            out["har_org_ord"] = 1
-    shares = [sum(_inside((t["x0"], t["y0"], t["x1"], t["y1"]), box) for t in line) for line in lines]
-    if not shares or max(shares) <= 0:
-        return out
-    own = lines[shares.index(max(shares))]
-    text, boxes = line_text(own)
-    over = lambda m: _spans(boxes, m.start(), m.end(), box)
-    runs = [re.sub("[^0-9]", "", m.group()) for m in _RUN.finditer(text) if over(m)]
-    org = [r if len(r) == 9 else r[2:] for r in runs if len(r) == 9 or len(r) == 11 and r.startswith("00")]
-    return out | {
-        "rec_min_linje": least(scores(own)), "n_siffer_linje": sum("0" <= c <= "9" for c in text), "siffer_run": max((len(m.group()) for m in re.finditer("[0-9]+", text) if over(m)), default=0),
-        "har_fnr_kandidat": int(any(_spans(boxes, s, e, box) for s, e, _ in find_numbers(text, mod11=False))), "har_desimal_naer": int(any(over(m) for m in re.finditer("[0-9][.,][0-9]", text))),
-        "har_00_run": int(any(10 <= len(r) <= 12 and r.startswith("00") for r in runs)), "har_orgnr": int(any(r[0] in "89" and valid_orgnr(r) for r in org)), "lang_run": max(map(len, runs), default=0),
-    }
-
-
-_WHOLE = ("har_tokens", "n_siffer", "n_bokstaver", "n_siffer_linje", "siffer_run", "har_fnr_kandidat", "har_desimal_naer", "har_00_run", "har_orgnr", "har_org_ord", "lang_run")
 
+def redaction_boxes(lines_: DataFrame, mod11: bool = True) -> DataFrame:
+    """doc, page, line_no, x0, y0, x1, y1, mod11, rec, maks_luke, har_desimal_luke: one box per found number of a line.
 
-def box_features(tokens: DataFrame, detected: DataFrame) -> DataFrame:
-    """doc, page, ord and the fourteen text features of every detector box."""
-    names = [*_WHOLE, "rec_min", "rec_median", "rec_min_linje"]
+    The box covers the last five of the eleven digits, from half-way to the digit before them. maks_luke is the widest gap
+    between neighbouring digits in digit widths, har_desimal_luke whether a decimal mark stands between them; gaps after
+    the 2nd, 4th and 6th digit don't count, as dates are written with them.
+    """
+    hits = lines_.select(*PAGE, "line_no", "text", "digits", F.explode(numbers.find_numbers(F.col("text"), mod11)).alias("hit"))
+    held = F.filter("digits", lambda d: (d["pos"] > F.col("hit.start")) & (d["pos"] <= F.col("hit.end")))
+    found = hits.select(*PAGE, "line_no", "text", F.col("hit.digits").alias("digits"), held.alias("d"))
+    d = [F.element_at("d", i) for i in range(1, 12)]
+    tail, anchor = d[-COVERED_DIGITS:], d[-COVERED_DIGITS - 1]
+    width = _middle(F.array(*[t["right"] - t["left"] for t in tail]), COVERED_DIGITS)
+    top, bottom = (_middle(F.array(*[x[side] for x in d]), 11) for side in ("top", "bottom"))
+    pairs = [(a, b) for i, (a, b) in enumerate(zip(d, d[1:]), 1) if i not in FREE_GAPS]
+    found = found.select(
+        *PAGE, "line_no", "digits", "d", width.alias("w"), top.alias("t"), bottom.alias("b"), _middle(F.array(*[x["right"] - x["left"] for x in d]), 11).alias("unit"),
+        F.greatest(F.lit(0.0), *[b["left"] - a["right"] for a, b in pairs]).alias("gap"),
+        F.greatest(*[F.substr(F.col("text"), a["pos"] + 1, b["pos"] - a["pos"] - 1).rlike("[.,]").cast("double") for a, b in pairs]).alias("har_desimal_luke"),
+    )
+    middle, half = (F.col("t") + F.col("b")) / 2, F.least((F.col("b") - F.col("t")) * (0.5 + PAD_Y), HEIGHT_CAP * F.col("w") / 2)
+    left = F.greatest((anchor["right"] + tail[0]["left"]) / 2 - PAD_X * F.col("w"), (anchor["left"] + anchor["right"]) / 2)
+    right = F.greatest(*[t["right"] for t in tail]) + PAD_X * F.col("w")
+    whole = lambda c, name: c.cast("double").alias(name)
+    return found.select(
+        *PAGE, "line_no", whole(F.floor(left), "x0"), whole(F.floor(middle - half), "y0"), whole(F.ceil(right), "x1"), whole(F.ceil(middle + half), "y1"), numbers.valid_mod11(F.col("digits")).alias("mod11"),
+        F.round(F.array_min(F.transform("d", lambda x: F.when(~F.isnan(x["rec"]), x["rec"]))), 3).alias("rec"), F.round(F.col("gap") / F.when(F.col("unit") == 0, 1.0).otherwise(F.col("unit")), 2).alias("maks_luke"), "har_desimal_luke",
+    )
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        page = left.to_dict("records")
-        rows = [(*key, d["ord"], *(f[n] for n in names)) for d in right.to_dict("records") for f in [line_features(page, (d["x0"], d["y0"], d["x1"], d["y1"]))]]
-        return pd.DataFrame(rows, columns=["doc", "page", "ord", *names]).astype({n: "float64" for n in names[-3:]})
 
-    schema = "doc bigint, page int, ord int, " + ", ".join(f"{n} int" for n in _WHOLE) + ", rec_min double, rec_median double, rec_min_linje double"
-    return tokens.groupBy(*PAGE).cogroup(detected.groupBy(*PAGE)).applyInPandas(run, schema)
+def candidate_boxes(lines_: DataFrame) -> DataFrame:
+    """doc, page, x0, y0, x1, y1 of each run of eleven digits of identity form, rx0, ry0, rx1, ry1 of its last five digits, n_digits, mod11."""
+    hits = lines_.select(*PAGE, "digits", F.explode(numbers.find_numbers(F.col("text"), mod11=False)).alias("hit"))
+    held = F.filter("digits", lambda d: (d["pos"] > F.col("hit.start")) & (d["pos"] <= F.col("hit.end")))
+    found = hits.select(*PAGE, F.col("hit.digits").alias("said"), held.alias("d"), F.slice(held, -COVERED_DIGITS, COVERED_DIGITS).alias("r"))
+    edges = (("x0", F.array_min, "left"), ("y0", F.array_min, "top"), ("x1", F.array_max, "right"), ("y1", F.array_max, "bottom"))
+    sides = [f(F.transform(c, lambda x, k=k: x[k])).alias(p + n) for c, p in (("d", ""), ("r", "r")) for n, f, k in edges]
+    return found.select(*PAGE, *sides, F.size("d").alias("n_digits"), numbers.valid_mod11(F.col("said")).alias("mod11"))
 
 
-def box_text_features(tokens: DataFrame, detected: DataFrame) -> DataFrame:
-    """doc, page, ord, har_tokens, n_siffer, n_bokstaver, rec_min of each detector box from the tokens that lie in it by more than 0.3, all in Columns."""
-    from kvern.functions.geometry import Box, covered_share
+# ----- detector boxes
 
+def _same_page(a: str, b: str) -> Column:
+    return (F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.page") == F.col(f"{b}.page"))
+
+
+def box_text_features(tokens: DataFrame, detected: DataFrame) -> DataFrame:
+    """doc, page, ord, har_tokens, n_siffer, n_bokstaver, rec_min, rec_median of each detector box from the tokens that lie in it by more than 0.3; letters count in tokens with a digit only."""
     t, d = tokens.alias("t"), detected.alias("d")
-    within = (F.col("t.doc") == F.col("d.doc")) & (F.col("t.page") == F.col("d.page")) & (covered_share(Box.of("t."), Box.of("d.")) > 0.3)
+    within = _same_page("t", "d") & (covered_share(Box.of("t."), Box.of("d.")) > IN_BOX)
     digits = F.length(F.regexp_replace("t.text", "[^0-9]", ""))
     letters = F.length(F.regexp_replace("t.text", r"[^\p{L}]", ""))
     return d.join(t, within, "left").groupBy("d.doc", "d.page", "d.ord").agg(
-        F.max(F.col("t.text").isNotNull().cast("int")).alias("har_tokens"), F.coalesce(F.sum(digits), F.lit(0)).alias("n_siffer"),
-        F.coalesce(F.sum(F.when(digits > 0, letters)), F.lit(0)).alias("n_bokstaver"), F.round(F.min("t.rec_score"), 5).alias("rec_min"),
+        F.max(F.col("t.text").isNotNull().cast("int")).alias("har_tokens"), F.coalesce(F.sum(digits), F.lit(0)).cast("int").alias("n_siffer"),
+        F.coalesce(F.sum(F.when(digits > 0, letters)), F.lit(0)).cast("int").alias("n_bokstaver"), F.round(F.min(_score("t.rec_score")), 5).alias("rec_min"), F.round(F.median(_score("t.rec_score")), 5).alias("rec_median"),
     )
 
 
+def accepted(detected: DataFrame, tokens: DataFrame) -> DataFrame:
+    """detected with kilde: yolo_vertikal, yolo or null; tall boxes and boxes without text need some confidence, text needs digits and few letters."""
+    counts = box_text_features(tokens, detected)
+    tall = (F.col("y1") - F.col("y0")) > VERTICAL * (F.col("x1") - F.col("x0"))
+    kilde = (
+        F.when(tall, F.when(F.col("conf") >= CONF_VERTICAL, "yolo_vertikal"))
+        .when(F.col("har_tokens") == 1, F.when((F.col("n_siffer") >= MIN_DIGITS) & (F.col("n_bokstaver") <= MAX_LETTERS), "yolo"))
+        .when(F.col("conf") >= CONF_NO_TEXT, "yolo")
+    )
+    return detected.join(counts, [*PAGE, "ord"], "left").select(*detected.columns, kilde.alias("kilde"))
+
+
+def merge_boxes(tokens: DataFrame, detected: DataFrame) -> DataFrame:
+    """The boxes of every page from its text and its detector boxes: doc, page, x0..y1, kilde, conf, rec, mod11, maks_luke, har_desimal_luke.
+
+    A detector box that overlaps text boxes makes them 'begge' with the confidence of the last such box; one that overlaps
+    only a kept detector box before it is a duplicate; any other must be accepted.
+    """
+    text = redaction_boxes(lines(tokens)).withColumn("no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_no", *BOX)))
+    a, b = text.alias("a"), detected.alias("b")
+    near = a.join(b, _same_page("a", "b") & (smallest_share(Box.of("b."), Box.of("a.")) > DUPLICATE)).select("a.doc", "a.page", "a.no", "b.ord", "b.conf")
+    promoted = near.groupBy(*PAGE, "no").agg(F.round(F.max_by("conf", "ord"), 3).alias("conf"))
+    on_text = text.join(promoted, [*PAGE, "no"], "left").select(
+        *PAGE, *BOX, F.when(F.col("conf").isNull(), "paddle").otherwise("begge").alias("kilde"), "conf", "rec", "mod11", "maks_luke", "har_desimal_luke",
+    )
+    rest = accepted(detected.join(near.select(*PAGE, "ord").distinct(), [*PAGE, "ord"], "left_anti"), tokens).where("kilde is not null")
+    box = F.struct("ord", *BOX, "conf", "kilde")
+    kind = "array<struct<ord:int,x0:double,y0:double,x1:double,y1:double,conf:double,kilde:string>>"
+    of = lambda s: Box(*(s[c] for c in BOX))
+    first = F.aggregate(F.array_sort(F.collect_list(box)), F.expr(f"cast(array() as {kind})"), lambda kept, x: F.when(F.exists(kept, lambda k: smallest_share(of(x), of(k)) > DUPLICATE), kept).otherwise(F.concat(kept, F.array(x))))
+    alone = rest.withColumn("ord", F.col("ord").cast("int")).groupBy(*PAGE).agg(first.alias("kept")).select(*PAGE, F.explode("kept").alias("k"))
+    none = F.lit(None).cast("double")
+    return on_text.union(alone.select(*PAGE, *[F.col(f"k.{c}").alias(c) for c in BOX], F.col("k.kilde").alias("kilde"), F.round("k.conf", 3).alias("conf"), none.alias("rec"), F.lit(None).cast("boolean").alias("mod11"), none.alias("maks_luke"), none.alias("har_desimal_luke")))
+
+
+def digit_spans(text: Column, digits: Column, gap: int) -> Column:
+    """Array of struct(digits, left, right, last): runs of ASCII digits with at most `gap` separators between neighbours."""
+    plain = F.filter(digits, lambda d: F.substr(text, d["pos"], F.lit(1)).between("0", "9"))
+    empty = F.expr("cast(array() as array<struct<digits:string,left:double,right:double,last:int>>)")
+
+    def step(runs: Column, d: Column) -> Column:
+        c, end = F.substr(text, d["pos"], F.lit(1)), F.element_at(runs, -1)
+        between = F.substr(text, end["last"] + 1, d["pos"] - end["last"] - 1)
+        joins = (F.size(runs) > 0) & (F.length(between) <= gap) & (F.translate(between, numbers.GAP, "") == "")
+        grown = F.struct(F.concat(end["digits"], c).alias("digits"), F.least(end["left"], d["left"]).alias("left"), F.greatest(end["right"], d["right"]).alias("right"), d["pos"].alias("last"))
+        new = F.struct(c.alias("digits"), d["left"].alias("left"), d["right"].alias("right"), d["pos"].alias("last"))
+        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))).otherwise(F.concat(runs, F.array(new)))
+
+    return F.when(F.size(plain) > 0, F.aggregate(plain, empty, step)).otherwise(empty)
+
+
+def _decimals(text: Column) -> Column:
+    """Positions of the first characters of digit, mark, digit, from left to right without overlap."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3)).rlike("^[0-9][.,][0-9]$"))
+    empty = F.expr("cast(array() as array<int>)")
+    return F.aggregate(starts, empty, lambda kept, i: F.when((F.size(kept) > 0) & (i < F.element_at(kept, -1) + 3), kept).otherwise(F.concat(kept, F.array(i))))
+
+
+_ZERO = ("n_siffer_linje", "siffer_run", "har_fnr_kandidat", "har_desimal_naer", "har_00_run", "har_orgnr", "lang_run")
+
+
+def box_features(tokens: DataFrame, detected: DataFrame) -> DataFrame:
+    """doc, page, ord and the fourteen text features of every detector box: what is in it, and what of its line reaches over it.
+
+    A box's line is the one whose tokens overlap it most (the earliest on ties); without one the features of the line are 0.
+    """
+    placed = with_lines(tokens)
+    rows = _line_rows(placed)
+    t, d = placed.alias("t"), detected.alias("d")
+    shares = t.join(d, _same_page("t", "d")).groupBy("d.doc", "d.page", "d.ord", "t.line_no").agg(F.sum(intersection_area(Box.of("t."), Box.of("d."))).alias("a")).where("a > 0")
+    own = shares.groupBy(*PAGE, "ord").agg(F.max_by("line_no", F.struct("a", -F.col("line_no"))).alias("line_no"))
+    over = lambda s: (s["right"] > F.col("x0")) & (s["left"] < F.col("x1"))
+    text, digits = F.col("text"), F.col("digits")
+    spans = lambda first, last: F.filter(digits, lambda g: (g["pos"] >= first) & (g["pos"] <= last))
+    reaches = lambda g: (F.size(g) > 0) & (F.array_max(F.transform(g, lambda x: x["right"])) > F.col("x0")) & (F.array_min(F.transform(g, lambda x: x["left"])) < F.col("x1"))
+    flag = lambda c: c.cast("int")
+    longest = lambda runs: F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r["digits"]))), F.lit(0))
+    lined = detected.join(own, [*PAGE, "ord"]).join(rows, [*PAGE, "line_no"]).withColumns({"runs": F.filter(digit_spans(text, digits, 2), over), "plain": F.filter(digit_spans(text, digits, 0), over)})
+    org = lambda r: F.when(F.length(r["digits"]) == 9, r["digits"]).when((F.length(r["digits"]) == 11) & r["digits"].startswith("00"), F.substring(r["digits"], 3, 9))
+    of_line = lined.select(
+        *PAGE, "ord", "rec_min_linje", F.length(F.regexp_replace("text", "[^0-9]", "")).alias("n_siffer_linje"), longest(F.col("plain")).alias("siffer_run"),
+        flag(F.exists(numbers.find_numbers(text, mod11=False), lambda h: reaches(spans(h["start"] + 1, h["end"])))).alias("har_fnr_kandidat"), flag(F.exists(_decimals(text), lambda i: reaches(spans(i, i + 2)))).alias("har_desimal_naer"),
+        flag(F.exists("runs", lambda r: F.length(r["digits"]).between(10, 12) & r["digits"].startswith("00"))).alias("har_00_run"),
+        flag(F.exists("runs", lambda r: F.coalesce(org(r).rlike("^[89]") & numbers.valid_orgnr(org(r)), F.lit(False)))).alias("har_orgnr"), longest(F.col("runs")).alias("lang_run"),
+    )
+    middle, reach = (F.col("l.top") + F.col("l.bottom")) / 2, 1.5 * (F.col("d.y1") - F.col("d.y0"))
+    near = d.join(rows.where(numbers.has_org_word(text)).alias("l"), _same_page("d", "l") & middle.between(F.col("d.y0") - reach, F.col("d.y1") + reach)).select("d.doc", "d.page", "d.ord")
+    on_own = lined.where(numbers.has_org_word(text)).select(*PAGE, "ord")
+    org_word = near.union(on_own).distinct().withColumn("har_org_ord", F.lit(1))
+    all_ = box_text_features(tokens, detected).join(of_line, [*PAGE, "ord"], "left").join(org_word, [*PAGE, "ord"], "left")
+    return all_.na.fill(0, [*_ZERO, "har_org_ord"]).select(*PAGE, "ord", "har_tokens", "n_siffer", "n_bokstaver", *_ZERO[:2], *_ZERO[2:6], "har_org_ord", "lang_run", "rec_min", "rec_median", "rec_min_linje")
+
+
+# ----- the text around a box
+
+def context(tokens: DataFrame, boxes: DataFrame, n_lines: int = 0) -> DataFrame:
+    """doc, page, ord, boks_tekst, linje_tekst, blokk_tekst of boxes (doc, page, ord, x0..y1).
+
+    A token is on the box's line where it overlaps it vertically by more than 0.3 of the lower of both heights, and in the
+    box where it also overlaps horizontally. The block is the line of most vertical overlap with n_lines lines on both
+    sides; its lines are grouped by overlap (0.3 of the lower height), not by centres.
+    """
+    some = tokens.where(F.trim("text") != "")
+    t, b = some.alias("t"), boxes.alias("b")
+    overlap = F.least("b.y1", "t.y1") - F.greatest("b.y0", "t.y0")
+    lower = F.least(F.greatest(F.col("b.y1") - F.col("b.y0"), F.lit(1.0)), F.greatest(F.col("t.y1") - F.col("t.y0"), F.lit(1.0)))
+    inside = F.least("b.x1", "t.x1") > F.greatest("b.x0", "t.x0")
+    held = b.join(t, _same_page("b", "t") & (overlap > 0.3 * lower)).select("b.doc", "b.page", "b.ord", F.struct("t.x0", F.col("t.ord").alias("o"), "t.text").alias("s"), inside.alias("inside"))
+    said = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["text"]), " ")
+    near = held.groupBy(*PAGE, "ord").agg(said(F.when(F.col("inside"), F.col("s"))).alias("boks_tekst"), said(F.col("s")).alias("linje_tekst"))
+    out = boxes.select(*PAGE, "ord").join(near, [*PAGE, "ord"], "left").na.fill("", ["boks_tekst", "linje_tekst"])
+    if not n_lines:
+        return out.withColumn("blokk_tekst", F.lit(""))
+    rows = _overlap_lines(some)
+    l = rows.alias("l")
+    most = F.least("b.y1", "l.y1") - F.greatest("b.y0", "l.y0")
+    own = b.join(l, _same_page("b", "l")).groupBy("b.doc", "b.page", "b.ord").agg(F.max_by("l.at", F.struct(most, -F.col("l.at"))).alias("at"))
+    page = rows.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]).alias("texts"))
+    first = F.greatest(F.col("at") - n_lines, F.lit(0))
+    block = own.join(page, PAGE).select(*PAGE, "ord", F.array_join(F.slice("texts", first + 1, F.col("at") + n_lines + 1 - first), "\n").alias("blokk_tekst"))
+    return out.join(block, [*PAGE, "ord"], "left").na.fill("", ["blokk_tekst"])
+
+
+def _overlap_lines(tokens: DataFrame) -> DataFrame:
+    """doc, page, at, y0, y1, text: tokens from top to bottom join the earliest line they overlap by more than 0.3 of the lower height; at numbers the lines by their tops."""
+
+    def group(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+        found: list[list] = []
+        for y0, y1, x0, order, text in sorted(zip(page["y0"], page["y1"], page["x0"], page["ord"], page["text"]), key=lambda r: (r[0], r[3])):
+            home = next((f for f in found if min(f[1], y1) - max(f[0], y0) > 0.3 * max(min(f[1] - f[0], y1 - y0), 1.0)), None)
+            if home is None:
+                found.append([y0, y1, [(x0, order, text)]])
+            else:
+                home[0], home[1] = min(home[0], y0), max(home[1], y1)
+                home[2].append((x0, order, text))
+        found.sort(key=lambda f: f[0])
+        return pd.DataFrame([(*key, i, y0, y1, " ".join(t for _, _, t in sorted(some))) for i, (y0, y1, some) in enumerate(found)], columns=["doc", "page", "at", "y0", "y1", "text"])
+
+    kinds = dict(tokens.dtypes)
+    return tokens.groupBy(*PAGE).applyInPandas(group, f"doc {kinds['doc']}, page {kinds['page']}, at int, y0 double, y1 double, text string")
+
+
+def guard_lines(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
+    """doc, page, ord, linje: the text of the line of most vertical overlap with each box (the earliest on ties), blank without one."""
+    l, b = lines(tokens).alias("l"), boxes.alias("b")
+    overlap = F.least("b.y1", "l.bottom") - F.greatest("b.y0", "l.top")
+    best = b.join(l, _same_page("b", "l") & (overlap > 0)).groupBy("b.doc", "b.page", "b.ord").agg(F.max_by("l.text", F.struct(overlap, -F.col("l.line_no"))).alias("linje"))
+    return boxes.select(*PAGE, "ord").join(best, [*PAGE, "ord"], "left").na.fill("", ["linje"])
+
+
 def text_tokens(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Tokens of plain text laid out on a grid: one line per 60 px, 28 px a character, 50 px high; doc is the id, page is 1."""
-    lines = texts.select(F.col(id_column).alias("doc"), F.posexplode(F.split(F.col(text_column), "\n")).alias("line", "content"))
+    return placed_tokens(texts.select(F.col(id_column).alias("doc"), F.lit(1).alias("page"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("no"), F.col(text_column).alias("content")))
+
+
+def placed_tokens(texts: DataFrame) -> DataFrame:
+    """Tokens of texts (doc, page, x, y, no, content) on the same grid from (x, y) on; no orders the texts of a page."""
+    rows = texts.select("doc", "page", "x", "y", "no", F.posexplode(F.split("content", "\n")).alias("line", "content"))
     pieces = F.filter(F.transform(F.split("content", " "), lambda w, i: F.struct(w.alias("text"), i.alias("i"))), lambda s: s["text"] != "")
     start = lambda i: F.length(F.array_join(F.slice(F.split("content", " "), 1, i), " ")) + F.when(i > 0, 1).otherwise(0)
-    rows = lines.select("doc", "line", "content", F.explode(pieces).alias("p")).select("doc", "line", "p.text", "p.i", start(F.col("p.i")).alias("at"))
-    x0, y0 = (F.col("at") * 28).cast("double"), (F.col("line") * 60).cast("double")
-    return rows.select(
-        "doc", F.lit(1).alias("page"), (F.col("line") * 100000 + F.col("i")).cast("int").alias("ord"), "text", x0.alias("x0"), y0.alias("y0"),
-        (x0 + F.length("text") * 28).alias("x1"), (y0 + 50).alias("y1"), F.lit(0.99).alias("rec_score"),
-    )
+    rows = rows.select("doc", "page", "x", "y", "no", "line", "content", F.explode(pieces).alias("p")).select("doc", "page", "x", "y", "no", "line", "p.text", "p.i", start(F.col("p.i")).alias("at"))
+    x0, y0 = F.col("x") + F.col("at") * 28, F.col("y") + F.col("line") * 60
+    order = F.row_number().over(Window.partitionBy("doc", "page").orderBy("no", "line", "i")).cast("int") - 1
+    return rows.select("doc", "page", order.alias("ord"), "text", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + F.length("text") * 28).cast("double").alias("x1"), (y0 + 50).cast("double").alias("y1"), F.lit(0.99).alias("rec_score"))

@@ -29,13 +29,20 @@ def discarded(preds: DataFrame, meta: DataFrame) -> DataFrame:
         gone = gone | (gate & (F.col("kilde") == kilde) & rules.removed(rules.literal(config), F.col))
     for kilde, config in rules.ANY_CONFIDENCE.items():
         gone = gone | ((F.col("kilde") == kilde) & rules.removed(rules.literal(config), F.col))
-    return marked.withColumn("gone", gone | rules.removed(rules.literal(rules.BEHIND_GATE), F.col))
+    return marked.withColumn("gone", gone | shape_discards())
 
 
-def detector_only(boxes: DataFrame) -> DataFrame:
-    """The detector's boxes that pass its own floors without any text: tall ones and others by confidence."""
-    tall = (F.col("y1") - F.col("y0")) > 1.3 * (F.col("x1") - F.col("x0"))
-    return boxes.where(F.col("conf") >= 0.02).withColumn("kilde", F.when(tall, "yolo_vertikal").otherwise("yolo"))
+def shape_discards() -> Column:
+    """The shape limits behind the confidence gate; a paddle box never passes the gate, as its confidence is that of reading."""
+    ungated = {k: v for k, v in rules.BEHIND_GATE.items() if k != "conf_threshold"}
+    return F.when(F.col("kilde") == "paddle", rules.removed(rules.literal(ungated), F.col)).otherwise(rules.removed(rules.literal(rules.BEHIND_GATE), F.col))
+
+
+def detector_only(preds: DataFrame) -> DataFrame:
+    """The boxes of the detector alone (predictions columns) that its shape limits keep, as yolo: limits on any confidence, and those behind the gate."""
+    alone = preds.withColumn("conf", F.round("conf", 3))
+    kept = ~rules.removed(rules.literal(rules.ANY_CONFIDENCE["yolo"]), F.col) & ~rules.removed(rules.literal(rules.BEHIND_GATE), F.col)
+    return alone.where(F.col("conf").isNotNull() & kept).withColumn("kilde", F.lit("yolo"))
 
 
 def lost_truth(classified: DataFrame, edges: DataFrame, gone: Column) -> DataFrame:

@@ -70,9 +70,38 @@ def test_column_checks(spark):
 
 def test_strict_numbers(spark):
     n = made_number(random.Random(2))
-    rows = [(f"a {n} b",), (f"{n[:2]}.{n[2:4]}.{n[4:6]} {n[6:]}",), (f"9{n}",), (f"{n}1",), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(numbers.strict_numbers(F.col("t"))).collect()]
-    assert got == [[n], [n], [], [], None]
+    d = made_number(random.Random(2), d_number=True)
+
+    def shifted(by):
+        rng = random.Random(by)
+        while True:
+            x = [int(c) for c in f"{rng.randrange(1, 29):02}{rng.randrange(1, 13) + by:02}{rng.randrange(55, 61)}{rng.randrange(500, 750)}"]
+            for weights in ((3, 7, 6, 1, 8, 9, 4, 5, 2), (5, 4, 3, 2, 7, 6, 5, 4, 3, 2)):
+                x.append((11 - sum(w * v for w, v in zip(weights, x)) % 11) % 11)
+            if max(x) < 10:
+                return "".join(map(str, x))
+
+    rows = [(f"a {n} b",), (f"x\n  {n[:2]}.{n[2:4]}.{n[4:6]} {n[6:]}",), (f"9{n}",), (f"{n}1",), (None,), (f"{n} # fnr-ok\n{d}",), (shifted(40),), (shifted(80),), ("",)]
+    got = [None if r[0] is None else [tuple(h) for h in r[0]] for r in spark.createDataFrame(rows, "t string").select(numbers.strict_numbers(F.col("t"))).collect()]
+    assert got == [[(1, 3, "fnr")], [(2, 3, "fnr")], [], [], None, [(2, 1, "d-nummer")], [(1, 1, "h-nummer")], [(1, 1, "synthetic")], []]
+
+
+def test_company_words(spark):
+    said = {"Nord AS": True, "NORD BA": False, "SA DA": False, "Vest IKS": True, "BRL 4": True, "Sparebanken": True, "as": False}
+    rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", numbers.has_org_word(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in rows} == said
+
+
+def test_crop_with_marker(spark):
+    df = spark.createDataFrame([(1000.7, 500.2, 1200.0, 540.0), (-5.0, 0.0, 0.0, 9.0), (100.0, 100.0, 100.2, 100.2)], "x0 double, y0 double, x1 double, y1 double")
+    crop = lambda *margins, **k: [r["s"] for r in df.select(g.crop_with_marker(g.Box.of(), F.lit(2480), F.lit(3508), *margins, **k).alias("s")).collect()]
+    a, b, c = crop(300.0, 60.0, -1.0, 60.0)
+    assert (a["reason"], tuple(a["crop"]), a["factor"]) == (None, (700.0, 440.0, 2480.0, 600.0), 1.0)
+    # the crop is 1780 wide, so the stroke is round(4.45) = 4 and the pad 6
+    assert tuple(round(x, 3) for x in a["marker"]) == (294.7, 54.2, 506.0, 106.0) and b["reason"] == "outside" and b["crop"] is None and c["reason"] is None
+    a, _, _ = crop(300.0, 60.0, -1.0, 60.0, widest=768)
+    assert round(a["factor"], 6) == round(768 / 1780, 6) and round(a["marker"]["x0"], 3) == round(300.7 * 768 / 1780 - 5, 3)
+    assert crop(0.0, 0.0, 0.0, 0.0)[2]["reason"] == "empty"
 
 
 def test_poisson_bound():
@@ -80,19 +109,18 @@ def test_poisson_bound():
     assert all(scalar.poisson_upper(k + 1) > scalar.poisson_upper(k) for k in range(60)) and math.isfinite(scalar.poisson_upper(500))
 
 
-@pytest.mark.parametrize("raw, svar, feil", [
+ANSWERS = [
     (None, "ja", "empty answer"), ("  ", "ja", "empty answer"), ('{"svar": "Nei ", "tall": 5}', "nei", ""), ('```json\n{"svar": "ja"}\n```', "ja", ""), ('Svaret: {"svar": "nei"} takk', "nei", ""), ("Nei, det er ikke det", "nei", "not JSON, read by keyword"),
-    ("{}", "ja", "the svar field is missing"), ('{"svar": "kanskje"}', "ja", "unknown answer 'kanskje'"), ("<html>", "ja", "unparsable answer"), ("[1]", "ja", "unparsable answer"),
-])
-def test_answers(raw, svar, feil):
-    a = scalar.parse_answer(raw)
-    assert (a["svar"], a["feil"]) == (svar, feil)
+    ("{}", "ja", text.OMITTED), ('{"svar": "kanskje", "begrunnelse": "nei, ikke det"}', "ja", "unknown answer 'kanskje'"), ('{"svar": null}', "ja", "unknown answer 'none'"), ("<html>", "ja", "unparsable answer"), ("[1]", "ja", "unparsable answer"), ('{"svar": "nei', "nei", "not JSON, read by keyword"),
+]
 
 
-def test_answers_in_the_jvm(spark):
-    raw = [None, "", '{"svar": "nei"}', '```json\n{"svar": "ja"}\n```', 'Svar: {"svar": "nei"}', "Nei. ja.", "<html>"]
-    got = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, t string").select("i", text.parsed_answer(F.col("t")).alias("a")).collect()
-    assert all((r["a"]["svar"], r["a"]["feil"]) == tuple(scalar.parse_answer(raw[r["i"]])[k] for k in ("svar", "feil")) for r in got)
+def test_answers(spark):
+    got = {r["i"]: r["answer"] for r in text.with_answer(spark.createDataFrame([(i, a[0]) for i, a in enumerate(ANSWERS)], "i int, t string"), "t").collect()}
+    assert [(got[i]["svar"], got[i]["feil"]) for i in range(len(ANSWERS))] == [a[1:] for a in ANSWERS]
+    assert got[2]["tall"] == "5" and got[7]["begrunnelse"] == "nei, ikke det" and got[5]["begrunnelse"] == "Nei, det er ikke det"
+    long = text.with_answer(spark.createDataFrame([('{"svar": "ja", "linjen": "' + "a\\nb" * 200 + '", "holdepunkt": null}',)], "t string"), "t").first()["answer"]
+    assert len(long["linjen"]) == 300 and long["linjen"].startswith("a b") and long["holdepunkt"] == ""
 
 
 def test_keys(spark):

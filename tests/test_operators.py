@@ -22,32 +22,75 @@ def token(text, x, y, ord_=0, width=28, height=50, rec=0.99):
     return {"text": text, "x0": float(x), "y0": float(y), "x1": float(x + width * len(text)), "y1": float(y + height), "rec_score": rec, "ord": ord_}
 
 
-def test_one_token_and_two_tokens():
+TOKENS = "doc bigint, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, rec_score double"
+BOXES = "doc bigint, page int, ord int, x0 double, y0 double, x1 double, y1 double, conf double"
+
+
+def frame(spark, *pages):
+    """Tokens of pages 1, 2, ... of document 1."""
+    return spark.createDataFrame([(1, i, t["ord"], t["text"], t["x0"], t["y0"], t["x1"], t["y1"], t["rec_score"]) for i, page in enumerate(pages, 1) for t in page], TOKENS)
+
+
+def on_pages(df, *columns):
+    out = {}
+    for r in df.orderBy("page", "x0").collect():
+        out.setdefault(r["page"], []).append(r if not columns else tuple(r[c] for c in columns))
+    return out
+
+
+def test_redaction_boxes(spark):
     n = made_number(random.Random(5))
-    (box,) = layout.redaction_boxes([token(n, 100, 100)])
-    assert 100 + 28 * 5.5 <= box["x0"] <= 100 + 28 * 6 and box["x1"] >= 100 + 28 * 11 and box["kilde"] == "paddle"
-    (box,) = layout.redaction_boxes([token(n[:6], 100, 100), token(n[6:], 300, 100, 1)])
+    wrong = n[:-1] + str((int(n[-1]) + 1) % 10)
+    spelled = n.replace("0", "O", 1) if "0" in n else n
+    pages = [
+        [token(n, 100, 100)], [token(n[:6], 100, 100), token(n[6:], 300, 100, 1)], [token(n[:6], 100, 100), token(n[6:], 300, 300, 1)], [token(wrong, 100, 100)], [token("01019012345", 100, 100)],
+        [token(spelled[:1] + "." + spelled[1:], 100, 100)], [token(n[:6], 100, 100), token(n[6:8] + "." + n[8:], 300, 100, 1, rec=0.5)],
+    ]
+    got = on_pages(layout.redaction_boxes(layout.lines(frame(spark, *pages))))
+    assert set(got) == {1, 2, 6, 7} and all(r["mod11"] for rows in got.values() for r in rows)
+    (box,) = got[1]
+    assert 100 + 28 * 5.5 <= box["x0"] <= 100 + 28 * 6 and box["x1"] >= 100 + 28 * 11 and box["maks_luke"] == 0 and box["rec"] == 0.99
+    (box,) = got[2]
     assert 100 + 28 * 6 < box["x0"] < 300
-    assert layout.redaction_boxes([token(n[:6], 100, 100), token(n[6:], 300, 300, 1)]) == []
+    assert got[6][0]["har_desimal_luke"] == 1 and got[7][0]["har_desimal_luke"] == 1 and got[7][0]["rec"] == 0.5 and got[2][0]["har_desimal_luke"] == 0
+
 
+def test_a_misread_digit_before_a_mark_counts_as_a_digit(spark):
+    """O1.O1...: the mark stands after the second digit, where a date has it."""
+    rng = random.Random(1)
+    n = next(x for x in (made_number(rng) for _ in range(2000)) if x[0] == "0" and x[2] == "0")
+    got = on_pages(layout.redaction_boxes(layout.lines(frame(spark, [token(f"O{n[1]}.O{n[3:]}", 100, 100)]))), "har_desimal_luke")
+    assert got == {1: [(0.0,)]}
 
-def test_lines_grow_and_ties_keep_order():
-    lines = layout.group_lines([token("b", 50, 0, 1), token("a", 50, 0, 0), token("c", 90, 20, 2), token("d", 10, 90, 3)])
-    assert [[t["text"] for t in l] for l in lines] == [["a", "b", "c"], ["d"]]
-    assert layout.line_text(lines[0])[0] == "a b c"
+
+def test_lines_grow_and_ties_keep_order(spark):
+    rows = layout.lines(frame(spark, [token("b", 50, 0, 1), token("a", 50, 0, 0), token("c", 90, 20, 2), token("d", 10, 90, 3)])).orderBy("line_no").collect()
+    assert [r["text"] for r in rows] == ["a b c", "d"] and (rows[0]["top"], rows[0]["bottom"]) == (0.0, 70.0)
+    n = made_number(random.Random(5))
+    (r,) = layout.marked_lines(frame(spark, [token(" ", 0, 0), token(n, 10, 200, 1)])).collect()
+    assert r["text"] == n and [tuple(m) for m in r["marks"]] == [(n, True)]
 
 
-def test_merging():
+def test_merging(spark):
     n = made_number(random.Random(6))
-    tokens = [token(n, 100, 100), token("ord", 100, 400, 1)]
-    over = {"x0": 250.0, "y0": 100.0, "x1": 410.0, "y1": 150.0, "conf": 0.4321, "ord": 0}
-    boxes = layout.merged_boxes(tokens, [over])
-    assert [(b["kilde"], b["conf"]) for b in boxes] == [("begge", 0.432)]
-    word = {"x0": 100.0, "y0": 400.0, "x1": 184.0, "y1": 450.0, "conf": 0.9, "ord": 1}
-    empty = {"x0": 900.0, "y0": 900.0, "x1": 1000.0, "y1": 950.0, "conf": 0.3, "ord": 2}
-    tall = {"x0": 1500.0, "y0": 900.0, "x1": 1520.0, "y1": 950.0, "conf": 0.3, "ord": 3}
-    kinds = [b["kilde"] for b in layout.merged_boxes(tokens, [over, word, empty, {**empty, "ord": 4}, {**empty, "x0": 1200.0, "x1": 1300.0, "conf": 0.01, "ord": 5}, tall])]
-    assert kinds == ["begge", "yolo", "yolo_vertikal"]
+    tokens = frame(spark, [token(n, 100, 100), token("ord", 100, 400, 1)])
+    over, later = (250.0, 100.0, 410.0, 150.0, 0.4321), (250.0, 100.0, 420.0, 150.0, 0.2)
+    word, empty, tall = (100.0, 400.0, 184.0, 450.0, 0.9), (900.0, 900.0, 1000.0, 950.0, 0.3), (1500.0, 900.0, 1520.0, 950.0, 0.3)
+    boxes = lambda *bs: spark.createDataFrame([(1, 1, i, *b) for i, b in enumerate(bs)], BOXES)
+    assert on_pages(layout.merge_boxes(tokens, boxes(over)), "kilde", "conf") == {1: [("begge", 0.432)]}
+    assert on_pages(layout.merge_boxes(tokens, boxes(over, later)), "kilde", "conf") == {1: [("begge", 0.2)]}
+    # a duplicate of an earlier box, one below the floor, one whose text is no number, and one without text beside the first
+    kinds = on_pages(layout.merge_boxes(tokens, boxes(over, word, empty, empty, (1200.0, 900.0, 1300.0, 950.0, 0.01), tall, (960.0, 900.0, 1060.0, 950.0, 0.3))), "kilde")
+    assert kinds == {1: [("begge",), ("yolo",), ("yolo",), ("yolo_vertikal",)]}
+
+
+def test_context_and_guard_line(spark):
+    tokens = frame(spark, [token("over", 0, 0, 0), token("Kari", 0, 100, 1), token("12345", 300, 105, 2), token(" ", 600, 100, 3), token("under", 0, 200, 4), token("sist", 0, 300, 5)])
+    box = spark.createDataFrame([(1, 1, 0, 290.0, 100.0, 450.0, 150.0, 0.5), (1, 1, 1, 0.0, 900.0, 50.0, 950.0, 0.5), (2, 1, 0, 0.0, 0.0, 5.0, 5.0, 0.5)], BOXES)
+    got = {(r["doc"], r["ord"]): (r["boks_tekst"], r["linje_tekst"], r["blokk_tekst"]) for r in layout.context(tokens, box, 1).collect()}
+    assert got[1, 0] == ("12345", "Kari 12345", "over\nKari 12345\nunder") and got[1, 1] == ("", "", "under\nsist") and got[2, 0] == ("", "", "")
+    lines = {(r["doc"], r["ord"]): r["linje"] for r in layout.guard_lines(tokens, box).collect()}
+    assert lines == {(1, 0): "Kari 12345  ", (1, 1): "", (2, 0): ""} or lines[1, 0].startswith("Kari 12345")
 
 
 def test_layout_frames_and_empty_pages(spark):

@@ -5,38 +5,27 @@ from pyspark.sql import functions as F
 
 from kvern.operators import layout, review
 from tests.test_functions import made_number
-from tests.test_operators import token
+from tests.test_operators import BOXES, frame, token
 
 
-def test_box_features():
+def test_box_features(spark):
     n = made_number(random.Random(12))
-    tokens = [token(n, 100, 100), token("Fjell", 500, 100, 1, rec=0.8), token("borettslag", 100, 160, 2), token("12.5", 100, 400, 3), token("00987654321", 300, 400, 4)]
-    f = layout.line_features(tokens, (100.0, 100.0, 408.0, 150.0))
+    first = [token(n, 100, 100), token("Fjell", 500, 100, 1, rec=0.8), token("borettslag", 100, 160, 2), token("12.5", 100, 400, 3), token("00987654321", 300, 400, 4)]
+    tokens = frame(spark, first, [token("00987654321", 300, 400)], [token("1.2.3", 100, 100)])
+    boxes = [(1, 1, 0, 100.0, 100.0, 408.0, 150.0), (1, 1, 1, 100.0, 400.0, 212.0, 450.0), (1, 1, 2, 300.0, 400.0, 608.0, 450.0), (1, 2, 0, 300.0, 400.0, 608.0, 450.0), (1, 3, 0, 156.0, 100.0, 184.0, 150.0), (1, 3, 1, 212.0, 100.0, 240.0, 150.0), (9, 1, 0, 0.0, 0.0, 10.0, 10.0)]
+    got = {(r["doc"], r["page"], r["ord"]): r for r in layout.box_features(tokens, spark.createDataFrame([(*b, 0.5) for b in boxes], BOXES)).collect()}
+    assert len(got) == len(boxes)
+    f = got[1, 1, 0]
     assert (f["har_tokens"], f["n_siffer"], f["n_bokstaver"], f["siffer_run"], f["lang_run"], f["har_fnr_kandidat"], f["har_org_ord"]) == (1, 11, 0, 11, 11, 1, 1)
     assert f["rec_min"] == 0.99 and f["rec_min_linje"] == 0.8 and f["n_siffer_linje"] == 11
-    f = layout.line_features(tokens, (100.0, 400.0, 212.0, 450.0))
+    f = got[1, 1, 1]
     assert f["har_desimal_naer"] == 1 and f["har_fnr_kandidat"] == 1  # 5.0098... begins with the day of a D-number and a month
-    f = layout.line_features(tokens, (300.0, 400.0, 608.0, 450.0))
+    f = got[1, 1, 2]
     assert f["har_00_run"] == 0 and f["har_org_ord"] == 0  # the separator joins both tokens into one longer run
-    assert layout.line_features([token("00987654321", 300, 400)], (300.0, 400.0, 608.0, 450.0))["har_00_run"] == 1
-    empty = layout.line_features([], (0.0, 0.0, 10.0, 10.0))
-    assert empty["har_tokens"] == 0 and empty["rec_min"] is None and empty["lang_run"] == 0
-
-
-def test_box_counts_in_columns_equal_the_fold(spark):
-    rng = random.Random(13)
-    rows, det = [], []
-    for page in range(1, 6):
-        for i in range(30):
-            t = token("".join(rng.choice("0123ab ø") for _ in range(rng.randrange(1, 9))).strip() or "x", rng.randrange(0, 900), rng.randrange(0, 300), i, rec=round(rng.random(), 3))
-            rows.append((1, page, i, t["text"], t["x0"], t["y0"], t["x1"], t["y1"], t["rec_score"]))
-        det += [(1, page, i, float(x := rng.randrange(0, 800)), float(y := rng.randrange(0, 280)), x + 150.0, y + 60.0, 0.5) for i in range(6)]
-    tokens = spark.createDataFrame(rows, "doc bigint, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, rec_score double")
-    found = spark.createDataFrame(det, "doc bigint, page int, ord int, x0 double, y0 double, x1 double, y1 double, conf double")
-    names = ["doc", "page", "ord", "har_tokens", "n_siffer", "n_bokstaver", "rec_min"]
-    a = sorted(map(tuple, layout.box_features(tokens, found).select(names).collect()), key=lambda r: r[:3])
-    b = sorted(map(tuple, layout.box_text_features(tokens, found).select(names).collect()), key=lambda r: r[:3])
-    assert [tuple(None if x != x else x for x in r) for r in a] == b
+    assert got[1, 2, 0]["har_00_run"] == 1
+    assert (got[1, 3, 0]["har_desimal_naer"], got[1, 3, 1]["har_desimal_naer"]) == (1, 0)  # 2.3 overlaps 1.2, which is taken first
+    f = got[9, 1, 0]
+    assert f["har_tokens"] == 0 and f["rec_min"] is None and f["lang_run"] == 0
 
 
 def test_diff_additions(spark):
