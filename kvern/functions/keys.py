@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def doc_number(c: Column) -> Column:
     """Leading digits of the base name, without leading zeros; null where there are none."""
-    return F.regexp_extract(c, r"^(?s:.*[/\\])?\s*0*([0-9]+)(?s:[^/\\]*)$", 1).try_cast("bigint")
+    base = F.substring_index(F.substring_index(c, "/", -1), "\\", -1)
+    return F.regexp_extract(base, r"^\s*0*([0-9]+)", 1).try_cast("bigint")
 
 
 def number(c: Column) -> Column:

@@ -151,7 +151,11 @@ def candidate_boxes(lines_: DataFrame) -> DataFrame:
     held = F.filter("digits", lambda d: (d["pos"] > F.col("hit.start")) & (d["pos"] <= F.col("hit.end")))
     found = hits.select(*PAGE, F.col("hit.digits").alias("said"), held.alias("d"), F.slice(held, -COVERED_DIGITS, COVERED_DIGITS).alias("r"))
     edges = (("x0", F.array_min, "left"), ("y0", F.array_min, "top"), ("x1", F.array_max, "right"), ("y1", F.array_max, "bottom"))
-    sides = [f(F.transform(c, lambda x, k=k: x[k])).alias(p + n) for c, p in (("d", ""), ("r", "r")) for n, f, k in edges]
+
+    def edge(c: str, f, side: str) -> Column:
+        return f(F.transform(c, lambda x: x[side]))
+
+    sides = [edge(c, f, side).alias(p + n) for c, p in (("d", ""), ("r", "r")) for n, f, side in edges]
     return found.select(*PAGE, *sides, F.size("d").alias("n_digits"), numbers.valid_mod11(F.col("said")).alias("mod11"))
 
 

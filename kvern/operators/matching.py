@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvern.functions.geometry import CRITERIA, Box, area, intersection_area, pair_metrics, passes
-from kvern.functions.geometry import PX_PER_PT
 from kvern.operators.views import A4
 
 # Part of a truth box that must be covered, and how much larger than its truth a prediction may be.
@@ -15,25 +14,18 @@ THRESHOLD, OVERSIZE = 0.32, 3.0
 STRIPS = 24
 
 
-def truth_boxes(labels: DataFrame, preds: DataFrame, excluded=("REJECTED",)) -> DataFrame:
-    """Truth in scope: rows of label_rows on documents with predictions (of predictions or prediction_pages), less the excluded statuses, with n* relative to the page and `horizontal`.
+def truth_boxes(labels: DataFrame, pages: DataFrame, excluded=("REJECTED",)) -> DataFrame:
+    """Truth in scope: rows of label_rows on documents with predictions, less the excluded statuses, with n* relative to the page and `horizontal`.
 
-    A page without predictions takes the size of A4.
+    pages: doc_no, side, pw, ph of every page with predictions (views.page_sizes); another page takes the size of A4.
     """
-    pages = preds.groupBy("doc_no", "side").agg(F.min_by(F.struct("bilde_bredde", "bilde_hoyde"), "pred_id").alias("s")).select("doc_no", "side", (F.col("s.bilde_bredde") / PX_PER_PT).alias("pw"), (F.col("s.bilde_hoyde") / PX_PER_PT).alias("ph"))
     kept = labels.where(~F.col("status").isin(*excluded)) if excluded else labels
-    scoped = kept.join(preds.select("doc_no").distinct(), "doc_no", "left_semi").join(pages, ["doc_no", "side"], "left")
+    scoped = kept.join(pages.select("doc_no").distinct(), "doc_no", "left_semi").join(pages, ["doc_no", "side"], "left")
     norm = Box.of().scaled(F.coalesce("pw", F.lit(A4[0])), F.coalesce("ph", F.lit(A4[1])))
     cols = scoped.select("*", *[c.alias("n" + n) for n, c in zip(Box._fields, norm)], ((F.col("x1") - F.col("x0")) >= (F.col("y1") - F.col("y0"))).alias("horizontal"))
     return cols.withColumn("norm_area", area(Box.of("n"))).drop("pw", "ph")
 
 
-def scoped_predictions(preds: DataFrame, labels: DataFrame, excluded=("REJECTED",)) -> DataFrame:
-    """Predictions on labelled documents."""
-    kept = labels.where(~F.col("status").isin(*excluded)) if excluded else labels
-    return preds.join(kept.select("doc_no").distinct(), "doc_no", "left_semi")
-
-
 def _strips(df: DataFrame, name: str) -> DataFrame:
     low, high = (F.floor(c * STRIPS).cast("int") for c in (F.least("ny0", "ny1"), F.greatest("ny0", "ny1")))
     clip = lambda c: F.least(F.lit(STRIPS), F.greatest(F.lit(-1), c))

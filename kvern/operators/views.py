@@ -30,6 +30,12 @@ def prediction_pages(resultat: DataFrame) -> DataFrame:
     return read.where("pred_id is not null and doc_no is not null and side is not null and abs(x1 - x0) > 0 and abs(y1 - y0) > 0 and bilde_bredde > 0 and bilde_hoyde > 0").drop("x0", "y0", "x1", "y1")
 
 
+def page_sizes(resultat: DataFrame) -> DataFrame:
+    """doc_no, side, pw, ph (points) of every page with predictions, from its smallest pred_id: one aggregate, as repeats don't change it."""
+    p = prediction_pages(resultat).groupBy("doc_no", "side").agg(F.min_by(F.struct("bilde_bredde", "bilde_hoyde"), "pred_id").alias("s"))
+    return p.select("doc_no", "side", (F.col("s.bilde_bredde") / PX_PER_PT).alias("pw"), (F.col("s.bilde_hoyde") / PX_PER_PT).alias("ph"))
+
+
 def predictions(resultat: DataFrame) -> DataFrame:
     """One row per pred_id: keys, pixels, n* (relative to the page), sizes in points, kilde, conf, rec, the features.
 
@@ -55,9 +61,10 @@ def predictions(resultat: DataFrame) -> DataFrame:
 
 
 def latest_labels(labels: DataFrame) -> DataFrame:
-    """The row of each id with the highest version (null counts as 1), then the latest load."""
-    newest = Window.partitionBy("id").orderBy(F.coalesce("versjon", F.lit(1)).desc(), F.col("lastet").desc_nulls_last())
-    return labels.where("id is not null").withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
+    """The row of each id with the highest version (null counts as 1), then the latest load: an aggregate with map-side combine, not a sort of all rows."""
+    rest = [c for c in labels.columns if c != "id"]
+    newest = F.max_by(F.struct(*rest), F.struct(F.coalesce("versjon", F.lit(1)), F.col("lastet")))
+    return labels.where("id is not null").groupBy("id").agg(newest.alias("r")).select("id", "r.*")
 
 
 def label_rows(labels: DataFrame) -> DataFrame:

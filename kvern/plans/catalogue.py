@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvern.functions import geometry as g
-from kvern.functions import numbers, scalar, text
+from kvern.functions import numbers, text
 from kvern.functions.keys import doc_number
 from kvern.operators import labels as lab
 from kvern.operators import layout, matching, measure, review, rules, sampling, stats, views
@@ -54,15 +54,13 @@ class Base:
     def judged(self) -> DataFrame:
         return views.judged(self.table("manifest"), self.table("verdicts"))
 
-    def matched(self, stored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def matched(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(predictions in scope, truth in scope, overlapping pairs).
 
-        The truth is written once: it sets the scope (a document in scope has truth) and is matched. With `stored` so are
-        the predictions, for plans that read them several times.
+        The truth is written once: it sets the scope (a document in scope has truth) and is matched.
         """
-        truth = materialize(matching.truth_boxes(self.labels, views.prediction_pages(self.table("resultat"))))
+        truth = materialize(matching.truth_boxes(self.labels, views.page_sizes(self.table("resultat"))))
         inside = self.preds.join(truth.select("doc_no").distinct(), "doc_no", "left_semi")
-        inside = materialize(inside) if stored else inside
         return inside, truth, matching.overlapping_pairs(inside, truth)
 
     def classified(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -72,10 +70,10 @@ class Base:
         return matching.classify(inside, edges), edges, truth
 
     def stored(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """classified() from tables written once, for plans that read it several times."""
-        inside, truth, pairs = self.matched(stored=True)
+        """classified() written once, for plans that read it several times."""
+        inside, truth, pairs = self.matched()
         edges = materialize(matching.covers(pairs))
-        return matching.classify(inside, edges), edges, truth
+        return materialize(matching.classify(inside, edges)), edges, truth
 
     def best(self) -> tuple[DataFrame, DataFrame]:
         inside, truth, pairs = self.matched()
@@ -83,8 +81,7 @@ class Base:
 
     @property
     def pages(self) -> DataFrame:
-        p = views.prediction_pages(self.table("resultat")).groupBy("doc_no", "side").agg(F.min_by(F.struct("bilde_bredde", "bilde_hoyde"), "pred_id").alias("s"))
-        return p.select("doc_no", "side", (F.col("s.bilde_bredde") / g.PX_PER_PT).alias("pw"), (F.col("s.bilde_hoyde") / g.PX_PER_PT).alias("ph"))
+        return views.page_sizes(self.table("resultat"))
 
 
 QUERIES: dict = {}
@@ -203,6 +200,13 @@ def sweep_grid(b):
     return measure.full_sweep(*b.stored())[0]
 
 
+@query
+def sweep_single(b):
+    """The shared grids, and those of each source, without the combinations across sources."""
+    c, e, t = b.stored()
+    return measure.measure(c, e, t, measure.default_sweep(measure.sources(c))).select(*measure.SWEPT)
+
+
 @query
 def sweep_pareto(b):
     return measure.pareto(measure.full_sweep(*b.stored())[0]).select("config_id", "lost", "ov_rm", "net")
@@ -389,7 +393,8 @@ def band_join(b):
 
 @query
 def label_files(b):
-    return label_lines(b.labels, b.pages).select("doc_no", "side", F.size(F.split("content", "\n")).alias("n_lines"))
+    """doc_no, side, content: the label file of each page with labels and a known size."""
+    return label_lines(b.labels, b.pages)
 
 
 @query
@@ -404,9 +409,11 @@ def turned_boxes(b):
 
 @query
 def crop_plan(b):
-    """nr, reason and the crop around each manifest box."""
-    s = g.crop_with_marker(g.Box.of(), F.lit(2480.0), F.lit(3508.0), 300.0, 60.0, -1.0, 60.0)
-    return b.manifest.where("x0 is not null").select("nr", s.alias("s")).select("nr", "s.reason", F.round("s.crop.x0", 3).alias("cx0"), F.round("s.crop.y1", 3).alias("cy1"), F.round("s.factor", 6).alias("factor"))
+    """nr, reason, the crop around each manifest box, the marker in it and how much it is shrunk."""
+    s = g.crop_with_marker(g.Box.of(), F.lit(2480), F.lit(3508), 300.0, 60.0, -1.0, 60.0, widest=768)
+    rows = b.manifest.where("x0 is not null").select("nr", s.alias("s"))
+    corners = [F.round(f"s.{part}.{c}", 3).alias(p + c) for part, p in (("crop", "c"), ("marker", "m")) for c in g.Box._fields]
+    return rows.select("nr", "s.reason", *corners, F.round("s.factor", 6).alias("factor"))
 
 
 # ----- documents
@@ -510,15 +517,13 @@ def verdict_subset(b):
 @query
 def answer_parse(b):
     """verdict_id and what is read from the raw answer."""
-    a = b.table("verdicts").select("verdict_id", "raatekst").distinct().select("verdict_id", scalar.parse_answer_udf("raatekst").alias("a"))
-    return a.select("verdict_id", "a.*")
+    return text.with_answer(b.table("verdicts").select("verdict_id", "raatekst").distinct(), "raatekst").select("verdict_id", "answer.*")
 
 
 @query
 def answer_outcome(b):
-    """svar, feil, n of raw answers by the SQL-only parser."""
-    a = b.table("verdicts").select("verdict_id", text.parsed_answer(F.col("raatekst")).alias("a")).distinct()
-    return a.groupBy("a.svar", "a.feil").agg(F.count(F.lit(1)).alias("n"))
+    """svar, feil, n of the raw answers."""
+    return text.with_answer(b.table("verdicts").select("verdict_id", "raatekst").distinct(), "raatekst").groupBy("answer.svar", "answer.feil").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -565,9 +570,10 @@ def random_documents(b):
 
 @query
 def fnr_scan(b):
-    """nr, n, first of the numbers found in the OCR text, by the fold in the JVM."""
+    """nr, start, stop, digest of every number found in the OCR text, by the fold in the JVM."""
     t = b.table("manifest").select("nr", "ocr_tekst").distinct().where("ocr_tekst is not null")
-    return t.select("nr", numbers.find_numbers(F.col("ocr_tekst")).alias("h")).where(F.size("h") > 0).select("nr", F.size("h").alias("n"), F.col("h")[0]["start"].alias("start"), F.col("h")[0]["end"].alias("stop"), F.sha2(F.col("h")[0]["digits"], 256).alias("digest"))
+    hits = t.select("nr", F.explode(numbers.find_numbers(F.col("ocr_tekst"))).alias("h"))
+    return hits.select("nr", F.col("h.start").alias("start"), F.col("h.end").alias("stop"), F.sha2(F.col("h.digits"), 256).alias("digest"))
 
 
 @query
@@ -601,10 +607,10 @@ def fnr_guard(b):
 
 @query
 def secret_scan(b):
-    """place, rad_id, n, kinds of strictly written identity numbers in the whole texts."""
+    """place, rad_id, line, column, kind of every strictly written identity number in the whole texts."""
     texts = b.table("documents").select(F.lit("text").alias("place"), F.col("doc_id").alias("rad_id"), F.col("text").alias("x")).union(b.table("manifest").select(F.lit("ocr_tekst"), "nr", "ocr_tekst").distinct())
-    found = texts.where("x is not null").select("place", "rad_id", numbers.strict_numbers(F.col("x")).alias("f")).where(F.size("f") > 0)
-    return found.select("place", "rad_id", F.size("f").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform("f", lambda d: numbers.number_kind(d)))), ",").alias("kinds"))
+    found = texts.where(F.col("x").rlike(numbers.STRICT)).select("place", "rad_id", F.explode(numbers.strict_numbers(F.col("x"))).alias("f"))
+    return found.select("place", "rad_id", "f.line", "f.column", "f.kind")
 
 
 @query
@@ -620,9 +626,18 @@ def _tokens(b) -> DataFrame:
     return layout.text_tokens(t, "nr", "ocr_tekst")
 
 
-def _detected(b) -> DataFrame:
-    m = b.manifest.where("conf is not null")
-    return m.select(F.col("nr").alias("doc"), F.lit(1).alias("page"), F.lit(0).alias("ord"), ((F.col("nr") % 20) * 14).cast("double").alias("x0"), F.lit(0.0).alias("y0"), ((F.col("nr") % 20) * 14 + 300).cast("double").alias("x1"), F.lit(50.0).alias("y1"), "conf")
+def _page_tokens(b) -> DataFrame:
+    """The OCR texts of the manifest's pages, each laid out on a grid from the corner of its own box on."""
+    m = b.manifest.where("doc_no is not null and side is not null and x0 is not null and ocr_tekst is not null")
+    return layout.placed_tokens(m.select(F.col("doc_no").alias("doc"), F.col("side").alias("page"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("nr").alias("no"), F.col("ocr_tekst").alias("content")))
+
+
+def _page_boxes(b) -> DataFrame:
+    """The detector's boxes on those pages: all boxes of resultat with a confidence, in the order of their ids."""
+    pages = b.manifest.where("doc_no is not null and side is not null").select("doc_no", "side").distinct()
+    p = b.preds.where("conf is not null").join(pages, ["doc_no", "side"], "left_semi")
+    order = (F.row_number().over(Window.partitionBy("doc_no", "side").orderBy("pred_id")) - 1).cast("int")
+    return p.select(F.col("doc_no").alias("doc"), F.col("side").alias("page"), order.alias("ord"), *[c.alias(n) for n, c in zip(g.Box._fields, g.Box.of().sorted())], "conf")
 
 
 @query
@@ -632,18 +647,53 @@ def lines_from_tokens(b):
 
 @query
 def merge_boxes(b):
-    return layout.merge_boxes(_tokens(b), _detected(b))
+    return layout.merge_boxes(materialize(_page_tokens(b)), materialize(_page_boxes(b)))
 
 
 @query
 def box_features(b):
-    return layout.box_features(_tokens(b), _detected(b))
+    return layout.box_features(materialize(_page_tokens(b)), materialize(_page_boxes(b)))
 
 
 @query
 def box_counts(b):
-    """The counting features of detector boxes without leaving the JVM."""
-    return layout.box_text_features(_tokens(b), _detected(b))
+    """The counting features of detector boxes."""
+    return layout.box_text_features(_page_tokens(b), _page_boxes(b))
+
+
+@query
+def marked_lines(b):
+    m = layout.marked_lines(_tokens(b))
+    return m.select("doc", "page", "line_no", "text", F.size("marks").alias("n"), F.size(F.filter("marks", lambda x: x["mod11"])).alias("valid"))
+
+
+@query
+def redaction_boxes(b):
+    """The boxes over the numbers of the manifest's OCR texts, laid out on the grid."""
+    return layout.redaction_boxes(layout.lines(_tokens(b)))
+
+
+@query
+def candidate_boxes(b):
+    return layout.candidate_boxes(layout.lines(_tokens(b)))
+
+
+@query
+def ocr_context(b):
+    """The text in and around every manifest box from the tokens of its page."""
+    boxes = b.manifest.where("doc_no is not null and side is not null and x0 is not null").select(F.col("doc_no").alias("doc"), F.col("side").alias("page"), F.col("nr").alias("ord"), "x0", "y0", "x1", "y1")
+    return layout.context(materialize(_page_tokens(b)), boxes, 1).select(F.col("ord").alias("nr"), "boks_tekst", "linje_tekst", "blokk_tekst")
+
+
+@query
+def guard_lines(b):
+    boxes = b.manifest.where("doc_no is not null and side is not null and x0 is not null").select(F.col("doc_no").alias("doc"), F.col("side").alias("page"), F.col("nr").alias("ord"), "x0", "y0", "x1", "y1")
+    return layout.guard_lines(_page_tokens(b), boxes).select(F.col("ord").alias("nr"), "linje")
+
+
+@query
+def detector_only(b):
+    return review.detector_only(b.preds).select("pred_id", "kilde", "conf")
 
 
 # ----- incremental

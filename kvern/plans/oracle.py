@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
-from kvern.operators import measure, rules
-from kvern.operators.views import FEATURES
-
+from itertools import product
+
+# Everything below is written from the rules themselves and imports nothing of the code under test, so that a wrong constant there shows.
+
+# The features of a box, the shape parameters (measure, comparison that rejects), all parameters.
+FEATURES = (
+    "har_tokens", "n_siffer", "n_bokstaver", "rec_min", "rec_median", "rec_min_linje", "n_siffer_linje", "siffer_run", "har_fnr_kandidat", "har_desimal_naer", "har_00_run", "har_orgnr",
+    "har_org_ord", "lang_run", "maks_luke", "har_desimal_luke",
+)
+SHAPE = {
+    "min_elongation": ("elongation", "<"), "max_elongation": ("elongation", ">"), "max_height": ("h", ">"), "min_height": ("h", "<"), "max_width": ("w", ">"), "min_width": ("w", "<"), "min_short_side": ("short_side", "<"),
+    "max_short_side": ("short_side", ">"), "min_long_side": ("long_side", "<"), "max_long_side": ("long_side", ">"), "max_area": ("area", ">"),
+}
+PARAMETERS = (
+    *SHAPE, "min_area_px", "conf_threshold", "min_digits", "max_letters", "min_digits_run", "require_fnr_candidate", "reject_decimal", "rec_veto", "ocr_conf_exempt", "reject_00_run", "reject_orgnr", "reject_org_ord", "line_veto",
+    "reject_run_6_10", "without_text_conf", "max_gap", "reject_decimal_gap",
+)
+# What production removes, by name: source and parameters.
+_NOISE = {"min_area_px": 965, "min_short_side": 7.0, "min_long_side": 20.0, "max_elongation": 6.0}
+RULES = {
+    "decimal": ("yolo", {"reject_decimal": 1, "rec_veto": 0.98, "ocr_conf_exempt": 0.6}),
+    "decimal_low_tier": ("yolo", {"reject_decimal": 1, "rec_veto": 0.95, "ocr_conf_exempt": 0.4}),
+    "line_evidence": ("yolo", {"reject_run_6_10": 8, "reject_orgnr": 1, "line_veto": 0.99, "ocr_conf_exempt": 0.5}),
+    "window": ("paddle", {"max_gap": 6.5, "reject_decimal_gap": 1}),
+    "coordinates": ("yolo", {"require_fnr_candidate": 1, "reject_decimal": 1}),
+    "sectioning_yolo": ("yolo", {"max_short_side": 40.0, "max_long_side": 80.0, "min_digits": 6, "rec_veto": 0.98, "ocr_conf_exempt": 0.5}),
+    "sectioning_paddle": ("paddle", {"min_elongation": 3.0, "max_short_side": 40.0, "max_long_side": 80.0}),
+}
+ANY = {"yolo": _NOISE, "paddle": _NOISE, "yolo_vertikal": {"min_area_px": 965, "min_long_side": 30.0}, "begge": {"min_area_px": 965}}
+GATED = {"min_elongation": 1.44, "max_elongation": 9.0, "min_short_side": 6.0, "conf_threshold": 0.5}
 
 def doc(c: str) -> str:
     return f"try_cast(nullif(regexp_extract(trim(string_split(trim({c}), '/')[-1]), '^0*([0-9]+)', 1), '') as bigint)"
@@ -107,7 +134,7 @@ def removed(c: str, p: str) -> str:
     """The rule engine as a SQL condition; c and p are the aliases of config and box."""
     on = lambda a, f: f"coalesce({a}.{f}, 0) <> 0"
     z = lambda f: f"coalesce({p}.{f}, 0)"
-    shape = " or ".join(f"coalesce({p}.{m} {'<' if below else '>'} {c}.{name}, false)" for name, (m, below, _) in rules.SHAPE.items())
+    shape = " or ".join(f"coalesce({p}.{m} {sign} {c}.{name}, false)" for name, (m, sign) in SHAPE.items())
     return f"""(
     case when coalesce({c}.without_text_conf is not null and {p}.har_tokens = 0 and ({p}.conf is null or {p}.conf < {c}.without_text_conf), false) then true
          when {on(c, 'reject_decimal_gap')} and {on(p, 'har_desimal_luke')} then true
@@ -127,9 +154,9 @@ def removed(c: str, p: str) -> str:
 
 def config_rows(rows: list[tuple[str, str | None, dict]], name: str = "cfg") -> str:
     """A CTE of configs: config_id, kilde and the parameters."""
-    values = ",\n".join("(" + ", ".join([f"'{i}'", "null" if k is None else f"'{k}'", *(repr(float(c[p])) if c.get(p) is not None else "null" for p in rules.PARAMETERS)]) + ")" for i, k, c in rows)
-    cols = ", ".join(f"cast({p} as double) as {p}" for p in rules.PARAMETERS)
-    return f"{name} as (select config_id, cast(kilde as varchar) as kilde, {cols} from (values {values}) v(config_id, kilde, {', '.join(rules.PARAMETERS)}))"
+    values = ",\n".join("(" + ", ".join([f"'{i}'", "null" if k is None else f"'{k}'", *(repr(float(c[p])) if c.get(p) is not None else "null" for p in PARAMETERS)]) + ")" for i, k, c in rows)
+    cols = ", ".join(f"cast({p} as double) as {p}" for p in PARAMETERS)
+    return f"{name} as (select config_id, cast(kilde as varchar) as kilde, {cols} from (values {values}) v(config_id, kilde, {', '.join(PARAMETERS)}))"
 
 
 def measured(boxes: str = "cls", edges: str = "edge", truth: str = "truth") -> str:
@@ -164,16 +191,53 @@ def hits(boxes: str = "cls") -> str:
 
 
 def production_rows() -> list[tuple[str, str | None, dict]]:
-    return [(n, k, c) for n, (k, c) in rules.PRODUCTION.items()] + [("any " + k, k, c) for k, c in rules.ANY_CONFIDENCE.items()] + [("gated", None, rules.BEHIND_GATE)]
+    return [(n, k, c) for n, (k, c) in RULES.items()] + [("any " + k, k, c) for k, c in ANY.items()] + [("gated", None, GATED)]
 
 
 _PRODUCTION = config_rows(production_rows())
-_SWEEP = config_rows(measure.default_sweep())
+
+
+# The grids that are swept (family, source, axes).
+_GRIDS = (
+    ("geometry", None, {"min_elongation": (None, 1.1, 1.2, 1.3, 1.4, 1.5, 1.7, 2.0, 2.5, 3.0), "max_height": (None, 40, 50, 60, 80), "max_width": (None, 80, 100, 120, 150), "conf_threshold": (None, 0.5)}),
+    ("digits", None, {"min_digits": (None, 2, 3, 5, 8, 11), "min_digits_run": (None, 6, 7, 9, 11), "reject_decimal": (None, 1), "rec_veto": (None, 0.80, 0.90, 0.95, 0.98)}),
+    ("candidate", None, {"min_digits_run": (None, 6, 7, 9, 11), "require_fnr_candidate": (None, 1), "reject_decimal": (None, 1), "rec_veto": (None, 0.80, 0.90, 0.95, 0.98)}),
+    ("line", None, {"require_fnr_candidate": (None, 1), "reject_run_6_10": (None, 9, 10), "line_veto": (None, 0.99, 0.995, 0.999, 0.9999), "ocr_conf_exempt": (None, 0.5, 0.6)}),
+    ("orgnr", None, {"reject_00_run": (None, 1), "reject_orgnr": (None, 1), "reject_org_ord": (None, 1, 2), "rec_veto": (None, 0.90, 0.95, 0.98)}),
+    ("org line", None, {"reject_00_run": (None, 1), "reject_orgnr": (None, 1), "line_veto": (None, 0.99, 0.999), "ocr_conf_exempt": (None, 0.5)}),
+    ("few digits", None, {"min_digits": (None, 4, 5, 6), "rec_veto": (None, 0.95, 0.98), "line_veto": (None, 0.99), "ocr_conf_exempt": (None, 0.5, 0.6)}),
+    ("exempt", None, {"reject_decimal": (None, 1), "rec_veto": (None, 0.90, 0.95, 0.98), "ocr_conf_exempt": (None, 0.40, 0.45, 0.50, 0.60, 0.70)}),
+    ("window", "paddle", {"reject_decimal_gap": (None, 1), "max_gap": (None, 1.5, 2, 3, 4, 6, 8)}),
+    ("noise", None, {"min_short_side": (None, 4, 5, 6, 7), "min_long_side": (None, 15, 20, 25, 30), "max_elongation": (None, 6, 8, 10, 12, 15), "conf_threshold": (None, 0.5)}),
+)
+
+
+def _swept(names: tuple[str, ...] | None = None) -> list[tuple[str, str | None, dict]]:
+    """Each parameter set of the grids once per source, under the first family that has it."""
+    out: dict = {}
+    for family, kilde, axes in _GRIDS:
+        if names and family not in names:
+            continue
+        for values in product(*axes.values()):
+            on = {k: v for k, v in zip(axes, values) if v is not None}
+            out.setdefault((kilde, *sorted(on.items())), (family + "".join(f" {k}={v:g}" for k, v in on.items()), kilde, on))
+    return list(out.values())
+
+
+_PLAIN = ", ".join(PARAMETERS)
+#: The shared grids, and those of geometry and noise for each source of the data; a source without confidences has no gate.
+_SWEEP = f"""{config_rows(_swept(), 'shared')}, {config_rows(_swept(('geometry',)), 'own1')}, {config_rows(_swept(('noise',)), 'own2')},
+src as (select kilde, count(conf) > 0 as has_conf from cls group by 1),
+own as (select 'geometry [' || s.kilde || ']' || substring(config_id, 9) as config_id, s.kilde, {_PLAIN}, 1 as turn from own1 cross join src s where has_conf or conf_threshold is null
+        union all select 'noise [' || s.kilde || ']' || substring(config_id, 6), s.kilde, {_PLAIN}, 2 from own2 cross join src s where has_conf or conf_threshold is null),
+cfg as (select * exclude (turn) from (select *, 0 as turn from shared union all select * from own) qualify row_number() over (partition by kilde, {_PLAIN} order by turn) = 1)"""
 _SWEPT = f"with {MATCH}, {_SWEEP}, {hits()}, {measured()}"
 
 
 def _operating() -> str:
-    groups = measure.production_groups()
+    sources = ("begge", "paddle", "yolo", "yolo_vertikal")
+    groups = {name: [RULES[name]] for name in ("decimal", "decimal_low_tier", "line_evidence", "window")}
+    groups["dimensions"] = [(s, ANY[s]) for s in sources] + [(s, GATED) for s in sources]
     rows = [(g, k, c) for g, members in groups.items() for k, c in members]
     sets = ", ".join(f"('{name}', '{g}')" for name, members in [(n, [n]) for n in groups] + [("all", list(groups))] + [(f"without {n}", [x for x in groups if x != n]) for n in groups] for g in members)
     return f"""with {MATCH}, {config_rows(rows)},
@@ -265,7 +329,7 @@ from cls group by rollup (kilde) having count(*) > 0""",
 round(1 - ((select count(*) from scoped) - count(distinct case when hit then pred_id end)) / (select count(*) from scoped), 6) as precision from best""",
     "worst_files": f"with {MATCH} select doc_no, count(*) filter (not hit) as missed, count(*) as total from best group by doc_no having count(*) filter (not hit) > 0 order by missed desc, total desc, doc_no desc limit 15",
     "threshold_curve": f"""with {MATCH} select threshold, (select count(distinct label_id) from pairs where cov_area >= threshold) as covered, (select count(*) from scoped) - (select count(distinct pred_id) from pairs where cov_area >= threshold) as bom
-from (values (0.1::double), (0.2), (0.32), (0.5), (0.7), (0.9)) v(threshold)""",
+from (values (0.15::double), (0.25), (0.32), (0.4), (0.5), (0.7), (0.9)) v(threshold)""",
     "criterion_diff_truth": f"with {MATCH} select label_id in (select label_id from pairs where cov_area >= 0.32) as covered_a, label_id in (select label_id from pairs where iou >= 0.2) as covered_b, count(*) as n from truth group by all",
     "criterion_diff_class": f"""with {MATCH}, other as (
     select p.pred_id, case when n is null then 'BOM' when p.norm_area > 3.0 * covered then 'SLURV' else 'TREFF' end as klasse_b
@@ -273,8 +337,7 @@ from (values (0.1::double), (0.2), (0.32), (0.5), (0.7), (0.9)) v(threshold)""",
 select klasse as klasse_a, klasse_b, count(*) as n from cls join other using (pred_id) group by all""",
     "rule_verdicts": f"with {PRED}, {_PRODUCTION} select c.config_id, p.pred_id from pred p join cfg c on (c.kilde is null or c.kilde = p.kilde) where {removed('c', 'p')}",
     "measure_configs": f"with {MATCH}, {_PRODUCTION}, {hits()}, {measured()} select * from m",
-    "sweep_grid": f"{_SWEPT} select config_id, lost, ov_rm, n_rm, red_rm, critical_rm, net, recall_after, prec_after from m",
-    "sweep_pareto": f"{_SWEPT} select config_id, lost, ov_rm, net from m qualify ov_rm > coalesce(max(ov_rm) over (order by lost, ov_rm desc, config_id rows between unbounded preceding and 1 preceding), -1)",
+    "sweep_single": f"{_SWEPT} select config_id, lost, ov_rm, n_rm, red_rm, critical_rm, net, recall_after, prec_after from m",
     "operating_point": f"{_POINT} select config_id, lost, ov_rm, n_rm, net, case when n_rm = 0 then 'no effect' when lost = 0 then 'free' when ov_per_lost >= 5 then 'pays' else 'DOES NOT PAY' end as verdict from m",
     "leave_one_out": f"""{_POINT} select substring(r.config_id, 9) as rule, a.ov_rm - r.ov_rm as d_ov_rm, a.lost - r.lost as d_lost, round(case when a.lost > r.lost then (a.ov_rm - r.ov_rm) / (a.lost - r.lost) end, 6) as ratio
 from m r cross join (select * from m where config_id = 'all') a where r.config_id like 'without %'""",
@@ -284,7 +347,7 @@ from cls where klasse <> 'BOM' group by kilde having count(*) >= 100""",
     "shape_percentiles": f"with {MATCH} {_percentile_rows()}",
     "index_percentiles": f"""with {PRED}, s as (select kilde, list_sort(list(areal_px)) as v, count(*) as n from pred group by kilde)
 select kilde, n, {', '.join(f"v[cast(least(floor(n * {p} / 100), n - 1) as bigint) + 1] as a{p}, v[cast(floor((n - 1) * {p} / 100) as bigint) + 1] as b{p}" for p in (5, 25, 50, 75, 95))}, v[n // 2 + 1] as upper_median from s""",
-    "removal_kinds": f"""with {MATCH}, {config_rows([(n, k, c) for n, (k, c) in rules.PRODUCTION.items()])}, gone as (select distinct p.pred_id from cls p join cfg c on c.kilde = p.kilde where {removed('c', 'p')}),
+    "removal_kinds": f"""with {MATCH}, {config_rows([(n, k, c) for n, (k, c) in RULES.items()])}, gone as (select distinct p.pred_id from cls p join cfg c on c.kilde = p.kilde where {removed('c', 'p')}),
 lost as (select label_id from edge group by 1 having bool_and(pred_id in (select pred_id from gone)))
 select pred_id, doc_no, side, case when klasse = 'BOM' then 'surplus' when pred_id in (select pred_id from edge where label_id in (select label_id from lost)) then 'critical' else 'redundant' end as kind from cls where pred_id in (select pred_id from gone)""",
     "page_triage": f"""with {MATCH}, pages as (select doc_no, side, count(*) as n, min(case kilde when 'begge' then 0 when 'yolo' then 1 when 'paddle' then 2 else 9 end) as prio from cls where klasse = 'BOM' group by all)
@@ -319,12 +382,18 @@ from lab l left join size s on l.doc_no = s.doc_no and l.side = s.side group by
 select nr, min(label_id) as label_id from mm m join lab l on m.doc_no = l.doc_no and m.side = l.side
 where (case when least(l.x1, m.x1) > greatest(l.x0, m.x0) and least(l.y1, m.y1) > greatest(l.y0, m.y0) then (least(l.x1, m.x1) - greatest(l.x0, m.x0)) * (least(l.y1, m.y1) - greatest(l.y0, m.y0)) else 0 end) / ((l.x1 - l.x0) * (l.y1 - l.y0)) >= 0.1 group by nr having count(*) = 1""",
     "band_join": f"with {PRED}, {MANIFEST} select nr, pred_id from man m join pred p on m.doc_no = p.doc_no and m.side = p.side where abs(m.x0 - p.x0) <= 3 and abs(m.y0 - p.y0) <= 3 and abs(m.x1 - p.x1) <= 3 and abs(m.y1 - p.y1) <= 3",
-    "label_files": f"with {PRED}, {LABELS} select doc_no, side, cast(count(*) as int) as n_lines from lab where (doc_no, side) in (select (doc_no, side) from pred) group by all",
+    "label_files": f"""with {PRED}, {LABELS}, size as (select doc_no, side, arg_min(bilde_bredde, pred_id) / (300 / 72) as pw, arg_min(bilde_hoyde, pred_id) / (300 / 72) as ph from pred group by all),
+c as (select l.doc_no, l.side, l.y0, l.x0, {', '.join(f"least(1.0, greatest(0.0, l.{v} / {p})) as {n}" for v, p, n in (('x0', 'pw', 'a'), ('y0', 'ph', 'b'), ('x1', 'pw', 'c'), ('y1', 'ph', 'd')))} from lab l join size s on l.doc_no = s.doc_no and l.side = s.side),
+t as (select doc_no, side, y0, x0, printf('0 %.6f %.6f %.6f %.6f', (a + c) / 2, (b + d) / 2, c - a, d - b) as line from c) select doc_no, side, string_agg(line, chr(10) order by y0, x0, line) as content from t group by all""",
     "turned_boxes": f"""with {LABELS}, t as (select *, side % 4 as q from lab) select label_id,
 round(case q when 0 then x0 when 1 then 842.0 - y1 when 2 then 595.0 - x1 else y0 end, 4) as x0, round(case q when 0 then y0 when 1 then x0 when 2 then 842.0 - y1 else 595.0 - x1 end, 4) as y0,
 round(case q when 0 then x1 when 1 then 842.0 - y0 when 2 then 595.0 - x0 else y1 end, 4) as x1, round(case q when 0 then y1 when 1 then x1 when 2 then 842.0 - y0 else 595.0 - x0 end, 4) as y1, true as same from t""",
-    "crop_plan": f"""with {MANIFEST}, c as (select *, greatest(0.0, x0 - 300) as a, greatest(0.0, y0 - 60) as b, 2480.0::double as d, least(3508.0::double, y1 + 60) as e from man where x0 is not null)
-select nr, case when x1 <= 0 or y1 <= 0 or x0 >= 2480 or y0 >= 3508 then 'outside' when d <= a or e <= b then 'empty' end as reason, round(a, 3) as cx0, round(e, 3) as cy1, round(least(1.0, 768.0 / greatest(d - a, e - b)), 6) as factor from c""",
+    "crop_plan": f"""with {MANIFEST}, c as (select nr, x0, y0, x1, y1, greatest(0.0, trunc(x0 - 300)) as a, greatest(0.0, trunc(y0 - 60)) as b, 2480.0::double as d, least(3508.0::double, trunc(y1 + 60)) as e from man where x0 is not null),
+f as (select *, case when d - a > 768 then 768.0::double / (d - a) else 1.0::double end as f, case when d - a > 768 then 768.0::double else d - a end as w, case when d - a > 768 then greatest(1.0, trunc((e - b) * (768.0::double / (d - a)))) else e - b end as h from c),
+g as (select *, greatest(3, round_even(w / 400, 0)) + 2 as pad from f),
+m as (select *, greatest(0.0, (x0 - a) * f - pad) as p, greatest(0.0, (y0 - b) * f - pad) as q, least(w - 1, (x1 - a) * f + pad) as r, least(h - 1, (y1 - b) * f + pad) as s from g),
+o as (select *, case when x1 <= 0 or y1 <= 0 or x0 >= 2480 or y0 >= 3508 then 'outside' when d <= a or e <= b then 'empty' when r <= p or s <= q then 'marker' end as reason from m)
+select nr, reason, {', '.join(f"case when reason is null then round({e}, 3) end as {n}" for n, e in (('cx0', 'a'), ('cy0', 'b'), ('cx1', 'd'), ('cy1', 'e'), ('mx0', 'p'), ('my0', 'q'), ('mx1', 'r'), ('my1', 's')))}, case when reason is null then round(f, 6) end as factor from o""",
     "code_density": f"""with {MATCH}, {META},
 pp as (select doc_no, count(*) filter (klasse = 'TREFF') as hit, count(*) filter (klasse = 'BOM') as bom, count(*) filter (klasse = 'BOM' and kilde = 'begge') as bom_begge, count(*) filter (klasse = 'BOM' and kilde = 'yolo') as bom_yolo, count(*) filter (klasse = 'BOM' and kilde = 'paddle') as bom_paddle from cls group by 1),
 tt as (select doc_no, count(*) as truth, count(*) filter (n_coverers = 0) as lost from cover group by 1),
@@ -365,13 +434,13 @@ select doc_no, weight, case when filled < total * 0.8::double then 'train' when
     "capped_groups": f"""with {LABELS}, {META}, d as (select doc_no, count(distinct side) as weight from lab group by 1)
 select doc_no, coalesce(cast(decade as varchar), 'ukjent') as grp, weight from d join meta using (doc_no) qualify coalesce(sum(weight) over (partition by decade order by md5(concat_ws('|', doc_no, '42')) rows between unbounded preceding and 1 preceding), 0) < 25""",
     "random_documents": f"with {PRED} select doc_no from (select distinct doc_no from pred where kilde = 'yolo') order by md5(concat_ws('|', doc_no, '42')), doc_no limit 25",
-    "fnr_scan": f"""with {_TEXT}, {_SCAN} select c.nr, cast(len(picked) as int) as n, cast(g.st - 1 as int) as start, cast(g.en as int) as stop, sha256(g.d) as digest from chosen c join good g on g.nr = c.nr and g.i = c.picked[1]""",
+    "fnr_scan": f"""with {_TEXT}, {_SCAN} select c.nr, cast(g.st - 1 as int) as start, cast(g.en as int) as stop, sha256(g.d) as digest from (select nr, unnest(picked) as i from chosen) c join good g on g.nr = c.nr and g.i = c.i""",
     "orgnr_scan": f"""with {_TEXT}, r as (select nr, unnest(list_transform(regexp_extract_all(ocr_tekst, '[0-9](?:[ .,_-]{{0,2}}[0-9])*'), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))) as d from t)
 select nr, cast(count(*) as int) as n from r where length(d) = 9 and d[1] in ('8', '9') and case when length(d) = 9 then (11 - {_check('d', (3, 2, 7, 6, 5, 4, 3, 2))} % 11) % 11 = cast(substring(d, 9, 1) as int) else false end group by nr""",
     "digit_runs": f"""with {_TEXT}, r as (select nr, ocr_tekst, list_transform(regexp_extract_all(ocr_tekst, '[0-9](?:[ .,_-]{{0,2}}[0-9])*'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) as k, list_transform(regexp_extract_all(ocr_tekst, '[0-9]+'), lambda x: length(x)) as p from t)
 select nr, cast(len(k) as int) as n, cast(coalesce(list_max(k), 0) as int) as longest, cast(coalesce(list_max(p), 0) as int) as plain from r""",
     "decimal_flags": rf"""with {_TEXT} select nr, regexp_matches(ocr_tekst, '[0-9][.,][0-9]') as dec,
-regexp_matches(ocr_tekst, '\b(AS|ASA|ANS|BA|DA|KS|SA)\b|(?i:borettslag|boligbyggelag|sameie|stiftelse|forening|kommune|sparebank|bank|forsikring|org\.?\s*nr|organisasjonsn|foretak)') as org from t""",
+regexp_matches(ocr_tekst, '\b(AS|ASA|ANS|KS|NUF|IKS|BBL|BRL)\b|(?i:borettslag|boligbyggelag|sameie|stiftelse|forening|kommune|sparebank|bank|forsikring|org\.?\s*nr|organisasjonsn|foretak)') as org from t""",
     "fnr_guard": rf"""with {MANIFEST}, c as (select nr, unnest([coalesce(ocr_tekst, ''), coalesce(ocr_linje, '')]) as x from man)
 select nr, bool_or(regexp_matches(x, '(?i)(f\s*[øo]dsels\s*n|pers\s*[.\s]*n|p\s*\.\s*nr|f\s*\.\s*nr|fnr|personnummer)') and regexp_matches(x, '(^|[^0-9])[0-9]{{5}}([^0-9]|$)')) as protected from c group by nr""",
     "content_keys": "select doc_id, substring(sha256(text), 1, 24) as key from documents where text is not null",
@@ -385,10 +454,10 @@ select epoch_us(min(ts)) as session_start, epoch_us(max(ts) + interval '30 minut
     "events_first_seen": "select distinct event_id, event_type from events",
     "resume_documents": f"with {PRED}, {LABELS} select distinct doc_no from pred where doc_no not in (select doc_no from lab)",
     "confidence_sweep": f"""with {MATCH},
-top as (select e.label_id, max(coalesce(p.conf, 0.0)) as v from edge e join cls p using (pred_id) group by 1), bom as (select coalesce(conf, 0.0) as v from cls where klasse = 'BOM'),
+top as (select e.label_id, max(coalesce(p.conf, 1.0)) as v from edge e join cls p using (pred_id) group by 1), bom as (select coalesce(conf, 1.0) as v from cls where klasse = 'BOM'),
 cuts as (select distinct round(v, 4) as conf from (select v from top union all select v from bom) where round(v, 4) >= 0 union select 0.5),
 n as (select conf, row_number() over (order by conf) - 1 as r, count(*) over () as k from cuts),
-kept as (select conf from n where k <= 400 or conf = 0.5 or floor((r + 1) * 400 / k) > floor(r * 400 / k)),
+kept as (select conf from n where k <= 400 or conf = 0.5 or r in (select cast(floor(i * (k / 400.0::double)) as bigint) from generate_series(0, 399) g(i))),
 s as (select conf, (select count(*) from truth) - (select count(*) from top where v >= conf) as miss, (select count(*) from bom where v >= conf) as over from kept)
 select conf, miss, over, cast(5.0 * miss + over as double) as total from s""",
 }
@@ -397,15 +466,23 @@ ORACLE["rank_models"] = ORACLE["confidence_sweep"].rsplit("select conf, miss, ov
 p as (select conf, miss, over, cast(5.0 * miss + over as double) as total from s)
 select * from (select *, 'best' as cut from p order by total, miss, conf limit 1) union all select *, 'standard' from p where conf = 0.5"""
 
-ORACLE["best_recommendation"] = f"""with {MATCH}, {_HOLDOUT}, {_SWEEP},
-rest as (select * from (with {hits('rcls')}, {measured('rcls', 'redge', 'rtruth')} select config_id, net, lost, ov_rm from m)),
-heldm as (select * from (with {hits('hcls')}, {measured('hcls', 'hedge', 'htruth')} select config_id, net, lost, ov_rm from m)),
-front as (select config_id, net as net_rest from rest qualify ov_rm > coalesce(max(ov_rm) over (order by lost, ov_rm desc, config_id rows between unbounded preceding and 1 preceding), -1))
-select config_id, net_rest, net, lost, ov_rm from front join heldm using (config_id) order by net desc, net_rest desc, config_id limit 1"""
-
-_PROFILED = [(n, k, c) for n, (k, c) in rules.PRODUCTION.items()] + [("any " + k, k, c) for k, c in rules.ANY_CONFIDENCE.items()] + [("gated", None, rules.BEHIND_GATE)]
-_AXES = {"min_elongation": (1.2, 1.5, 2.0, 3.0), "max_height": (40, 60, 80), "max_width": (80, 120), "min_short_side": (5, 6, 7), "max_area": (400, 900), "min_digits": (3, 5, 8), "rec_veto": (0.9, 0.98), "max_gap": (2, 4, 6), "min_area_px": (700, 965, 1300), "without_text_conf": (0.1, 0.4)}
-_AXIS_ROWS = config_rows([(f"{n}={v:g}", None, {n: v}) for n, values in _AXES.items() for v in values])
+_UNGATED = {k: v for k, v in GATED.items() if k != "conf_threshold"}
+_PROFILED = [(n, k, c) for n, (k, c) in RULES.items()] + [("any " + k, k, c) for k, c in ANY.items()] + [(f"gated {k}", k, _UNGATED if k == "paddle" else GATED) for k in ("begge", "paddle", "yolo", "yolo_vertikal", "unknown")]
+_REC = (None, 0.80, 0.90, 0.95, 0.98)
+# The one-parameter sweeps (name, varied parameter, values, parameters beside it).
+_AXES = (
+    ("min_elongation", "min_elongation", (1.1, 1.5, 1.7, 2.0, 2.5, 3.0, 3.5, 4.0), {}), ("max_height", "max_height", (25, 30, 35, 40, 45, 50, 60, 80, 100), {}), ("max_width", "max_width", (60, 80, 100, 120, 150, 200, 250), {}),
+    ("conf_threshold", "conf_threshold", (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), {"min_elongation": 1.5, "max_height": 50, "max_width": 120}), ("min_area_px", "min_area_px", (500, 700, 965, 1200, 1600, 2200, 3000), {}),
+    ("min_short_side", "min_short_side", (3, 4, 5, 6, 7, 8, 10), {}), ("min_long_side", "min_long_side", (10, 15, 20, 25, 30, 40, 50), {}), ("max_elongation", "max_elongation", (6, 8, 10, 12, 15, 20, 30, 50), {}),
+    ("min_digits", "min_digits", (2, 3, 4, 5, 6, 8, 11), {}), ("max_letters", "max_letters", (0, 1, 2, 3), {}), ("min_digits_run", "min_digits_run", (6, 7, 8, 9, 10, 11), {}),
+    ("min_digits + rec_veto", "rec_veto", _REC, {"min_digits": 2}), ("require_fnr_candidate + rec_veto", "rec_veto", _REC, {"require_fnr_candidate": 1}), ("reject_decimal + rec_veto", "rec_veto", _REC, {"reject_decimal": 1}),
+    ("reject_decimal + ocr_conf_exempt", "ocr_conf_exempt", (None, 0.40, 0.45, 0.50, 0.60, 0.70), {"reject_decimal": 1, "rec_veto": 0.98}), ("reject_00_run + rec_veto", "rec_veto", _REC, {"reject_00_run": 1}),
+    ("reject_orgnr + rec_veto", "rec_veto", _REC, {"reject_orgnr": 1}), ("reject_org_ord 1 + rec_veto", "rec_veto", _REC, {"reject_org_ord": 1}), ("reject_org_ord 2 + rec_veto", "rec_veto", _REC, {"reject_org_ord": 2}),
+    ("require_fnr_candidate + line_veto", "line_veto", (None, 0.95, 0.98, 0.99, 0.995, 0.999, 0.9999), {"require_fnr_candidate": 1, "rec_veto": 0.98}), ("reject_run_6_10", "reject_run_6_10", (None, 8, 9, 10), {"rec_veto": 0.98, "line_veto": 0.99}),
+    ("reject_run_6_10 9 + line_veto", "line_veto", (None, 0.98, 0.99, 0.995, 0.999, 0.9999), {"reject_run_6_10": 9, "rec_veto": 0.98}), ("without_text_conf", "without_text_conf", (None, 0.45, 0.50, 0.60, 0.70, 0.80), {}),
+    ("max_gap", "max_gap", (1.5, 2, 3, 4, 6, 8, 12), {}), ("reject_decimal_gap", "reject_decimal_gap", (1,), {}), ("reject_decimal_gap + max_gap", "max_gap", (None, 1.5, 2, 3, 4, 6), {"reject_decimal_gap": 1}),
+)
+_AXIS_ROWS = config_rows([(f"{n}={'off' if v is None else f'{v:g}'}", None, beside | ({} if v is None else {varied: v})) for n, varied, values, beside in _AXES for v in values])
 _COORDINATES = "['SR_JOU', 'AH_JOU', 'KA_MOB', 'KA_GRE', 'TR_MAS', 'SR_SKN', 'JS_JSA', 'FR_REG', 'SR_UTS']"
 
 ORACLE |= {
@@ -414,7 +491,7 @@ pp as (select p.*, coalesce(list_has_any(codes, {_COORDINATES}), false) as co, c
 gone as (select distinct p.pred_id from pp p join cfg c on (c.kilde is null or c.kilde = p.kilde) and (c.config_id <> 'coordinates' or p.co) and (c.config_id not like 'sectioning%' or p.se) where {removed('c', 'p')})
 select kilde, count(*) as n, count(*) filter (pred_id in (select pred_id from gone)) as gone from pp group by kilde""",
     "one_parameter_sweeps": f"with {MATCH}, {_AXIS_ROWS}, {hits()}, {measured()} select config_id, lost, ov_rm, n_rm, net from m",
-    "lost_truth": f"""with {MATCH}, {config_rows([(k, k, c) for k, c in rules.ANY_CONFIDENCE.items()])}, gone as (select distinct p.pred_id from cls p join cfg c on c.kilde = p.kilde where {removed('c', 'p')}),
+    "lost_truth": f"""with {MATCH}, {config_rows([(k, k, c) for k, c in ANY.items()])}, gone as (select distinct p.pred_id from cls p join cfg c on c.kilde = p.kilde where {removed('c', 'p')}),
 lost as (select label_id from edge group by 1 having bool_and(pred_id in (select pred_id from gone))) select label_id, pred_id from edge where label_id in (select label_id from lost)""",
     "coverage_review": f"with {MATCH} select label_id, doc_no, side, case when cov <= 0 then 'uncovered' when cov < 0.32 then 'poorly covered' else 'ok' end as state from best",
     "error_documents": f"with {LABELS}, s as (select doc_no, string_agg(distinct case when status = '' then '(empty)' else status end, ',' order by case when status = '' then '(empty)' else status end) as states from lab group by 1) select * from s where states <> 'ACCEPTED'",

@@ -259,7 +259,7 @@ def test_empty_tables(spark):
         pytest.skip("needs the driver's tables")
     t = lambda n: spark.read.parquet(f"{small}/{n}.parquet").limit(0)
     preds, labels = views.predictions(t("resultat")), views.label_rows(t("labels"))
-    truth = matching.truth_boxes(labels, preds)
+    truth = matching.truth_boxes(labels, views.page_sizes(t("resultat")))
     pairs = matching.overlapping_pairs(preds, truth)
     edges = matching.covers(pairs)
     c = matching.classify(preds, edges)
