@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvern.functions.geometry import PX_PER_PT, Box, to_points
 from kvern.operators import rules
 
 # Document-type codes of the two profiles.
@@ -158,13 +159,13 @@ def per_source_spec(said: str) -> dict[str, dict[str, float]]:
 
 
 def diff_additions(lines: DataFrame) -> DataFrame:
-    """file, line, text of the added lines of a unified diff (pos, value): line numbers run from the hunk's start."""
-    w = Window.orderBy("pos")
+    """file, line, text of the added lines of unified diffs (diff, pos, value): line numbers run from the hunk's start; each diff is ordered by itself."""
+    w = Window.partitionBy("diff").orderBy("pos")
     file = F.when(F.col("value").startswith("+++ "), F.regexp_extract("value", r"^\+\+\+ (?:b/)?(.*)$", 1))
     start = F.when(F.col("value").startswith("@@"), F.regexp_extract("value", r"\+([0-9]+)", 1).try_cast("int"))
     hunks = lines.withColumn("file", F.last(file, ignorenulls=True).over(w)).withColumn("start", F.last(start, ignorenulls=True).over(w)).withColumn("hunk", F.sum(start.isNotNull().cast("int")).over(w))
     body = hunks.where(~F.col("value").rlike(r"^(\+\+\+ |--- |@@|diff |index )") & ~F.col("value").startswith("-") & F.col("start").isNotNull())
-    numbered_ = body.withColumn("line", F.col("start") + F.row_number().over(Window.partitionBy("hunk").orderBy("pos")) - 1)
+    numbered_ = body.withColumn("line", F.col("start") + F.row_number().over(Window.partitionBy("diff", "hunk").orderBy("pos")) - 1)
     return numbered_.where(F.col("value").startswith("+")).select("file", "line", F.substring("value", 2, 1_000_000).alias("text"))
 
 
@@ -201,3 +202,119 @@ def name_parts(c: Column) -> Column:
     from kvern.functions.keys import doc_number
 
     return F.struct(doc_number(c).alias("doc"), F.regexp_extract(c, r"_(?:side|p)([0-9]+)\.[A-Za-z]+$", 1).try_cast("int").alias("page"))
+
+
+# ----- further reports
+
+def label_row_texts(preds: DataFrame, origin: str = "top") -> DataFrame:
+    """pred_id and the label row of each prediction: document, page, x, y, width, height in points with two decimals, y from the given edge."""
+    b = to_points(Box.of())
+    y0 = b.y0 if origin == "top" else F.col("bilde_hoyde") / PX_PER_PT - b.y1
+    two = lambda c, n: F.format_string("%.2f", c).alias(n)
+    return preds.select("pred_id", F.col("doc_no").cast("string").alias("fil_revisjon_id"), F.col("side").cast("string").alias("sidetall"), two(b.x0, "x"), two(y0, "y"), two(b.width, "width"), two(b.height, "height"))
+
+
+def not_wide(preds: DataFrame, most_pt: float) -> DataFrame:
+    return preds.where(F.abs(F.col("x1") - F.col("x0")) / PX_PER_PT <= most_pt)
+
+
+def not_doubtful(preds: DataFrame, least: float) -> DataFrame:
+    """Without the detector's boxes below a confidence; a box without one stays."""
+    return preds.where(~((F.col("kilde") == "yolo") & F.coalesce(F.col("conf") < least, F.lit(False))))
+
+
+def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
+    """measure, before, after, change of two one-row evaluations (stats.eval_overall)."""
+    names = ("hit", "recall", "pred", "surplus", "overlap")
+    both = before.select(*[F.col(n).cast("double").alias("b_" + n) for n in names]).join(after.select(*[F.col(n).cast("double").alias("a_" + n) for n in names]))
+    rows = F.array(*[F.struct(F.lit(n).alias("measure"), F.col("b_" + n).alias("before"), F.col("a_" + n).alias("after"), F.round(F.col("a_" + n) - F.col("b_" + n), 6).alias("change")) for n in names])
+    return both.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def preflight(preds: DataFrame) -> DataFrame:
+    """One row: n, n_features, n_window, below (boxes production's shape limits would have dropped), raw (whether there are any: else the rules ran before)."""
+    short, long = F.col("short_side"), F.col("long_side")
+    below = ((F.col("kilde") == "yolo") & (short < 7.0)) | ((F.col("kilde") == "paddle") & ((short < 7.0) | (long < 20.0) | (F.col("elongation") > 6.0)))
+    r = preds.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("har_tokens", F.lit(0.0)) != 0).alias("n_features"), F.count("maks_luke").alias("n_window"), F.count_if(below).alias("below"))
+    return r.withColumn("raw", F.col("below") > 0)
+
+
+def labelled_pages(labels: DataFrame) -> DataFrame:
+    """doc_no, pages: the pages a document has labels on."""
+    return labels.groupBy("doc_no").agg(F.array_join(F.array_sort(F.collect_set("side")), ",").alias("pages"))
+
+
+def discarded_lookup(discarded: DataFrame, truth: DataFrame, lost: DataFrame) -> DataFrame:
+    """label_id, state of discarded truth rows, looked up by document, page and corner rounded to one decimal: outside the scope, coverage lost, still covered."""
+    key = lambda d: d.withColumns({"kx": F.round(F.col("x0") * 10, 0), "ky": F.round(F.col("y0") * 10, 0)})
+    held = key(truth).join(lost.select("label_id").distinct().withColumn("lost", F.lit(True)), "label_id", "left").groupBy("doc_no", "side", "kx", "ky").agg(F.max_by(F.coalesce("lost", F.lit(False)), "label_id").alias("lost"))
+    rows = key(discarded).join(held, ["doc_no", "side", "kx", "ky"], "left")
+    return rows.select("label_id", F.when(F.col("lost").isNull(), "outside").when(F.col("lost"), "coverage lost").otherwise("still covered").alias("state"))
+
+
+def drawn_pages(preds: DataFrame, truth: DataFrame) -> DataFrame:
+    """navn, side: pages with predictions, and pages with truth of the same documents under the first name of each."""
+    first = preds.groupBy("doc_no").agg(F.min("navn").alias("navn"))
+    return preds.select("navn", "side").union(truth.select("doc_no", "side").join(first, "doc_no").select("navn", "side")).distinct()
+
+
+def truth_lists(classified: DataFrame, edges: DataFrame) -> DataFrame:
+    """pred_id, label_ids (joined by ;), dekkere: what each covering prediction covers, and the fewest coverers of any of it."""
+    n = edges.groupBy("label_id").agg(F.count(F.lit(1)).alias("k"))
+    held = edges.join(n, "label_id").groupBy("pred_id").agg(F.array_join(F.array_sort(F.collect_list("label_id")), ";").alias("label_ids"), F.min("k").alias("dekkere"))
+    return classified.select("pred_id").join(held, "pred_id", "left").select("pred_id", F.coalesce("label_ids", F.lit("")).alias("label_ids"), F.coalesce("dekkere", F.lit(0)).alias("dekkere"))
+
+
+def page_severity(kinds: DataFrame, lost: DataFrame, n: int) -> DataFrame:
+    """doc_no, side, n_lost, critical, redundant, surplus of the n worst pages with removed boxes (stats.removal_kinds): most lost truth, critical, surplus first."""
+    tally = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    pages = kinds.groupBy("doc_no", "side").agg(tally("critical"), tally("redundant"), tally("surplus"))
+    gone = lost.groupBy("doc_no", "side").agg(F.count_distinct("label_id").alias("n_lost"))
+    rows = pages.join(gone, ["doc_no", "side"], "left").na.fill(0, ["n_lost"])
+    return rows.orderBy(F.desc("n_lost"), F.desc("critical"), F.desc("surplus"), "doc_no", "side").limit(n).select("doc_no", "side", "n_lost", "critical", "redundant", "surplus")
+
+
+def uncovered_order(matches: DataFrame, truth: DataFrame, threshold: float = 0.32) -> DataFrame:
+    """label_id, gruppe, nr: truth boxes that aren't well covered, below the threshold first, then by document, page, height; nr counts within the two groups' documents, so no task sorts all."""
+    rows = matches.where("cov < 0.999999").join(truth.select("label_id", "y0", "x0"), "label_id").select("label_id", "doc_no", "side", "y0", "x0", F.when(F.col("cov") < threshold, "udekket").otherwise("daarlig_dekket").alias("gruppe"))
+    per = rows.groupBy("gruppe", "doc_no").agg(F.count(F.lit(1)).alias("k")).withColumn("head", F.substring(F.lpad(F.col("doc_no").cast("string"), 20, "0"), 1, 17))
+    order = F.when(F.col("gruppe") == "udekket", 0).otherwise(1)
+    heads = per.groupBy("gruppe", "head").agg(F.sum("k").alias("k")).withColumn("o1", F.coalesce(F.sum("k").over(Window.orderBy(order, "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
+    inner = per.withColumn("o2", F.coalesce(F.sum("k").over(Window.partitionBy("gruppe", "head").orderBy("doc_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    offsets = inner.join(heads, ["gruppe", "head"]).select("gruppe", "doc_no", (F.col("o1") + F.col("o2")).alias("before"))
+    r = F.row_number().over(Window.partitionBy("gruppe", "doc_no").orderBy("side", "y0", "x0", "label_id"))
+    return rows.withColumn("r", r).join(offsets, ["gruppe", "doc_no"]).select("label_id", "gruppe", (F.col("before") + F.col("r")).alias("nr"))
+
+
+def sent_evaluation(matches: DataFrame, preds: DataFrame, sent: DataFrame) -> DataFrame:
+    """One row over the sent documents: truth, hit, surplus (predictions that are no truth's hit)."""
+    m, p = matches.join(sent, "doc_no", "left_semi"), preds.join(sent, "doc_no", "left_semi")
+    used = m.where("hit").select("pred_id").distinct()
+    return m.agg(F.count(F.lit(1)).alias("truth"), F.count_if("hit").alias("hit")).join(p.join(used, "pred_id", "left_anti").agg(F.count(F.lit(1)).alias("surplus")))
+
+
+def live_summary(preds: DataFrame) -> DataFrame:
+    """kilde (SUM for all), docs, boxes."""
+    rows = preds.rollup("kilde").agg(F.count_distinct("doc_no").alias("docs"), F.count(F.lit(1)).alias("boxes")).where("boxes > 0")
+    return rows.withColumn("kilde", F.coalesce("kilde", F.lit("SUM")))
+
+
+def profile_shares(counts: DataFrame, n: int) -> DataFrame:
+    """name, n, share of the n names with the largest sums over all workers (worker, name, n)."""
+    per = counts.groupBy("name").agg(F.sum("n").alias("n"))
+    return per.join(per.agg(F.sum("n").alias("all_n"))).where("all_n > 0").orderBy(F.desc("n"), "name").limit(n).select("name", "n", F.round(F.col("n") / F.col("all_n"), 6).alias("share"))
+
+
+def first_pages(docs: DataFrame, weight: str, budget: int) -> DataFrame:
+    """doc_no, weight: documents in order of their number while those before weigh less than a budget; at most `budget` documents of weight 1 or more qualify, so the window is bounded."""
+    some = docs.where(F.col(weight) > 0).orderBy("doc_no").limit(budget)
+    before = F.coalesce(F.sum(weight).over(Window.orderBy("doc_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return some.withColumn("before", before).where(F.col("before") < budget).select("doc_no", F.col(weight).alias("weight"))
+
+
+def hard_union(*lists: DataFrame) -> DataFrame:
+    """doc_no of any of the lists, once."""
+    out = lists[0].select("doc_no")
+    for other in lists[1:]:
+        out = out.union(other.select("doc_no"))
+    return out.distinct()

@@ -62,9 +62,12 @@ def quota_split(docs: DataFrame, weight: str, train: float, val: float, seed: in
 def capped_per_group(docs: DataFrame, group: str, weight: str, cap: int, seed: int = 42) -> DataFrame:
     """doc_no, group, weight: in hash order the documents of each group whose predecessors weigh less than cap together."""
     keyed = docs.select("doc_no", F.coalesce(F.col(group).cast("string"), F.lit("ukjent")).alias("grp"), F.col(weight).cast("bigint").alias("weight"))
-    key = F.md5(F.concat_ws("|", F.col("doc_no").cast("string"), F.lit(str(seed))))
-    before = F.coalesce(F.sum("weight").over(Window.partitionBy("grp").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keyed.withColumn("before", before).where(F.col("before") < cap).drop("before")
+    keyed = keyed.withColumn("key", F.md5(F.concat_ws("|", F.col("doc_no").cast("string"), F.lit(str(seed))))).withColumn("head", F.substring("key", 1, 3))
+    # sums within 4096 hash ranges and their offsets: no task sorts a group as a whole
+    sizes = keyed.groupBy("grp", "head").agg(F.sum("weight").alias("w"))
+    heads = sizes.withColumn("b", F.coalesce(F.sum("w").over(Window.partitionBy("grp").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("b") < cap).drop("w")
+    inner = F.coalesce(F.sum("weight").over(Window.partitionBy("grp", "head").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return keyed.join(heads, ["grp", "head"]).withColumn("before", F.col("b") + inner).where(F.col("before") < cap).select("doc_no", "grp", "weight")
 
 
 def random_documents(df: DataFrame, cond, n: int, seed: int = 42) -> DataFrame:

@@ -362,9 +362,9 @@ def largest_labels(b):
 
 @query
 def latest_version(b):
-    """Labels of the highest version of their document."""
-    top = Window.partitionBy("doc_no")
-    return b.labels.withColumn("m", F.max("versjon").over(top)).where("versjon = m").select("label_id", "doc_no", "versjon")
+    """Labels of the highest version of their document: an aggregate and a join, as a window would sort a hot document in one task."""
+    top = b.labels.groupBy("doc_no").agg(F.max("versjon").alias("m"))
+    return b.labels.join(top, "doc_no").where("versjon = m").select("label_id", "doc_no", "versjon")
 
 
 @query
@@ -846,3 +846,6 @@ def event_last_step(b):
 def listed_pages(b):
     """doc, page, n of the split lists' file names."""
     return b.table("splittliste").select(review.name_parts(F.col("fil")).alias("k")).groupBy("k.doc", "k.page").agg(F.count(F.lit(1)).alias("n"))
+
+
+from kvern.plans import further, further_sql  # noqa: E402,F401  (they add to QUERIES and ORACLE)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvern.functions.geometry import Box, centre_format
@@ -61,23 +64,31 @@ OCR_SCHEMA = "version int, ocr_model string, dpi int, pages array<struct<page:in
 DETECTOR_SCHEMA = "version int, imgsz int, dpi int, conf_floor double, pages array<struct<page:int,rotation:int,boxes:array<array<double>>>>"
 
 
-def _named(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("doc", doc_number(F.input_file_name()))
+def _named(spark: SparkSession, path: str, schema: str, per_line: bool) -> DataFrame:
+    """Cache documents, one a file named after the document, or one a line with the document's name in `name`."""
+    rows = spark.read.schema(schema + ", name string").option("multiLine", not per_line).json(path)
+    return rows.withColumn("doc", F.coalesce(doc_number(F.col("name")), doc_number(F.input_file_name())) if per_line else doc_number(F.input_file_name()))
+
+
+def ocr_pages(spark: SparkSession, path: str, version: int = 2, model: str = "v6", dpi: int = 300, per_line: bool = False) -> DataFrame:
+    """doc, page, rotation of the valid OCR caches."""
+    valid = _named(spark, path, OCR_SCHEMA, per_line).where((F.col("version") == version) & (F.col("ocr_model") == model) & (F.col("dpi") == dpi))
+    return valid.select("doc", F.explode("pages").alias("p")).select("doc", "p.page", "p.rotation")
 
 
-def ocr_cache(spark: SparkSession, path: str, version: int = 2, model: str = "v6", dpi: int = 300) -> DataFrame:
+def ocr_cache(spark: SparkSession, path: str, version: int = 2, model: str = "v6", dpi: int = 300, per_line: bool = False) -> DataFrame:
     """Tokens of the valid OCR caches: doc, page, rotation, ord, text, x0..y1, rec_score; a cache of another version, model or resolution is a miss."""
-    valid = _named(spark, path, OCR_SCHEMA).where((F.col("version") == version) & (F.col("ocr_model") == model) & (F.col("dpi") == dpi))
+    valid = _named(spark, path, OCR_SCHEMA, per_line).where((F.col("version") == version) & (F.col("ocr_model") == model) & (F.col("dpi") == dpi))
     pages = valid.select("doc", F.explode("pages").alias("p"))
     return pages.select("doc", "p.page", "p.rotation", F.posexplode("p.tokens").alias("ord", "t")).select("doc", "page", "rotation", "ord", "t.*")
 
 
-def detector_cache(spark: SparkSession, path: str, rotations: DataFrame, version: int = 1, imgsz: int = 1280, dpi: int = 300, conf: float = 0.01) -> DataFrame:
+def detector_cache(spark: SparkSession, path: str, rotations: DataFrame, version: int = 1, imgsz: int = 1280, dpi: int = 300, conf: float = 0.01, per_line: bool = False) -> DataFrame:
     """Boxes of the valid detector caches at or above conf: doc, page, ord, x0..y1, conf.
 
     A cache is valid with the right header, a floor at or below conf, and exactly the pages and rotations of `rotations` (doc, page, rotation).
     """
-    head = _named(spark, path, DETECTOR_SCHEMA).where((F.col("version") == version) & (F.col("imgsz") == imgsz) & (F.col("dpi") == dpi) & (F.col("conf_floor") <= conf))
+    head = _named(spark, path, DETECTOR_SCHEMA, per_line).where((F.col("version") == version) & (F.col("imgsz") == imgsz) & (F.col("dpi") == dpi) & (F.col("conf_floor") <= conf))
     wanted = rotations.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("page", "rotation"))).alias("wanted"))
     own = F.array_sort(F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["rotation"].alias("rotation"))))
     valid = head.join(wanted, "doc").where(own == F.col("wanted"))
@@ -93,12 +104,83 @@ def log_header(spark: SparkSession, path: str, prefixes: dict[str, str]) -> Data
     return lines.select("file", "block", "line", F.explode(found).alias("f")).where("f.v is not null").groupBy("file", "f.name").agg(F.min_by("f.v", F.struct("block", "line")).alias("value"))
 
 
+def missing_caches(docs: DataFrame, ocr: DataFrame, detected: DataFrame) -> DataFrame:
+    """doc of the documents without a valid OCR cache (doc of ocr_pages), or without a valid detector cache, which can't be judged without the first."""
+    return docs.select("doc").distinct().join(ocr.select("doc").distinct().join(detected.select("doc").distinct(), "doc", "left_semi"), "doc", "left_anti")
+
+
+def box_list(spark: SparkSession, path: str) -> DataFrame:
+    """doc_no, side, x0..y1 of a list of boxes in pixels; rows that can't be read are left out."""
+    raw = text_csv(spark, path)
+    rows = raw.select(doc_number(F.col("fil")).alias("doc_no"), F.col("side").try_cast("int").alias("side"), *[F.col(c).try_cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return rows.dropna()
+
+
+def sent_csv(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
+    """doc_no, side, x0..y1 (points, sorted) of label-like rows whose page exists in pages (doc_no, side)."""
+    from kvern.functions.keys import number, whole_number
+
+    raw = text_csv(spark, path)
+    x, y, w, h = (number(F.col(c)) for c in ("x", "y", "width", "height"))
+    b = Box(x, y, x + w, y + h).sorted()
+    rows = raw.select(doc_number(F.col("fil_revisjon_id")).alias("doc_no"), whole_number(F.col("sidetall")).alias("side"), *[c.alias(n) for n, c in zip(Box._fields, b)]).dropna()
+    return rows.join(pages.select("doc_no", "side").distinct(), ["doc_no", "side"], "left_semi")
+
+
+def selected_files(names: DataFrame, choice: list[str] | None = None, count: int | None = None, exact: bool = False) -> DataFrame:
+    """fil of the chosen files: by exact stem, by part of the name, the first `count`, or all; names: fil."""
+    base = F.substring_index("fil", "/", -1)
+    wanted = [c.strip() for c in choice or [] if c.strip()]
+    if wanted and exact:
+        stems = [re.sub(r"(?<=.)\\.[^.]*$", "", c) for c in wanted]
+        return names.where(F.regexp_replace(base, r"(?<=.)\\.[^.]*$", "").isin(stems)).select("fil").distinct()
+    if wanted:
+        hit = F.lit(False)
+        for c in wanted:
+            hit = hit | base.contains(c)
+        return names.where(hit).select("fil").distinct()
+    return names.select("fil").distinct().orderBy("fil").limit(count) if count else names.select("fil").distinct()
+
+
+def page_boxes_of_results(preds: DataFrame) -> DataFrame:
+    """navn, side, bilde_bredde, bilde_hoyde, boxes: a result table per page, boxes in order of position."""
+    box = F.struct("y0", "x0", "x1", "y1", "kilde", "yolo_conf", "paddle_rec_score")
+    return preds.groupBy("navn", "side").agg(F.min("bilde_bredde").alias("bilde_bredde"), F.min("bilde_hoyde").alias("bilde_hoyde"), F.array_sort(F.collect_list(box)).alias("boxes"))
+
+
+def png_size(c: Column) -> Column:
+    """struct(width, height) of a PNG's header; null for other bytes."""
+    part = lambda at: F.conv(F.hex(F.substring(c, at, 4)), 16, 10).cast("int")
+    return F.when(F.hex(F.substring(c, 1, 8)) == "89504E470D0A1A0A", F.struct(part(17).alias("width"), part(21).alias("height")))
+
+
+def pdf_state(c: Column) -> Column:
+    """pdf, protected or other of a fetched file's bytes."""
+    head, text = F.substring(c, 1, 4), F.decode(c, "ISO-8859-1")
+    return F.when(F.decode(head, "ISO-8859-1") != "%PDF", "other").when(text.contains("/Encrypt"), "protected").otherwise("pdf")
+
+
+def word_tokens(results: DataFrame) -> DataFrame:
+    """doc, page, ord, text, x0..y1, rec_score of OCR results (doc, page, lines: array of text, score, poly, words of text, score, box).
+
+    Words count where a line has them, with the line's score where they have none; else the line itself, by the extent of
+    its polygon.
+    """
+    lines = results.select("doc", "page", F.posexplode("lines").alias("i", "l"))
+    extent = lambda f, k: f(F.transform("l.poly", lambda p: p[k]))
+    line = F.array(F.struct(F.col("l.text").alias("text"), F.col("l.score").alias("score"), F.array(extent(F.array_min, 0), extent(F.array_min, 1), extent(F.array_max, 0), extent(F.array_max, 1)).alias("box")))
+    words = F.transform("l.words", lambda w: F.struct(w["text"].alias("text"), F.coalesce(w["score"], F.col("l.score")).alias("score"), w["box"].alias("box")))
+    items = lines.select("doc", "page", "i", F.posexplode(F.when(F.size("l.words") > 0, words).otherwise(line)).alias("j", "t")).where("trim(t.text) <> ''")
+    order = (F.row_number().over(Window.partitionBy("doc", "page").orderBy("i", "j")) - 1).cast("int")
+    return items.select("doc", "page", order.alias("ord"), "t.text", *[F.col("t.box")[k].cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))], F.col("t.score").alias("rec_score"))
+
+
 def sectioned_csv(spark: SparkSession, path: str) -> DataFrame:
-    """section, pos, key, value of '## Name' blocks of key,value lines; the file is one small report."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    order = Window.orderBy("pos")
-    named = lines.withColumn("section", F.last(F.when(F.col("line").startswith("## "), F.substring("line", 4, 1000)), ignorenulls=True).over(order))
-    return named.where(~F.col("line").startswith("##") & (F.trim("line") != "")).select("section", "pos", F.substring_index("line", ",", 1).alias("key"), F.expr("substring(line, locate(',', line) + 1)").alias("value"))
+    """file, section, pos, key, value of '## Name' blocks of key,value lines; each file is one small report and is read by itself."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    order = Window.partitionBy("file").orderBy("pos")
+    named = files.withColumn("section", F.last(F.when(F.col("line").startswith("## "), F.substring("line", 4, 1000)), ignorenulls=True).over(order))
+    return named.where(~F.col("line").startswith("##") & (F.trim("line") != "")).select("file", "section", "pos", F.substring_index("line", ",", 1).alias("key"), F.expr("substring(line, locate(',', line) + 1)").alias("value"))
 
 
 # ----- sinks
@@ -108,9 +190,10 @@ def write_result_csv(preds: DataFrame, path: str, mode: str = "append") -> None:
     preds.sortWithinPartitions("navn", "side").write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def write_label_files(labels: DataFrame, pages: DataFrame, path: str) -> None:
-    """A text of centre-format lines for each page, partitioned by document; pages: doc_no, side, pw, ph in points."""
-    label_lines(labels, pages).write.mode("overwrite").partitionBy("doc_no").json(path)
+def write_label_files(labels: DataFrame, pages: DataFrame, path: str, buckets: int = 64) -> None:
+    """The label lines of each page (doc_no, side, content), in a fixed number of folders by the hash of the document; pages: doc_no, side, pw, ph in points."""
+    bucket = F.pmod(F.xxhash64("doc_no"), F.lit(buckets)).cast("int")
+    label_lines(labels, pages).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def label_lines(labels: DataFrame, pages: DataFrame) -> DataFrame:
@@ -127,3 +210,40 @@ def write_code_lists(meta: DataFrame, path: str) -> None:
 def write_once(df: DataFrame, path: str) -> None:
     """Write where nothing is yet; an existing table stays."""
     df.write.mode("ignore").parquet(path)
+
+
+def write_text_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Any table as CSV with a header; null is blank, quotes are doubled."""
+    df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
+
+
+def write_run(details: DataFrame, summary: dict[str, dict[str, object]], path: str, log: str = "") -> None:
+    """A run folder: detaljer (CSV), sammendrag (sections of key,value lines, a handful of numbers), logg."""
+    spark = details.sparkSession
+    write_text_csv(details, f"{path}/detaljer")
+    lines = [line for name, rows in summary.items() for line in (f"## {name}", *(f"{k},{v}" for k, v in rows.items()))]
+    for name, content in (("sammendrag", "\n".join(lines)), ("logg", log)):
+        spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def write_manifest(manifest: DataFrame, sampling: dict, path: str) -> None:
+    """A manifest as CSV and, beside it, how it was drawn as JSON."""
+    write_text_csv(manifest, f"{path}/manifest")
+    manifest.sparkSession.createDataFrame([(json.dumps(sampling, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/utvalg")
+
+
+def write_judgements(rows: DataFrame, path: str, contentless: list[str]) -> None:
+    """full_info (all columns), uten_innhold (only the given columns), gjennomgang (the column linje as text)."""
+    write_text_csv(rows.drop("linje"), f"{path}/full_info")
+    write_text_csv(rows.select(*contentless), f"{path}/uten_innhold")
+    rows.select("linje").write.mode("overwrite").text(f"{path}/gjennomgang")
+
+
+def write_answers(answers: DataFrame, path: str, mode: str = "append") -> None:
+    """Raw answers, one JSON object a line."""
+    answers.write.mode(mode).json(path)
+
+
+def answer_cache(spark: SparkSession, path: str) -> DataFrame:
+    """key, version, raw of a cache of answers."""
+    return spark.read.schema("key string, version int, raw string").json(path)

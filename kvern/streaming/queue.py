@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvern.session import materialize
+
 QUEUE_SCHEMA = "dokumentIdent struct<dokumentaar:int,dokumentnummer:int,embetenummer:int>, erElektroniskTinglyst boolean, rettsstiftelsestyper array<string>, filRevisjonId string"
 ANSWER_SCHEMA = "pipeline_version string, pages array<struct<page:int,rotation:int>>, boxes array<struct<page:int,x:double,y:double,width:double,height:double,kilde:string,yolo_conf:double,paddle_rec_score:double>>"
 
@@ -42,20 +44,60 @@ def retryable(manifest: DataFrame, verdicts: DataFrame) -> DataFrame:
     return manifest.where("nr is not null").select("nr").distinct().join(good, "nr", "left_anti")
 
 
-def replace_documents(path: str) -> Callable[[DataFrame, int], None]:
+def replace_documents(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: each document's boxes replace what the sink holds for it, also when there are none.
 
-    A batch writes one folder per document, so that a repeated batch leaves the same content. Batch columns: doc_no, boxes
-    (an array, empty to clear).
+    The sink has a fixed number of folders by the hash of the document, whatever the number of documents; a batch rewrites
+    the folders of its documents, so that a repeated batch leaves the same content. Batch columns: doc_no, boxes (an
+    array, empty to clear; the last row of a document by its JSON text counts).
     """
+    bucket = F.pmod(F.xxhash64("doc_no"), F.lit(buckets)).cast("int").alias("bucket")
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.select("doc_no", F.to_json(F.struct("boxes")).alias("value"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_no").text(path)
+        spark = batch.sparkSession
+        rows = materialize(batch.groupBy("doc_no").agg(F.max(F.to_json(F.struct("boxes"))).alias("value")).select("doc_no", "value", bucket))
+        touched = rows.select("bucket").distinct()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            old = spark.read.schema("doc_no bigint, value string, bucket int").parquet(path).join(touched, "bucket", "left_semi")
+            rows = materialize(old.join(rows.select("doc_no"), "doc_no", "left_anti").select("doc_no", "value", "bucket").union(rows))
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return write
 
 
+def stored_boxes(spark, path: str) -> DataFrame:
+    """doc_no, value (JSON) of what replace_documents holds."""
+    return spark.read.schema("doc_no bigint, value string, bucket int").parquet(path).select("doc_no", "value")
+
+
+# Start and largest batch, successes before it grows, successes held back after an error.
+LARGEST, SMALLEST, FIRST_GROWTH, GROWTH, HELD_BACK = 12, 1, 1, 2, -4
+
+
+def batch_sizes(events: DataFrame, key: str = "worker", largest: int = LARGEST) -> DataFrame:
+    """key, order, size: the batch size before each event of a worker's log (key, order, ok).
+
+    A size halves on an error and from then on grows by one after GROWTH successes; before the first error it doubles after
+    each success up to the largest.
+    """
+    kind = dict(events.dtypes)
+
+    def run(k: tuple, log: pd.DataFrame) -> pd.DataFrame:
+        size, good, doubling, out = largest, 0, True, []
+        for ok in log.sort_values("order")["ok"]:
+            if size < largest and good >= (FIRST_GROWTH if doubling else GROWTH):
+                size, good = min(largest, size * 2 if doubling else size + 1), 0
+            out.append(size)
+            if ok:
+                good += 1
+            else:
+                size, doubling, good = max(SMALLEST, size // 2), False, HELD_BACK
+        return pd.DataFrame({key: k[0], "order": log.sort_values("order")["order"].to_numpy(), "size": out})
+
+    return events.select(key, "order", "ok").groupBy(key).applyInPandas(run, f"{key} {kind[key]}, order {kind['order']}, size int")
+
+
 def breaker_steps(state: tuple[int, float], events: list[tuple[float, bool]]) -> tuple[tuple[int, float], list[bool]]:
     """(new state, whether the breaker was open at each event); events are (seconds, success) in order; calls while it is open are not made."""
     failures, until = state
