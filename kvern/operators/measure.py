@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvern.operators.rules import ANY_CONFIDENCE, BEHIND_GATE, PRODUCTION, WORD, removed_rows, validated, with_masks
+from kvern.operators.stats import linear_percentiles
 from kvern.session import materialize
 
 #: Removed boxes without truth that one lost truth box is worth.
@@ -349,6 +350,10 @@ def restricted(classified: DataFrame, edges: DataFrame, truth: DataFrame, docs:
 def derived_limits(classified: DataFrame, pct: float = 1.0, least: int = 100) -> DataFrame:
     """kilde, n and the shape limits that the boxes with truth have had: percentiles pct and 100 - pct per source with enough of them."""
     some = classified.where("klasse <> 'BOM'")
+    measures = ("elongation", "short_side", "long_side", "areal_px")
+    long = some.select("kilde", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures])).alias("m")).select("kilde", "m.*")
     low, high = pct / 100, 1 - pct / 100
-    cuts = [F.round(F.percentile(m, F.lit(q)), 2).alias(f"{side}_{m}") for m in ("elongation", "short_side", "long_side") for side, q in (("min", low), ("max", high))]
-    return some.groupBy("kilde").agg(F.count(F.lit(1)).alias("n"), *cuts, F.round(F.percentile("areal_px", F.lit(low)), 0).alias("min_area_px")).where(F.col("n") >= least)
+    found = linear_percentiles(long, ["kilde", "measure"], (low, high)).where(F.col("n") >= least)
+    one = lambda m, q, digits: F.round(F.max(F.when((F.col("measure") == m) & (F.col("q") == q), F.col("value"))), digits)
+    cuts = [one(m, q, 2).alias(f"{side}_{m}") for m in measures[:3] for side, q in (("min", low), ("max", high))]
+    return found.groupBy("kilde", "n").agg(*cuts, one("areal_px", low, 0).alias("min_area_px"))

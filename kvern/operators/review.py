@@ -86,15 +86,16 @@ def page_orientation(pages: DataFrame) -> DataFrame:
 
 
 def numbered(classified: DataFrame) -> DataFrame:
-    """pred_id, nr: numbers from 1 in order of name, page, y, x, source, id; offsets per document, so that no task sorts all rows."""
-    per = classified.groupBy("navn").agg(F.count(F.lit(1)).alias("k"))
-    head = F.substring("navn", 1, 3)
-    heads = per.groupBy(head.alias("head")).agg(F.sum("k").alias("k"))
+    """pred_id, nr: numbers from 1 in order of name, page, y, x, source, id; ranks run within pages and get the offsets of names and pages, so no task sorts a document or all rows."""
+    pages = classified.groupBy("navn", "side").agg(F.count(F.lit(1)).alias("k"))
+    inner = pages.withColumn("o3", F.coalesce(F.sum("k").over(Window.partitionBy("navn").orderBy("side").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    per = pages.groupBy("navn").agg(F.sum("k").alias("k")).withColumn("head", F.substring("navn", 1, 3))
+    heads = per.groupBy("head").agg(F.sum("k").alias("k"))
     first = heads.withColumn("o1", F.coalesce(F.sum("k").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
-    inner = per.withColumn("head", head).withColumn("o2", F.coalesce(F.sum("k").over(Window.partitionBy("head").orderBy("navn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets = inner.join(first, "head").select("navn", (F.col("o1") + F.col("o2")).alias("before"))
-    r = F.row_number().over(Window.partitionBy("navn").orderBy("side", "y0", "x0", "kilde", "pred_id"))
-    return classified.withColumn("r", r).join(offsets, "navn").select("pred_id", (F.col("before") + F.col("r")).alias("nr"))
+    names = per.withColumn("o2", F.coalesce(F.sum("k").over(Window.partitionBy("head").orderBy("navn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    offsets = inner.join(names.join(first, "head").select("navn", (F.col("o1") + F.col("o2")).alias("o")), "navn").select("navn", "side", (F.col("o") + F.col("o3")).alias("before"))
+    r = F.row_number().over(Window.partitionBy("navn", "side").orderBy("y0", "x0", "kilde", "pred_id"))
+    return classified.withColumn("r", r).join(offsets, ["navn", "side"]).select("pred_id", (F.col("before") + F.col("r")).alias("nr"))
 
 
 def chosen_documents(meta: DataFrame, first_year: int, last_year: int, code_pattern: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvern.session import materialize
+
 
 def share(a, b, digits: int = 6):
     return F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), digits)
@@ -108,26 +110,52 @@ def largest_labels(labels: DataFrame, n: int = 15) -> DataFrame:
     return labels.select("label_id", "doc_no", "side", a.alias("area")).orderBy(F.desc("area"), "label_id").limit(n)
 
 
+def ordered_values(values: DataFrame, groups: list[str], indices) -> DataFrame:
+    """groups, k, n, value: the value at each 0-based index (a Column of n for each k in indices) of each group's sorted values.
+
+    Equal values are counted, the counts range-sorted over all groups, and ranks found from sums per range, so no task
+    holds a group's values and only the ranges that hold an index are sorted. values: groups and `value`, nulls left out.
+    """
+    counts = values.where("value is not null").groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("c"))
+    ranged = materialize(counts.repartitionByRange(*groups, "value").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy(*groups, "part").agg(F.sum("c").alias("c"))
+    inside = Window.partitionBy(*groups).orderBy("part")
+    places = parts.withColumn("upto", F.sum("c").over(inside)).withColumn("n", F.sum("c").over(Window.partitionBy(*groups)))
+    wanted = places.select(*groups, "part", "n", "upto", (F.col("upto") - F.col("c")).alias("before"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.least(F.greatest(i(F.col("n")).cast("bigint"), F.lit(0)), F.col("n") - 1).alias("at")) for k, i in indices.items()])).alias("w"))
+    wanted = wanted.select(*groups, "part", "n", "before", "upto", "w.*").where("at >= before and at < upto")
+    # only the ranges that hold a wanted index are read again
+    held = ranged.join(wanted.select(*groups, "part", "before").distinct(), [*groups, "part"])
+    run = held.withColumn("last", F.col("before") + F.sum("c").over(Window.partitionBy(*groups, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.col("last") - F.col("c"))
+    on = [*groups, "part"]
+    found = wanted.select(*on, "k", "n", "at").join(run.select(*on, "value", "first", "last"), on).where("at >= first and at < last")
+    return found.select(*groups, "k", "n", "value")
+
+
+def linear_percentiles(values: DataFrame, groups: list[str], points) -> DataFrame:
+    """groups, n, q, value: percentiles with linear interpolation between the two neighbouring values, exact."""
+    low = {f"l{i}": (lambda n, q=q: F.floor((n - 1) * q)) for i, q in enumerate(points)}
+    high = {f"h{i}": (lambda n, q=q: F.ceil((n - 1) * q)) for i, q in enumerate(points)}
+    at = ordered_values(values, groups, low | high)
+    rows = at.groupBy(*groups, "n").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("v"))
+    flat = F.array(*[F.struct(F.lit(q).alias("q"), F.col("v")[f"l{i}"].alias("a"), F.col("v")[f"h{i}"].alias("b"), ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)).alias("part")) for i, q in enumerate(points)])
+    out = rows.select(*groups, "n", F.explode(flat).alias("r")).select(*groups, "n", "r.*")
+    return out.select(*groups, "n", "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+
+
 def shape_percentiles(classified: DataFrame, least: int = 20, points=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """kilde, klasse, n, measure, q, value: linear percentiles of groups with enough boxes."""
     measures = ("elongation", "short_side", "long_side", "area")
-    rows = classified.groupBy("kilde", "klasse").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(m, F.array(*map(F.lit, points))).alias(m) for m in measures]).where(F.col("n") >= least)
-    flat = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(q).alias("q"), F.round(F.col(m)[i], 6).alias("value")) for m in measures for i, q in enumerate(points)])
-    return rows.select("kilde", "klasse", "n", F.explode(flat).alias("r")).select("kilde", "klasse", "n", "r.*")
+    long = classified.select("kilde", "klasse", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures])).alias("m")).select("kilde", "klasse", "m.*")
+    rows = linear_percentiles(long, ["kilde", "klasse", "measure"], points)
+    return rows.where(F.col("n") >= least).select("kilde", "klasse", "n", "measure", "q", F.round("value", 6).alias("value"))
 
 
 def index_percentiles(df: DataFrame, group: str, value: str, points=(5, 25, 50, 75, 95)) -> DataFrame:
-    """group, n, and by three index rules (0-based): int(n p / 100) capped, int(p (n - 1) / 100), and n // 2.
-
-    The ranks are looked up in running counts of equal values, so no group's values are collected.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    n = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("upto", F.sum("c").over(upto)).join(n, group)
-    at = lambda index: F.min(F.when(F.col("upto") > index, F.col("v")))
-    capped = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return ranked.groupBy(group, "n").agg(*[at(capped(p)).alias(f"a{p}") for p in points], *[at(F.floor((F.col("n") - 1) * p / 100)).alias(f"b{p}") for p in points], at(F.floor(F.col("n") / 2)).alias("upper_median"))
+    """group, n, and by three index rules (0-based): int(n p / 100) capped, int(p (n - 1) / 100), and n // 2."""
+    rules = {f"a{p}": (lambda n, p=p: F.least(F.floor(n * p / 100), n - 1)) for p in points} | {f"b{p}": (lambda n, p=p: F.floor((n - 1) * p / 100)) for p in points} | {"upper_median": lambda n: F.floor(n / 2)}
+    at = ordered_values(df.select(group, F.col(value).alias("value")), [group], rules)
+    rows = at.groupBy(group, "n").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("v"))
+    return rows.select(group, "n", *[F.col("v")[k].alias(k) for k in rules])
 
 
 # ----- documents

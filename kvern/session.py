@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -44,8 +46,29 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once: as an archive in the shared folder, which Spark hands on."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kvern_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("kvern", os.path.relpath(full, root)))
+    path = f"{shared_dir(spark)}/kvern-{os.getpid()}-{uuid.uuid4().hex}.zip"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    sc._kvern_shipped = True
+
+
 _open: list[list[tuple[SparkSession, str]]] = []
-_paths: dict[int, str] = {}
 
 
 def scratch_path(spark: SparkSession) -> str:
