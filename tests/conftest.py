@@ -4,8 +4,8 @@ from kvern.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session(4, shuffle_partitions=4, memory="4g")
+def spark(tmp_path_factory):
+    s = local_session(4, shuffle_partitions=4, memory="4g", scratch=f"file://{tmp_path_factory.mktemp('shared')}")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

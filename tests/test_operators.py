@@ -156,7 +156,7 @@ def test_replace_on_write_and_resume(spark, tmp_path):
     sink(spark.createDataFrame([(1, [(1, 2.0)]), (2, [(1, 3.0)])], box), 0)
     sink(spark.createDataFrame([(2, [])], box), 1)
     sink(spark.createDataFrame([(2, [])], box), 1)
-    held = {int(r["doc_no"]): json.loads(r["value"])["boxes"] for r in spark.read.text(str(tmp_path / "sink")).collect()}
+    held = {r["doc_no"]: json.loads(r["value"])["boxes"] for r in queue.stored_boxes(spark, str(tmp_path / "sink")).collect()}
     assert held == {1: [{"page": 1, "x": 2.0}], 2: []}
     items = spark.createDataFrame([(1,), (3,)], "doc_no bigint")
     assert [r[0] for r in queue.resumable(items, spark.createDataFrame([(1,)], "doc_no bigint")).collect()] == [3]
@@ -239,7 +239,7 @@ def normal(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["match_summary", "measure_configs", "label_policy_tally", "code_density", "fnr_scan", "verdict_confusion", "shape_percentiles", "quota_split"])
+@pytest.mark.parametrize("name", ["match_summary", "measure_configs", "label_policy_tally", "code_density", "fnr_scan", "verdict_confusion", "shape_percentiles", "quota_split", "crop_plan", "answer_parse", "secret_scan", "redaction_boxes", "rule_reasons_histogram", "verdict_bound", "breaker_replay", "placement_census", "holdout_pools", "split_with_negatives", "files_results", "queue_replace", "numbered_boxes"])
 def test_query_equals_sql(spark, name):
     import duckdb
 

@@ -30,7 +30,7 @@ def test_box_features(spark):
 
 def test_diff_additions(spark):
     text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n same\n+new\n-old\n+two\n@@ -9,1 +10,2 @@\n ctx\n+ten\n+++ b/y.txt\n@@ -0,0 +1 @@\n+only"
-    lines = spark.createDataFrame([(i, v) for i, v in enumerate(text.split("\n"))], "pos int, value string")
+    lines = spark.createDataFrame([("d", i, v) for i, v in enumerate(text.split("\n"))], "diff string, pos int, value string")
     got = sorted((r["file"], r["line"], r["text"]) for r in review.diff_additions(lines).collect())
     assert got == [("x", 2, "new"), ("x", 3, "two"), ("x", 11, "ten"), ("y.txt", 1, "only")]
 
