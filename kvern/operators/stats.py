@@ -111,24 +111,24 @@ def largest_labels(labels: DataFrame, n: int = 15) -> DataFrame:
 
 
 def ordered_values(values: DataFrame, groups: list[str], indices) -> DataFrame:
-    """groups, k, n, value: the value at each 0-based index (a Column of n for each k in indices) of each group's sorted values.
+    """groups, _k, n, value: the value at each 0-based index (a Column of n for each k in indices) of each group's sorted values.
 
     Equal values are counted, the counts range-sorted over all groups, and ranks found from sums per range, so no task
     holds a group's values and only the ranges that hold an index are sorted. values: groups and `value`, nulls left out.
     """
-    counts = values.where("value is not null").groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("c"))
-    ranged = materialize(counts.repartitionByRange(*groups, "value").withColumn("part", F.spark_partition_id()))
-    parts = ranged.groupBy(*groups, "part").agg(F.sum("c").alias("c"))
-    inside = Window.partitionBy(*groups).orderBy("part")
-    places = parts.withColumn("upto", F.sum("c").over(inside)).withColumn("n", F.sum("c").over(Window.partitionBy(*groups)))
-    wanted = places.select(*groups, "part", "n", "upto", (F.col("upto") - F.col("c")).alias("before"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.least(F.greatest(i(F.col("n")).cast("bigint"), F.lit(0)), F.col("n") - 1).alias("at")) for k, i in indices.items()])).alias("w"))
-    wanted = wanted.select(*groups, "part", "n", "before", "upto", "w.*").where("at >= before and at < upto")
+    counts = values.where("value is not null").groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = materialize(counts.repartitionByRange(*groups, "value").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*groups, "_part").agg(F.sum("_c").alias("_c"))
+    inside = Window.partitionBy(*groups).orderBy("_part")
+    places = parts.withColumn("_upto", F.sum("_c").over(inside)).withColumn("n", F.sum("_c").over(Window.partitionBy(*groups)))
+    wanted = places.select(*groups, "_part", "n", "_upto", (F.col("_upto") - F.col("_c")).alias("_before"), F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.least(F.greatest(i(F.col("n")).cast("bigint"), F.lit(0)), F.col("n") - 1).alias("_at")) for k, i in indices.items()])).alias("w"))
+    wanted = wanted.select(*groups, "_part", "n", "_before", "_upto", "w.*").where("_at >= _before and _at < _upto")
     # only the ranges that hold a wanted index are read again
-    held = ranged.join(wanted.select(*groups, "part", "before").distinct(), [*groups, "part"])
-    run = held.withColumn("last", F.col("before") + F.sum("c").over(Window.partitionBy(*groups, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.col("last") - F.col("c"))
-    on = [*groups, "part"]
-    found = wanted.select(*on, "k", "n", "at").join(run.select(*on, "value", "first", "last"), on).where("at >= first and at < last")
-    return found.select(*groups, "k", "n", "value")
+    held = ranged.join(wanted.select(*groups, "_part", "_before").distinct(), [*groups, "_part"])
+    run = held.withColumn("_last", F.col("_before") + F.sum("_c").over(Window.partitionBy(*groups, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_first", F.col("_last") - F.col("_c"))
+    on = [*groups, "_part"]
+    found = wanted.select(*on, "_k", "n", "_at").join(run.select(*on, "value", "_first", "_last"), on).where("_at >= _first and _at < _last")
+    return found.select(*groups, "_k", "n", "value")
 
 
 def linear_percentiles(values: DataFrame, groups: list[str], points) -> DataFrame:
@@ -136,10 +136,10 @@ def linear_percentiles(values: DataFrame, groups: list[str], points) -> DataFram
     low = {f"l{i}": (lambda n, q=q: F.floor((n - 1) * q)) for i, q in enumerate(points)}
     high = {f"h{i}": (lambda n, q=q: F.ceil((n - 1) * q)) for i, q in enumerate(points)}
     at = ordered_values(values, groups, low | high)
-    rows = at.groupBy(*groups, "n").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("v"))
-    flat = F.array(*[F.struct(F.lit(q).alias("q"), F.col("v")[f"l{i}"].alias("a"), F.col("v")[f"h{i}"].alias("b"), ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)).alias("part")) for i, q in enumerate(points)])
+    rows = at.groupBy(*groups, "n").agg(F.map_from_entries(F.collect_list(F.struct("_k", "value"))).alias("v"))
+    flat = F.array(*[F.struct(F.lit(q).alias("q"), F.col("v")[f"l{i}"].alias("a"), F.col("v")[f"h{i}"].alias("b"), ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)).alias("_part")) for i, q in enumerate(points)])
     out = rows.select(*groups, "n", F.explode(flat).alias("r")).select(*groups, "n", "r.*")
-    return out.select(*groups, "n", "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+    return out.select(*groups, "n", "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("_part")).alias("value"))
 
 
 def shape_percentiles(classified: DataFrame, least: int = 20, points=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
@@ -154,7 +154,7 @@ def index_percentiles(df: DataFrame, group: str, value: str, points=(5, 25, 50,
     """group, n, and by three index rules (0-based): int(n p / 100) capped, int(p (n - 1) / 100), and n // 2."""
     rules = {f"a{p}": (lambda n, p=p: F.least(F.floor(n * p / 100), n - 1)) for p in points} | {f"b{p}": (lambda n, p=p: F.floor((n - 1) * p / 100)) for p in points} | {"upper_median": lambda n: F.floor(n / 2)}
     at = ordered_values(df.select(group, F.col(value).alias("value")), [group], rules)
-    rows = at.groupBy(group, "n").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("v"))
+    rows = at.groupBy(group, "n").agg(F.map_from_entries(F.collect_list(F.struct("_k", "value"))).alias("v"))
     return rows.select(group, "n", *[F.col("v")[k].alias(k) for k in rules])
 
 
