@@ -53,7 +53,8 @@ def cutoffs(resultat: DataFrame, kuttmaal: DataFrame) -> tuple[DataFrame, DataFr
     """(cutoffs, scored records). Cutoffs: kilde, poengfelt, maal_andel, cutoff, n_scored, n_kept, one row per target."""
     spark = resultat.sparkSession
     targets = target_rows(kuttmaal)
-    scored = scored_records(resultat, targets)
+    # read for the counts and again for the kept records
+    scored = materialize(scored_records(resultat, targets))
     # equal scores collapse before the sort, so one hot score is one row
     counts = scored.groupBy("kilde", "poengfelt", "score").agg(F.count(F.lit(1)).alias("n"))
     ranged = materialize(
